@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     if not batch.num_rows:
         return
     values = batch.column(batch.schema.get_field_index(column))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(values), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(values), 0))
     part = np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
