@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, exact, wumanber
+from . import bpe, crf, exact, toxicity, wumanber
+from .common import remainder
 
 #: The vocabulary that op9 and the pipeline encode with; a path is a parameter of the operator.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -21,6 +22,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = crf.fit_languages(docs.where(remainder("doc_id", 4) != 2))
+    return crf.identify(docs, field).withColumn("held_out", remainder("doc_id", 4) == 2)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = toxicity.fit_toxicity(docs, toxicity.training_labels(labels))
+    return toxicity.score_toxicity(docs, machine).withColumn("held_out", remainder("doc_id", 4) == 2)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wumanber.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return wumanber.digest_columns(found)
@@ -32,6 +45,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language_id": op3_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
 }
