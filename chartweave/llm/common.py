@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Columns whose bytes decide how a batch is cut.
+LARGE = ("text", "data", "shingles", "sa")
 #: Bytes of text that one call of a batch function sees at most (one text may exceed it).
 BATCH_BYTES = 8 << 20
 
@@ -36,7 +38,7 @@ def remainder(id_col: str, mod: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece has about BATCH_BYTES of text."""
     if not batch.num_rows:
         return
@@ -58,12 +60,12 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> Dat
     from pyspark.sql.types import StructType
 
     kinds = to_arrow_schema(StructType.fromDDL(schema))
-    sized = "text" in df.columns
+    sized = next((c for c in LARGE if c in df.columns), None)
 
     def run(batches):
         apply = make()
         for whole in batches:
-            for batch in slices(whole) if sized else [whole]:
+            for batch in slices(whole, sized) if sized else [whole]:
                 if batch.num_rows:
                     out = apply(batch)
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kinds], schema=kinds)
