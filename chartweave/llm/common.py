@@ -50,6 +50,12 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
+def _column(values, kind: pa.DataType) -> pa.Array:
+    if isinstance(values, pa.Array):
+        return values if values.type == kind else values.cast(kind)
+    return pa.array(values, type=kind)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """``make()`` runs once in each task and gives a function from a batch to columns.
 
@@ -68,6 +74,6 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> Dat
             for batch in slices(whole, sized) if sized else [whole]:
                 if batch.num_rows:
                     out = apply(batch)
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kinds], schema=kinds)
+                    yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in kinds], schema=kinds)
 
     return df.mapInArrow(run, schema)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, crf, exact, html, minhash, toxicity, wumanber
+from . import bpe, crf, exact, html, lm, minhash, toxicity, wumanber
 from .common import remainder
 
 #: The vocabulary that op9 and the pipeline encode with; a path is a parameter of the operator.
@@ -51,6 +52,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 7) == 2
+    scored = lm.score_documents(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
@@ -59,6 +66,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_lm_score": op10_lm_score,
 }
 
 _OP2 = r"""
