@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, crf, exact, html, lm, minhash, toxicity, wumanber
+from . import bpe, crf, exact, html, lines, lm, minhash, toxicity, wumanber
 from .common import remainder
 
 #: The vocabulary that op9 and the pipeline encode with; a path is a parameter of the operator.
@@ -37,6 +37,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest_columns(lines.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = toxicity.fit_toxicity(docs, toxicity.training_labels(labels))
@@ -69,6 +73,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_near_dedup": op4_near_dedup,
     "op5_html_text": op5_html_text,
+    "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
