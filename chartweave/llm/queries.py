@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, crf, exact, html, lines, lm, minhash, toxicity, wumanber
+from . import bpe, crf, exact, html, lines, lm, minhash, secrets, toxicity, wumanber
 from .common import remainder
 
 #: The vocabulary that op9 and the pipeline encode with; a path is a parameter of the operator.
@@ -19,6 +19,13 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    language = secrets.learn_language(docs)
+    forest = secrets.fit_forest(secrets.example_findings(spark), language)
+    return secrets.digest_columns(secrets.scan_secrets(docs, forest, language, path_col="source"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,6 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
     "op4_near_dedup": op4_near_dedup,
