@@ -173,7 +173,8 @@ def digest_columns(found: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_hit: int = 1) -> DataFrame:
-    """The rows of ``df`` with fewer than ``least_hit`` words in benchmark windows, with all their columns."""
-    hit = digest_columns(find_contamination(df, benchmark, id_col, text_col)).where(F.col("n_hit") >= least_hit).select(F.col("doc_id").alias("__hit"))
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_span: int = 1) -> DataFrame:
+    """The rows of ``df`` without a run of ``least_span`` words that lie in benchmark windows, with all their columns."""
+    found = find_contamination(df, benchmark, id_col, text_col)
+    hit = found.where(F.exists("spans", lambda s: s["last"] - s["first"] >= least_span)).select(F.col("doc_id").alias("__hit"))
     return df.join(hit.distinct(), F.col(id_col).cast("long") == F.col("__hit"), "left_anti")

@@ -14,8 +14,8 @@ from chartweave.session import materialize, table
 
 #: A document is rejected if its likeliest language has less than this share of its words' probability.
 LEAST_SHARE = 0.3
-#: A document goes if so many of its words lie in benchmark windows; a one-word item alone removes nothing.
-LEAST_HIT = 5
+#: A document goes if so many words in a row lie in benchmark windows; an item of a word or two removes nothing.
+LEAST_SPAN = 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
-    return wumanber.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), least_hit=LEAST_HIT)
+    return wumanber.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), least_span=LEAST_SPAN)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
