@@ -38,13 +38,13 @@ def remainder(id_col: str, mod: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each piece has about BATCH_BYTES of text."""
+def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each piece has about ``most`` bytes of text."""
     if not batch.num_rows:
         return
     values = batch.column(batch.schema.get_field_index(column))
     sizes = np.asarray(pc.fill_null(pc.binary_length(values), 0))
-    part = np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES
+    part = np.cumsum(sizes, dtype=np.int64) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
@@ -56,7 +56,7 @@ def _column(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``make()`` runs once in each task and gives a function from a batch to columns.
 
     The function gets a RecordBatch and returns {column: array-like}; batches that hold
@@ -71,7 +71,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> Dat
     def run(batches):
         apply = make()
         for whole in batches:
-            for batch in slices(whole, sized) if sized else [whole]:
+            for batch in slices(whole, sized, batch_bytes) if sized else [whole]:
                 if batch.num_rows:
                     out = apply(batch)
                     yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in kinds], schema=kinds)

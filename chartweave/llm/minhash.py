@@ -36,6 +36,9 @@ SLACK = 0.2
 #: Order of the prefixes: counts on one document in four, and as many shingles as are listed as frequent.
 ORDER_SAMPLE, ORDER_LISTED = 4, 1 << 18
 
+#: Text that is hashed at once: the arrays take some 25 times its bytes.
+HASHED_BYTES = 2 << 20
+
 SIGNATURE = [f"s{k}" for k in range(2 * BITS)]
 
 
@@ -66,7 +69,7 @@ def sketches(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col
 
     docs = documents(df, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("data"))
     columns = ", ".join(f"{s} long" for s in SIGNATURE)
-    return map_batches(docs, make, f"doc_id long, n_shingles long, key1 long, key2 long, {columns}, bands array<long>")
+    return map_batches(docs, make, f"doc_id long, n_shingles long, key1 long, key2 long, {columns}, bands array<long>", HASHED_BYTES)
 
 
 def estimate(a: str, b: str) -> Column:
@@ -122,7 +125,7 @@ def _full_sets(df: DataFrame, wanted: DataFrame, width: int, id_col: str, text_c
 
     docs = documents(df, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("data"))
     found = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return map_batches(found, make, "rep long, shingles binary").dropDuplicates(["rep"])
+    return map_batches(found, make, "rep long, shingles binary", HASHED_BYTES).dropDuplicates(["rep"])
 
 
 def _frequent(sets: DataFrame) -> list[int]:

@@ -45,9 +45,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(np.searchsorted(starts, begins))
     letters = data[word]
     firsts = np.cumsum(lengths) - lengths
-    place = np.arange(len(letters)) - np.repeat(firsts, lengths)
+    place = np.arange(len(letters), dtype=np.int32)
+    place -= np.repeat(firsts.astype(np.int32), lengths)
     powers = np.cumprod(np.full(int(lengths.max()), PLACE[0]), dtype=np.uint64)
-    values = BYTE_VALUES[letters] * powers[place]
+    values = powers[place]
+    values *= BYTE_VALUES[letters]
     return mix(np.add.reduceat(values, firsts) + lengths.astype(np.uint64)), count
 
 
