@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import quality
+
+QUERIES: dict = {**quality.QUERIES}
+ORACLES: dict = {**quality.ORACLES}
