@@ -108,19 +108,26 @@ def lag_features(csi: Column, n_antennas: int, subcarriers: int, lags: tuple[int
     """
     import math
 
+    def turned(row, angle):
+        c, s = math.cos(angle), -math.sin(angle)
+        return F.transform(row, lambda v: complex_of(v["re"] * c - v["im"] * s, v["re"] * s + v["im"] * c))
+
+    def mean(pairs, part, n):
+        return total(F.transform(pairs, lambda v: v[part])) / n
+
     rows = by_antenna(csi, n_antennas, subcarriers)
     beams = []
     for b in range(n_antennas):
-        turned = [F.transform(rows[a], lambda v, w=(math.cos(2 * math.pi * a * b / n_antennas), -math.sin(2 * math.pi * a * b / n_antennas)): complex_of(v["re"] * w[0] - v["im"] * w[1], v["re"] * w[1] + v["im"] * w[0])) for a in range(n_antennas)]
-        beam = turned[0]
-        for other in turned[1:]:
+        turned_rows = [turned(rows[a], 2 * math.pi * a * b / n_antennas) for a in range(n_antennas)]
+        beam = turned_rows[0]
+        for other in turned_rows[1:]:
             beam = F.zip_with(beam, other, lambda x, y: complex_of(x["re"] + y["re"], x["im"] + y["im"]))
         beams.append(beam)
 
     def feature(beam, lag):
         n = subcarriers - lag
         pairs = F.zip_with(F.slice(beam, 1, n), F.slice(beam, lag + 1, n), lambda x, y: complex_of(x["re"] * y["re"] + x["im"] * y["im"], x["im"] * y["re"] - x["re"] * y["im"]))
-        re, im = (total(F.transform(pairs, lambda v, c=c: v[c])) / n for c in ("re", "im"))
+        re, im = mean(pairs, "re", n), mean(pairs, "im", n)
         return F.log(F.sqrt(re * re + im * im) + 1e-12)
 
     return F.array(*(feature(beam, lag) for beam in beams for lag in lags))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, samples
 
-QUERIES: dict = {**quality.QUERIES}
-ORACLES: dict = {**quality.ORACLES}
+QUERIES: dict = {**quality.QUERIES, **samples.QUERIES}
+ORACLES: dict = {**quality.ORACLES, **samples.ORACLES}
