@@ -1,6 +1,6 @@
 """Column functions over arrays: distances, complex snapshots and feature vectors.
 
-All are expressions of built-in functions, so they run inside the JVM. A snapshot is an array of
+All but lag_features are expressions of built-in functions and run inside the JVM. A snapshot is an array of
 structs (re, im), antenna-major.
 """
 
@@ -104,33 +104,21 @@ def chunk_features(csi: Column, chunk: int, values: int) -> Column:
 def lag_features(csi: Column, n_antennas: int, subcarriers: int, lags: tuple[int, ...]) -> Column:
     """log |mean over f of H[f] conj(H[f + lag])| of each beam: a discrete Fourier transform over antennas, then lags.
 
-    Antennas and lags are few and fixed, so the transform is written out as one expression.
+    As nested array expressions the transform would be evaluated again for every lag, so this one runs in
+    Arrow batches: numpy over whole batches of snapshots.
     """
-    import math
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def found(re: pd.Series, im: pd.Series) -> pd.Series:
+        import numpy as np
+
+        h = (np.stack(re) + 1j * np.stack(im)).reshape(len(re), n_antennas, subcarriers)
+        beams = np.fft.fft(h, axis=1)
+        out = [np.log(np.abs((beams[:, :, : subcarriers - lag] * beams[:, :, lag:].conj()).sum(2) / (subcarriers - lag)) + 1e-12) for lag in lags]
+        return pd.Series(list(np.stack(out, 2).reshape(len(re), -1)))
 
-    def turned(row, angle):
-        c, s = math.cos(angle), -math.sin(angle)
-        return F.transform(row, lambda v: complex_of(v["re"] * c - v["im"] * s, v["re"] * s + v["im"] * c))
-
-    def mean(pairs, part, n):
-        return total(F.transform(pairs, lambda v: v[part])) / n
-
-    rows = by_antenna(csi, n_antennas, subcarriers)
-    beams = []
-    for b in range(n_antennas):
-        turned_rows = [turned(rows[a], 2 * math.pi * a * b / n_antennas) for a in range(n_antennas)]
-        beam = turned_rows[0]
-        for other in turned_rows[1:]:
-            beam = F.zip_with(beam, other, lambda x, y: complex_of(x["re"] + y["re"], x["im"] + y["im"]))
-        beams.append(beam)
-
-    def feature(beam, lag):
-        n = subcarriers - lag
-        pairs = F.zip_with(F.slice(beam, 1, n), F.slice(beam, lag + 1, n), lambda x, y: complex_of(x["re"] * y["re"] + x["im"] * y["im"], x["im"] * y["re"] - x["re"] * y["im"]))
-        re, im = mean(pairs, "re", n), mean(pairs, "im", n)
-        return F.log(F.sqrt(re * re + im * im) + 1e-12)
-
-    return F.array(*(feature(beam, lag) for beam in beams for lag in lags))
+    return found(F.transform(csi, lambda v: v["re"]), F.transform(csi, lambda v: v["im"]))
 
 
 def features(csi: Column, method: str, n_antennas: int, subcarriers: int, chunk: int = 32, lags: tuple[int, ...] = tuple(range(0, 64, 4))) -> Column:
