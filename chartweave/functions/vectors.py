@@ -6,6 +6,7 @@ structs (re, im), antenna-major.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,8 +108,6 @@ def lag_features(csi: Column, n_antennas: int, subcarriers: int, lags: tuple[int
     As nested array expressions the transform would be evaluated again for every lag, so this one runs in
     Arrow batches: numpy over whole batches of snapshots.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def found(re: pd.Series, im: pd.Series) -> pd.Series:
         import numpy as np
