@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import quality, samples
+from . import learning, quality, reports, samples
 
-QUERIES: dict = {**quality.QUERIES, **samples.QUERIES}
-ORACLES: dict = {**quality.ORACLES, **samples.ORACLES}
+_PARTS = (quality, samples, reports, learning)
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
