@@ -7,6 +7,8 @@ import numpy as np
 HIDDEN, CLASS_WORDS = 16, 48
 #: Steps of a truncated window in training, sequences that train together, and the step size.
 WINDOW, STREAMS, RATE = 16, 64, 0.06
+#: A longer text is trained on in pieces of so many ids, each after the id before it, so that no stream outlasts the others by far.
+PIECE = 4096
 #: Steps whose hidden states are held before their outputs are scored.
 SCORE_WINDOW = 32
 #: Rows whose outputs are scored together; their logits stay in a core's cache.
@@ -91,21 +93,30 @@ class GatedModel:
             back = d @ w["class"].T
             grads["class"] = h.T @ d
             grads["class_bias"] = d.sum(0)
-            grads["word"], grads["word_bias"] = {}, {}
         order = np.argsort(kind.astype(np.int16), kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(len(w["class_bias"]) + 1)).tolist()
         sorted_h, sorted_spot = h[order], (ids - kind * CLASS_WORDS)[order]
         inner = np.empty(len(ids), np.float32)
-        for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            for at in range(a, b, b - a if grads is not None and b > a else BLOCK):
-                own = slice(at, b if grads is not None else min(b, at + BLOCK))
-                part, spot = sorted_h[own], sorted_spot[own]
-                inner[own], d, total = _softmax(part @ w["word"][c] + w["word_bias"][c], spot)
-                if grads is not None:
-                    d /= total[:, None]
-                    d[np.arange(len(spot)), spot] -= 1
-                    back[order[own]] += d @ w["word"][c].T
-                    grads["word"][c], grads["word_bias"][c] = part.T @ d, d.sum(0)
+        if grads is None:
+            for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                for at in range(a, b, BLOCK):
+                    own = slice(at, min(b, at + BLOCK))
+                    inner[own] = _softmax(sorted_h[own] @ w["word"][c] + w["word_bias"][c], sorted_spot[own])[0]
+        else:  # a window's few rows: one softmax over all classes, only the products by class
+            logits = w["word_bias"][kind[order]]
+            used = [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            for c, a, b in used:
+                logits[a:b] += sorted_h[a:b] @ w["word"][c]
+            inner, d, total = _softmax(logits, sorted_spot)
+            d /= total[:, None]
+            d[np.arange(len(ids)), sorted_spot] -= 1
+            word, bias, slope = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"]), np.empty_like(sorted_h)
+            for c, a, b in used:
+                np.matmul(d[a:b], w["word"][c].T, out=slope[a:b])
+                np.matmul(sorted_h[a:b].T, d[a:b], out=word[c])
+            bias[[c for c, _, _ in used]] = np.add.reduceat(d, [a for _, a, _ in used], axis=0)
+            back[order] += slope
+            grads["word"], grads["word_bias"] = word, bias
         out[order] += inner
         return out, back
 
@@ -142,19 +153,20 @@ class GatedModel:
 
     def train(self, texts: list[np.ndarray]) -> int:
         """One pass of truncated backpropagation over whole sequences, steps by AdaGrad; tokens seen."""
-        streams: list[list[np.ndarray]] = [[] for _ in range(STREAMS)]
+        pieces = [(text[a : a + PIECE], text[a - 1] if a else self.start) for text in texts for a in range(0, len(text), PIECE)]
+        streams: list[list[tuple[np.ndarray, int]]] = [[] for _ in range(STREAMS)]
         load = [0] * STREAMS
-        for text in sorted(texts, key=len, reverse=True):
+        for piece in sorted(pieces, key=lambda p: len(p[0]), reverse=True):
             k = load.index(min(load))
-            streams[k].append(text)
-            load[k] += len(text)
+            streams[k].append(piece)
+            load[k] += len(piece[0])
         steps = max(load)
         ids = np.full((steps, STREAMS), -1, np.int64)
-        fresh = np.zeros((steps, STREAMS), bool)
+        fresh = np.full((steps, STREAMS), -1, np.int64)
         for k, own in enumerate(streams):
             if own:
-                ids[: load[k], k] = np.concatenate(own)
-                fresh[np.cumsum([0, *map(len, own[:-1])]), k] = True
+                ids[: load[k], k] = np.concatenate([p for p, _ in own])
+                fresh[np.cumsum([0, *(len(p) for p, _ in own[:-1])]), k] = [before for _, before in own]
         sums = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.weights.items()}
         h = np.zeros((STREAMS, HIDDEN), np.float32)
         last = np.full(STREAMS, self.start)
@@ -165,9 +177,10 @@ class GatedModel:
     def _window(self, ids, fresh, h, last, sums):
         n, w = HIDDEN, self.weights
         tape, states = [], []
-        for target, new in zip(ids, fresh):
+        for target, before in zip(ids, fresh):
+            new = before >= 0
             h = np.where(new[:, None], np.float32(0), h)
-            source = np.where(new, self.start, last)
+            source = np.where(new, before, last)
             g, q = w["input"][source], h @ w["state"]
             gates = _sigmoid(g[:, : 2 * n] + q[:, : 2 * n])
             cand = np.tanh(g[:, 2 * n :] + gates[:, n:] * q[:, 2 * n :])
@@ -196,9 +209,10 @@ class GatedModel:
             sources.append(source)
             slopes.append(d_gate)
         count = max(1, int(live.sum())) / STREAMS
-        used, spot = np.unique(np.concatenate(sources), return_inverse=True)
-        slope = np.zeros((len(used), 3 * n), np.float32)
-        np.add.at(slope, spot, np.concatenate(slopes))
+        source = np.concatenate(sources)
+        order = np.argsort(source, kind="stable")
+        used, begins = np.unique(source[order], return_index=True)
+        slope = np.add.reduceat(np.concatenate(slopes)[order], begins, axis=0)
         grads["input"], grads["state"] = (used, slope), d_state
 
         def move(name, at, grad):
@@ -207,9 +221,6 @@ class GatedModel:
             w[name][at] -= RATE * grad / np.sqrt(sums[name][at])
 
         move("input", used, slope)
-        for name in ("state", "class", "class_bias"):
+        for name in ("state", "class", "class_bias", "word", "word_bias"):
             move(name, slice(None), grads[name])
-        for name in ("word", "word_bias"):
-            for c, grad in grads[name].items():
-                move(name, c, grad)
         return h, last

@@ -24,8 +24,8 @@ VOCABULARY = 2_048
 OTHER, END = 0, 1
 #: Frequent words whose counts go to every task (16 bytes each); all other words meet their counts in a join.
 LISTED = 1 << 18
-#: Each round trains on one whole training document in TRAIN_EVERY, other ones each time.
-ROUNDS, TRAIN_EVERY = 2, 16
+#: Rounds of training; each training document is learnt from in exactly one of them.
+ROUNDS = 2
 #: Text that is hashed at once when counting, and that the network scores at once.
 COUNT_BYTES, SCORE_BYTES = 2 << 20, 4 << 20
 #: Models that one task averages.
@@ -102,15 +102,16 @@ def _average(models: DataFrame) -> DataFrame:
     return grouped.groupBy("place").applyInPandas(mean, "place long, model binary, tokens long")
 
 
-def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, every: int = TRAIN_EVERY) -> GatedModel:
-    """Train the network on ``docs`` (doc_id, data): in each round every task trains a copy on its documents of
-    the round, and the copies are averaged in a tree. What is learnt from grows with the input."""
+def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> GatedModel:
+    """Train the network on all ``docs`` (doc_id, data): in each round every task trains a copy on its documents of
+    the round, and the copies are averaged in a tree. The rounds together learn from every row once;
+    the model's ``seen`` says from how many tokens."""
     spark = docs.sparkSession
-    model = GatedModel(lex.start_counts)
+    model, seen_before = GatedModel(lex.start_counts), 0
     shared_lexicon = spark.sparkContext.broadcast(lex)
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == k).select("data")
+        own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("data")
         schema = pa.schema([("place", pa.int64()), ("model", pa.binary()), ("tokens", pa.int64())])
 
         def learn(batches, shared=shared, schema=schema):
@@ -140,6 +141,8 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, every: int = TRAI
         found = models.first()
         if found is not None:
             model = GatedModel(lex.start_counts).unpack(bytes(found["model"]))
+            seen_before += found["tokens"]
+    model.seen = seen_before
     return model
 
 

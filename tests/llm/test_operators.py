@@ -277,6 +277,15 @@ def test_language_model(spark, docs, rows):
     assert lm.score_documents(empty(spark), F.lit(True)).count() == 0
 
 
+def test_every_training_document_is_learnt_from_once(spark):
+    rng = random.Random(9)
+    rows = [(k, prose(rng, 1 + k % 50)) for k in range(200)] + [(None, "no id here"), (7, prose(rng, 7)), (-1, ""), (-2, "ab " * 20000)]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    lex = lm.lexicon(lm.count_words(data), len(rows))
+    model = lm.train(data.select("doc_id", F.col("text").cast("binary").alias("data")), lex)
+    assert model.seen == lex.tokens == sum(len(t.split()) + 1 for _, t in rows)
+
+
 def test_network_learns_and_its_classes_sum_to_one():
     import numpy as np
 
