@@ -13,6 +13,7 @@ without a run of one or two segments. Only lines that share one emit all their v
 
 from __future__ import annotations
 
+import re
 
 import numpy as np
 import xxhash
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import documents, map_batches
 
-#: Lines of fewer words stay; equal lines of at least so many go; one edit counts from NEAR_WORDS words on.
-LEAST_WORDS, NEAR_WORDS = 3, 8
+#: Equal lines of at least so many words go, so only blank ones stay; one edit counts from NEAR_WORDS words on.
+LEAST_WORDS, NEAR_WORDS = 1, 8
+#: Scripts written without spaces (Thai to Tibetan, Myanmar, Khmer, kana, Han and their extensions): each code point is a word.
+UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+HAS_UNSPACED, UNITS = re.compile(f"[{UNSPACED}]"), re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
 #: A line is cut as coarsely as leaves so many segments.
 SEGMENTS = 4
 LEVELS = 7
@@ -48,6 +52,11 @@ def signed(digest: int) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
+def line_words(line: str) -> list[str]:
+    """What white space separates; of scripts without spaces every code point."""
+    return line.split() if line.isascii() or not HAS_UNSPACED.search(line) else UNITS.findall(line)
+
+
 def hash_words(words: list[str]) -> int:
     return signed(xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")))
 
@@ -98,7 +107,7 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 for number, line in enumerate(text.split("\n")):
-                    words = line.split()
+                    words = line_words(line)
                     if len(words) >= LEAST_WORDS:
                         rows.append((doc_id, number, hash_words(words), segment_keys(words) if len(words) >= NEAR_WORDS else []))
             return dict(zip(("doc_id", "line_no", "line", "keys"), zip(*rows) if rows else ((),) * 4))
@@ -117,8 +126,8 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A line goes if an earlier one (by doc_id, then line number from 0) has equal words, or has
     NEAR_WORDS words at least, like itself, and is one word edit away. Lines are split at line feeds;
-    white space only separates words. Lines of fewer than LEAST_WORDS words, null and empty
-    texts lose nothing. Rows that repeat an id are the same lines and do not remove each other.
+    white space only separates words (see line_words). Blank lines, null and empty texts lose
+    nothing. Rows that repeat an id are the same lines and do not remove each other.
     """
     lines = materialize(_lines(df, id_col, text_col).where("doc_id is not null"), "lines")
     firsts = materialize(lines.groupBy("line").agg(F.min(_place()).alias("first")).select("line", "first.*"), "firsts")
@@ -133,7 +142,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = []
             for doc_id, text, numbers in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "numbers"))):
                 split = text.split("\n")
-                rows += [(doc_id, n, hash_words(words), words) for n in numbers for words in [split[n].split()]]
+                rows += [(doc_id, n, hash_words(words), words) for n in numbers for words in [line_words(split[n])]]
             return dict(zip(("doc_id", "line_no", "line", "words"), zip(*rows) if rows else ((),) * 4))
 
         return apply

@@ -193,6 +193,15 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_short_and_unspaced_lines_go(spark):
+    han, thai = "今天我们去北京看长城和故宫", "วันนี้เราไปเที่ยวกรุงเทพ"
+    texts = [f"Les.\ntwo words\n{han}\n{thai}\n\n天", f"Les.\ntwo  words\n{han}\n{thai}\n\n天", f"{han.replace('看', '见')}\n{thai[:9]}{thai[10:]}\n天地\n2024-01-01", "2024-01-02\nLes!\n", None]
+    df = clashing(spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], SCHEMA))
+    want = {(1, 0), (1, 1), (1, 2), (1, 3), (1, 5), (2, 0), (2, 1)}
+    assert set(map(tuple, lines.duplicate_lines(df).collect())) == want
+    assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}[1] == ""
+
+
 def test_factorization_machine_learns_pairs(spark):
     rng = random.Random(6)
     rows, labels = [], []
