@@ -17,8 +17,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import documents, map_batches
-from .sampling import excerpt, stratified
 
 #: What proposes candidates; the group ``value`` is the candidate. Fixed formats of well-known credentials first.
 PATTERNS = {
@@ -44,7 +44,8 @@ CREDENTIAL_WORDS = frozenset("access api apikey auth authorization aws bearer cr
 HARMLESS_WORDS = frozenset("checksum commit digest etag example guid hash id md5 placeholder revision rev sample sha sha1 sha256 test uuid version".split())
 PATH_WORDS = frozenset("demo doc docs example examples fixture fixtures mock sample samples spec test tests".split())
 TREES, DEPTH, SEED = 30, 8, 29
-DICTIONARY_DOCS, DICTIONARY_LEAST = 200, 3
+#: Least occurrences of a dictionary word, most dictionary words, and their letters (what coverage looks up).
+DICTIONARY_LEAST, DICTIONARY_WORDS, DICTIONARY_LENGTHS = 3, 1 << 19, (3, 14)
 THRESHOLD = 0.5
 
 WORD = re.compile(r"[A-Za-z]+(?:_[A-Za-z]+)*")
@@ -87,17 +88,12 @@ def beside(text: str, start: int, end: int) -> tuple[str, str]:
 
 
 class Language:
-    """Letter transitions and the dictionary of ordinary text, learnt from documents."""
-
-    def __init__(self, texts: list[str]):
-        counts = np.ones((27, 27))
-        words = Counter(w for t in texts for w in re.findall(r"[a-z]+", t.lower()))
-        for word, n in words.items():
-            code = [0, *(ord(c) - 96 for c in word), 0]
-            for a, b in zip(code, code[1:]):
-                counts[a, b] += n
+    """Letter transitions (27 x 27 counts, 0 is no letter) and the dictionary of ordinary text."""
+
+    def __init__(self, transitions: np.ndarray, words: frozenset[str]):
+        counts = transitions + 1.0
         self.surprise = -np.log2(counts / counts.sum(1, keepdims=True))
-        self.words = frozenset(w for w, n in words.items() if n >= DICTIONARY_LEAST and len(w) >= 3)
+        self.words = words
 
     def transition_bits(self, value: str) -> float:
         """Mean surprise of the value's letter transitions."""
@@ -199,11 +195,39 @@ def example_findings(spark: SparkSession, count: int = 3_000, seed: int = 1) ->
     return spark.createDataFrame(rows, "value string, kind string, before string, after string, path string, label int")
 
 
+def count_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, n over all documents: words of DICTIONARY_LENGTHS letters, and transitions as the number 27 * from + to."""
+    least, most = DICTIONARY_LENGTHS
+
+    def make():
+        code = np.zeros(256, np.int64)
+        code[97:123] = np.arange(1, 27)
+
+        def apply(batch):
+            text = "\n".join(["", *batch.column("text").to_pylist(), ""]).lower()
+            letters = code[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+            pairs = np.bincount(letters[:-1] * 27 + letters[1:], minlength=27 * 27)
+            words = {w: n for w, n in Counter(re.findall(r"[a-z]+", text)).items() if least <= len(w) <= most}
+            met = [k for k in range(1, 27 * 27) if pairs[k]]  # 0: no letter beside no letter
+            return {"key": [*words, *map(str, met)], "n": [*words.values(), *(int(pairs[k]) for k in met)]}
+
+        return apply
+
+    return map_batches(documents(df, id_col, text_col), make, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def learn_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Language:
-    """Transitions and dictionary from a bounded sample of DICTIONARY_DOCS documents."""
-    docs = documents(df, id_col, text_col).withColumn("all", F.lit(0))
-    rows = stratified(docs, "all", DICTIONARY_DOCS).select(excerpt("text", 8_000).alias("text")).collect()
-    return Language(sorted(r[0] for r in rows))
+    """Transitions and dictionary of all documents. A dictionary word occurs DICTIONARY_LEAST times at least, and
+    once in DICTIONARY_WORDS words; so there are DICTIONARY_WORDS at most, of 14 letters at most, on any input."""
+    counts = materialize(count_language(df, id_col, text_col), "language")
+    transitions = np.zeros(27 * 27)
+    for key, n in counts.where(~F.col("key").rlike("[a-z]")).collect():
+        transitions[int(key)] = n
+    words = counts.where(F.col("key").rlike("[a-z]"))
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = max(DICTIONARY_LEAST, -(-total // DICTIONARY_WORDS))
+    found = words.where(F.col("n") >= often).select("key").toArrow().column("key").to_pylist()
+    return Language(transitions.reshape(27, 27), frozenset(found))
 
 
 def fit_forest(findings: DataFrame, language: Language) -> RandomForestClassificationModel:

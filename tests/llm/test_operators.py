@@ -312,6 +312,21 @@ def test_network_learns_and_its_classes_sum_to_one():
     assert whole[1] == pytest.approx(parts[0])
 
 
+def test_language_of_secrets_is_counted_over_all_documents(spark):
+    rows = [(k, f"Common words, document {k}") for k in range(600)] + [(600 + k, "x" * 9000 + " seltenes\u0130 Wort") for k in range(3)] + [(None, None), (7, "twice"), (7, "twice")]
+    language = secrets.learn_language(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert language.words == {"common", "words", "document", "seltenes", "seltenesi", "wort"} - {"seltenes" if "seltenesi" in language.words else "seltenesi"}
+    counts = [[1] * 27 for _ in range(27)]
+    for _, text in rows:
+        for w in re.findall("[a-z]+", (text or "").lower()):
+            code = [0, *(ord(c) - 96 for c in w), 0]
+            for a, b in zip(code, code[1:]):
+                counts[a][b] += 1
+    want = [[-math.log2(x / sum(row)) for x in row] for row in counts]
+    assert all(language.surprise[a] == pytest.approx(want[a]) for a in range(27))
+    assert secrets.learn_language(empty(spark)).words == frozenset()
+
+
 def test_secret_scan(spark):
     language = secrets.learn_language(clashing(documents(spark)))
     forest = secrets.fit_forest(secrets.example_findings(spark, 1200), language)
