@@ -327,6 +327,22 @@ def test_language_of_secrets_is_counted_over_all_documents(spark):
     assert secrets.learn_language(empty(spark)).words == frozenset()
 
 
+def test_long_candidates_are_whole(spark):
+    rng = random.Random(3)
+    draw = lambda n: "".join(rng.choice("abcdefghijkLMNOPQRST0123456789") for _ in range(n))
+    key, number, user = draw(6000), "0123456789abcdef" * 40, "u" * 100
+    texts = {"opaque": f"see {key}== now", "hex": f"see {number} now", "assignment": f"token={key};", "url_password": f"https://{user}:{key}@host/", "host_token": f"at ghp_{key} now", "chat_token": f"at xoxb-{key} now"}
+    for kind, text in texts.items():
+        (a, b, got), = secrets.find_candidates(text)
+        assert got == kind and (number if kind == "hex" else key) in text[a:b] and b - a < 6010
+    for text in ("a/" * 200_000 + "!", "a" * 400_000 + "===", "0a" * 200_000 + "g", "https://" * 50_000, "x://a:" * 50_000, "xoxb-" * 80_000 + "_"):
+        secrets.find_candidates(text)
+    language = secrets.Language(__import__("numpy").zeros((27, 27)), frozenset(["abc"]))
+    assert language.coverage("z" * 600 + "abc" * 200) == 0.5
+    labels = {(r.kind, r.label) for r in secrets.example_findings(spark).select("kind", "label").distinct().collect()}
+    assert {k for k, label in labels if label} == set(secrets.PATTERNS)
+
+
 def test_secret_scan(spark):
     language = secrets.learn_language(clashing(documents(spark)))
     forest = secrets.fit_forest(secrets.example_findings(spark, 1200), language)
