@@ -94,27 +94,51 @@ def outside_hulls(points: DataFrame, hulls: DataFrame, key: str) -> DataFrame:
     return points.join(planes, inside, "left_anti")
 
 
+def _corners(points) -> list[tuple[float, float]]:
+    """Corners of the convex hull (monotone chain), counter-clockwise; one or two points are their own."""
+    points = sorted(set(points))
+
+    def half(ordered):
+        out = []
+        for p in ordered:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return half(points) + half(points[::-1]) if len(points) > 2 else points
+
+
+def partial_corners(vertices: DataFrame, key: str) -> DataFrame:
+    """key, x, y: the hull corners of each group within each input partition; the hull of these is the group's."""
+    kind = dict(vertices.dtypes)[key]
+
+    def reduce(frames):
+        import pandas as pd
+
+        held: dict = {}
+        for frame in frames:
+            for group, part in frame.groupby(key, dropna=False, sort=False):
+                group = None if pd.isna(group) else group
+                held[group] = _corners(held.get(group, []) + list(zip(part["x"], part["y"])))
+        rows = [(group, *p) for group, points in held.items() for p in points]
+        out = pd.DataFrame(rows, columns=[key, "x", "y"])
+        yield out.astype({key: "object"}) if None in held else out
+
+    return vertices.select(key, "x", "y").mapInPandas(reduce, f"{key} {kind}, x double, y double")
+
+
 def convex_hulls(vertices: DataFrame, key: str = "hull_id", least_area: float = 0.0, most_area: float = 1000.0) -> DataFrame:
     """key, a, b, c: half-planes of each group's convex hull (monotone chain), counter-clockwise.
 
-    Groups are buildings, a few vertices each. Repeated vertices count once; hulls of fewer
+    Only hull corners leave the partitions of the input, so a group may have any number of points. Repeated vertices count once; hulls of fewer
     than three corners or an area outside the bounds are left out.
     """
 
     def hull(group, frame):
         import pandas as pd
 
-        points = sorted(set(zip(frame["x"], frame["y"])))
-
-        def half(ordered):
-            out = []
-            for p in ordered:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(p)
-            return out[:-1]
-
-        ring = half(points) + half(points[::-1]) if len(points) > 2 else []
+        ring = _corners(zip(frame["x"], frame["y"]))
         area = abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1]))) / 2
         rows = []
         if len(ring) > 2 and least_area <= area <= most_area:
@@ -125,7 +149,7 @@ def convex_hulls(vertices: DataFrame, key: str = "hull_id", least_area: float =
         return pd.DataFrame(rows, columns=[key, "a", "b", "c"])
 
     kind = dict(vertices.dtypes)[key]
-    return vertices.groupBy(key).applyInPandas(hull, f"{key} {kind}, a double, b double, c double")
+    return partial_corners(vertices, key).groupBy(key).applyInPandas(hull, f"{key} {kind}, a double, b double, c double")
 
 
 def cells(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:

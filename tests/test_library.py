@@ -204,3 +204,18 @@ def test_unknown_names(spark):
         V.features(None, "none", 1, 2)
     hull = G.convex_hulls(spark.createDataFrame([(1, 0.0, 0.0), (1, 1.0, 0.0), (1, 0.0, 1.0), (1, 0.2, 0.2)], "hull_id int, x double, y double"))
     assert hull.count() == 3
+
+
+def test_hulls_of_large_groups_are_reduced_before_they_meet(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k % 3 if k % 50 else None, *map(float, rng.normal(size=2))) for k in range(3000)] + [(7, 0.0, 0.0), (7, 1.0, 1.0), (7, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "label int, x double, y double").repartition(5)
+    assert G.partial_corners(df, "label").count() < 600
+    assert "MapInPandas" in G.convex_hulls(df, "label")._jdf.queryExecution().toString()
+    planes = G.convex_hulls(df, "label").collect()
+    assert {p.label for p in planes} == {0, 1, 2, None}
+    for label in (0, 1, 2, None):
+        p = np.array([r[1:] for r in rows if r[0] == label])
+        side = np.array([[q.a, q.b, q.c] for q in planes if q.label == label])
+        slack = p @ side[:, :2].T + side[:, 2]
+        assert slack.max() < 1e-9 and (np.sort(np.abs(slack), 0)[:2] < 1e-9).all()
