@@ -313,7 +313,7 @@ def trajectory_walks(spark, sf_dir):
 
     c = charts(spark, sf_dir)
     edges = materialize(N.neighbour_graph(c, "vec_id", 0.05), "edges")
-    walkers = c.where("vec_id < 20").select(F.col("vec_id").alias("walker"), F.col("vec_id").alias("node"))
+    walkers = c.select(F.col("vec_id").alias("walker"), F.col("vec_id").alias("node"))
     return N.graph_walks(edges, c, walkers, "vec_id", 5, 11)
 
 

@@ -219,3 +219,9 @@ def test_hulls_of_large_groups_are_reduced_before_they_meet(spark):
         side = np.array([[q.a, q.b, q.c] for q in planes if q.label == label])
         slack = p @ side[:, :2].T + side[:, 2]
         assert slack.max() < 1e-9 and (np.sort(np.abs(slack), 0)[:2] < 1e-9).all()
+
+
+def test_every_point_starts_a_walk(spark):
+    walks = registry.QUERIES["trajectory_walks"](spark, SMALL)
+    points = {r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.walker for r in walks.select("walker").collect()} == points
