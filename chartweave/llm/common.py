@@ -10,8 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Columns whose bytes decide how a batch is cut.
-LARGE = ("text", "data", "shingles", "sa")
+LARGE = ("text", "data", "shingles", "sa", "content")
 #: Bytes of text that one call of a batch function sees at most (one text may exceed it).
 BATCH_BYTES = 8 << 20
 
@@ -20,6 +22,9 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+#: Rows to take away whose ids are broadcast (some 64 MB as a hash table); more of them meet the table in a shuffle.
+BROADCAST_ROWS = 500_000
+
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns that an operator needs, as ``doc_id`` long and ``text`` (null: empty).
@@ -43,6 +48,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Itera
     if not batch.num_rows:
         return
     values = batch.column(batch.schema.get_field_index(column))
+    if not (pa.types.is_string(values.type) or pa.types.is_binary(values.type)):
+        values = values.cast(pa.string())
     sizes = np.asarray(pc.fill_null(pc.binary_length(values), 0))
     part = np.cumsum(sizes, dtype=np.int64) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
@@ -77,3 +84,52 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, batch_
                     yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in kinds], schema=kinds)
 
     return df.mapInArrow(run, schema)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keep_rows(df: DataFrame, make: Callable[[], Callable], text_col: str) -> DataFrame:
+    """The rows of ``df`` that a function takes, with all columns as they are; no shuffle.
+
+    ``make()`` runs once in each task and gives a function from a list of whole texts (null: empty) to
+    booleans. Every row is judged by itself, whatever its other columns hold or are called.
+    """
+
+    def run(batches):
+        apply = make()
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()]
+                yield batch.filter(pa.array(apply(texts), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``df`` and the column that tells its rows apart.
+
+    That is the id where it is never null and never repeated; else a row number, which a written copy
+    of ``df`` then carries as a further column.
+    """
+    ids = df.select(F.col(id_col).cast("long").alias("id"))
+    rows, distinct = ids.agg(F.count("*"), F.count_distinct("id")).first()
+    if rows == distinct:
+        return df, id_col
+    name = unused(df, "row_number")
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def drop_rows(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not in the one column of ``gone``.
+
+    ``gone`` is written and counted first: up to BROADCAST_ROWS it goes to every task and ``df`` stays where it is.
+    """
+    name = unused(df, "gone")
+    gone = materialize(gone.toDF(name), "gone")
+    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col(key).cast("long") == F.col(name), "left_anti")

@@ -15,16 +15,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches
-from .sampling import excerpt, stratified
+from .common import documents, keep_rows, map_batches
+from .sampling import stratified
 
 #: Buckets that the n-gram and affix features are hashed into.
 BUCKETS = 1 << 17
-#: Labelled documents of each language that the model is fitted on, and code points of each.
+#: Labelled documents of each language, whole, that the model is fitted on.
 PER_LANGUAGE = 400
-SAMPLE_CHARS = 8_000
-#: Words of each language's lexicon, and how often the sample must hold them.
-LEXICON_WORDS = 2_000
+#: How often the sample of a language must hold a word of its lexicon.
 LEXICON_LEAST = 3
 #: Words of one language in a row in the training chains, and words of a chain.
 STRETCH, CHAIN = 64, 128
@@ -33,7 +31,15 @@ EPOCHS, BATCH, RATE, DECAY = 3, 128, 0.25, 1e-6
 KEPT_WORDS = 300_000
 UNDETERMINED = "und"
 
-words_of = re.compile(r"[^\W\d_]+").findall
+_runs = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters. Fractions, superscripts and numerals such as U+2167 are no letters and part words."""
+    found = _runs(text)
+    if "".join(found).isalpha():
+        return found
+    return [part for word in found for part in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +147,7 @@ class WordField:
             stretches += [(number[label], ids[k : k + STRETCH]) for k in range(0, len(ids), STRETCH)]
         if not stretches:
             return self
-        lexicons = [{w for w, c in count.most_common(LEXICON_WORDS) if c >= LEXICON_LEAST} for count in counts]
+        lexicons = [{w for w, c in count.items() if c >= LEXICON_LEAST} for count in counts]
         self.lexicon = {w: k for k, w in enumerate(sorted(set().union(*lexicons)), 1)}
         self.member = np.zeros((len(self.lexicon) + 1, len(self.labels)), np.float32)
         for k, own in enumerate(lexicons):
@@ -237,7 +243,7 @@ def fit_languages(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id",
     every document is ``und``.
     """
     labelled = documents(df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), id_col, text_col, lang_col)
-    sample = stratified(labelled, lang_col, per_language).select(lang_col, excerpt("text", SAMPLE_CHARS).alias("text"))
+    sample = stratified(labelled, lang_col, per_language).select(lang_col, "text")
     rows = sorted(tuple(r) for r in sample.collect())
     return WordField(sorted({lang for lang, _ in rows})).fit(rows)
 
@@ -263,6 +269,28 @@ def identify(df: DataFrame, field: WordField, id_col: str = "doc_id", text_col:
     return map_batches(documents(df, id_col, text_col), make, "doc_id long, lang_pred string, score double")
 
 
+def drop_unidentified(df: DataFrame, field: WordField, least_share: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose language has ``least_share`` of the words' probability, with all their columns.
+
+    Every row is judged alone by its whole text, in the pass that reads it; ids do not matter. Null
+    and empty texts and those without a letter go; with a field that knows no language every row goes.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(field)
+
+    def make():
+        if not shared.value.labels:
+            return lambda texts: [False] * len(texts)
+        label = Labeller(shared.value)
+
+        def apply(texts):
+            names, scores = label.languages(texts)
+            return [name != UNDETERMINED and score >= least_share for name, score in zip(names, scores)]
+
+        return apply
+
+    return keep_rows(df, make, text_col)
+
+
 def label_words(df: DataFrame, field: WordField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, words, langs: every word of every text in order, with the likeliest language of each."""
     shared = df.sparkSession.sparkContext.broadcast(field)

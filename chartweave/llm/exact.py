@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, map_batches
+from .common import SPACES, documents, drop_rows, map_batches, numbered, slices
 
 #: Bytes of content that a bucket may hold for its table; a larger one is partitioned again.
 BUCKET_BYTES = 32 << 20
@@ -39,7 +39,7 @@ class OpenTable:
         self.bytes = 0
 
     def add(self, digest: bytes, content: bytes, best: tuple, count: int) -> None:
-        """Fold a record into its group: ``best`` is (-length, id), the smallest stays."""
+        """Fold a record into its group: ``best`` is (-length, id is null, id), the smallest stays."""
         mask = len(self.slots) - 1
         at = int.from_bytes(digest[:8], "little") & mask
         while (slot := self.slots[at]) is not None:
@@ -121,8 +121,8 @@ GROUP = "digest binary, content binary, length long, doc_id long, members long"
 
 def _emit(groups: Iterator[list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     rows, size = [], 0
-    for digest, content, (length, doc_id), count in groups:
-        rows.append((digest, content, -length, doc_id, count))
+    for digest, content, (length, unnamed, doc_id), count in groups:
+        rows.append((digest, content, -length, None if unnamed else doc_id, count))
         size += len(content)
         if size > 8 << 20:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -135,19 +135,23 @@ def _grouped(df: DataFrame, raw: bool) -> DataFrame:
     """One row for each content of each partition; ``raw``: rows are documents and not groups yet."""
     schema = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("length", pa.int64()), ("doc_id", pa.int64()), ("members", pa.int64())])
 
+    def rank(length, doc_id):
+        return -length, doc_id is None, doc_id or 0
+
     def fresh(batches):
         for batch in batches:
             for doc_id, text, length in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "length"))):
                 content = text.translate(None, SPACES)
-                yield hashlib.sha256(content).digest(), content, (-length, doc_id), 1
+                yield hashlib.sha256(content).digest(), content, rank(length, doc_id), 1
 
     def again(batches):
         for batch in batches:
             for digest, content, length, doc_id, members in zip(*(batch.column(c).to_pylist() for c in schema.names)):
-                yield digest, content, (-length, doc_id), members
+                yield digest, content, rank(length, doc_id), members
 
     def run(batches):
-        yield from _emit(grace((fresh if raw else again)(batches)), schema)
+        pieces = (piece for batch in batches for piece in slices(batch, "data" if raw else "content"))
+        yield from _emit(grace((fresh if raw else again)(pieces)), schema)
 
     return df.mapInArrow(run, GROUP)
 
@@ -184,8 +188,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """For every row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text is empty text; all empty texts are one group. The row with the most code
-    points in its original text stays, on a tie the one with the smallest id. Rows that
-    repeat both id and text count as members each and are all marked as the row they
+    points in its original text stays, on a tie the one with the smallest id; null ids come
+    last. Rows that repeat both id and text count as members each and are all marked as the row they
     repeat. An empty table gives an empty result; further columns are ignored.
 
     The Grace tables decide the groups, comparing complete contents. Their result has one row
@@ -199,12 +203,17 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(True)).alias("kept"),
+        (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns."""
-    gone = exact_duplicates(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """One row of each content, with all its columns; the rest of ``df`` goes, row by row.
+
+    The row with the most code points stays, on a tie the one with the smallest id - or, in a
+    table with null or repeated ids, the one that comes first in the table.
+    """
+    rows, key = numbered(df, id_col)
+    gone = exact_duplicates(rows, key, text_col).where("not kept").select("doc_id")
+    return drop_rows(rows, key, gone).select(*df.columns)

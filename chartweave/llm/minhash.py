@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import documents, map_batches
+from .common import documents, drop_rows, map_batches, numbered
 from .components import connected_components
 from .shingles import minima, mix, shingle_sets
 
@@ -246,6 +246,11 @@ def near_duplicates(df: DataFrame, width: int = WIDTH, threshold: int = THRESHOL
 
 
 def drop_near_duplicates(df: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of ``df``, the one with the smallest id, with all its columns."""
-    gone = near_duplicates(df, width, threshold, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """One row of each component of ``df`` with all its columns; the rest goes, row by row.
+
+    The row with the smallest id stays - or, in a table with null or repeated ids, the one that comes
+    first in the table. Rows without a word are linked with nothing and stay.
+    """
+    rows, key = numbered(df, id_col)
+    gone = near_duplicates(rows, width, threshold, key, text_col).where("not kept").select("doc_id")
+    return drop_rows(rows, key, gone).select(*df.columns)
