@@ -7,7 +7,6 @@ rejects is gone from the next one's input. All but the last return the columns o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chartweave.llm import bpe, crf, exact, minhash, queries, wumanber
 from chartweave.session import materialize, table
@@ -20,9 +19,7 @@ LEAST_SPAN = 5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told. Rejected: no letter, null text, or no language with LEAST_SHARE."""
-    labels = crf.identify(docs, crf.fit_languages(docs)).where((F.col("lang_pred") == crf.UNDETERMINED) | (F.col("score") < LEAST_SHARE))
-    gone = labels.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return crf.drop_unidentified(docs, crf.fit_languages(docs), LEAST_SHARE)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
