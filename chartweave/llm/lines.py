@@ -1,14 +1,15 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Lines within one edit - a word inserted, deleted or replaced - share a variant: the line itself
-or the line less one word. Every line's variants are hashed keys; lines with an equal key meet
-in aggregates, the earliest line of each key wins, and the edit distance of each winner
+or the line less one word. Variants are hashed keys; lines with an equal key meet in
+aggregates, the earliest line of each key wins, and the edit distance of each winner
 and loser is verified on their words.
 
-Variants of all lines would be as many as the corpus has words. A filter that loses nothing goes first:
-a line is cut into a few segments after words that end in certain characters. One edit touches at
-most two neighbouring segments of either line, so two such lines share the hash of what is left
-without a run of one or two segments. Only lines that share one emit all their variants.
+Variants of all lines would be as many as the corpus has words. A filter that loses nothing goes
+first: a line of n words has as keys its first and its last k words for k = n // 2 and (n - 1) // 2. Of
+two lines within one edit, the shorter of n words, either the first or the last n // 2 words
+are the same, and both lines have them as a key. Keys that different lines share set bits of a map of bounded size;
+only lines with a key on it emit their variants.
 """
 
 from __future__ import annotations
@@ -16,78 +17,88 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import documents, map_batches
+from .shingles import constants, hashed_words, mix
 
 #: Equal lines of at least so many words go, so only blank ones stay; one edit counts from NEAR_WORDS words on.
 LEAST_WORDS, NEAR_WORDS = 1, 8
 #: Scripts written without spaces (Thai to Tibetan, Myanmar, Khmer, kana, Han and their extensions): each code point is a word.
-UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
-HAS_UNSPACED, UNITS = re.compile(f"[{UNSPACED}]"), re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
-#: A line is cut as coarsely as leaves so many segments.
-SEGMENTS = 4
-LEVELS = 7
-
-
-def _level(char: str) -> int:
-    """How coarse a cut a word-final character allows: each level holds about half of the last one's characters."""
-    mixed = (ord(char) * 0x9E3779B1 & 0xFFFFFFFF) >> 16
-    return min((mixed & -mixed).bit_length() - 1 if mixed else LEVELS, LEVELS)
-
-
-_levels: dict[str, int] = {}
-
-
-def level(char: str) -> int:
-    if char not in _levels:
-        _levels[char] = _level(char)
-    return _levels[char]
-
-
-def signed(digest: int) -> int:
-    return digest - (1 << 64) if digest >> 63 else digest
-
-
-def line_words(line: str) -> list[str]:
-    """What white space separates; of scripts without spaces every code point."""
-    return line.split() if line.isascii() or not HAS_UNSPACED.search(line) else UNITS.findall(line)
-
-
-def hash_words(words: list[str]) -> int:
-    return signed(xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")))
-
-
-def segment_keys(words: list[str]) -> list[int]:
-    """Hashes of the line without each run of one or two segments, at the coarsest level with enough segments
-    and, where a partner may have one segment less, at the level below."""
-    ends = [level(w[-1]) for w in words[:-1]]
-    wanted, keys = [], []
-    for depth in range(LEVELS, -1, -1):
-        cuts = [k + 1 for k, e in enumerate(ends) if e >= depth]
-        if len(cuts) + 1 >= SEGMENTS or depth == 0:
-            wanted.append((depth, cuts))
-            if len(cuts) + 1 > SEGMENTS:
-                break
-    for depth, cuts in wanted:
-        bounds = [0, *cuts, len(words)]
-        parts = [" ".join(words[a:b]) for a, b in zip(bounds, bounds[1:])]
-        ahead, behind = [""], [""]
-        for part in parts:
-            ahead.append(ahead[-1] + part + " ")
-        for part in reversed(parts):
-            behind.append(part + " " + behind[-1])
-        for run in (1, 2):
-            for k in range(len(parts) - run + 1):
-                left = f"{depth}\x00{ahead[k]}\x00{behind[len(parts) - k - run]}"
-                keys.append(signed(xxhash.xxh3_64_intdigest(left.encode("utf-8", "surrogatepass"))))
-    return keys
-
-
-def within_one_edit(a: list[str], b: list[str]) -> bool:
+UNSPACED = re.compile("[฀-໿ༀ-࿿က-႟ក-៿぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff]")
+#: All bytes but those that code points of these scripts begin with in UTF-8.
+OTHERS = bytes(b for b in range(256) if b not in (0xE0, 0xE1, 0xEF, 0xF0) and not 0xE3 <= b <= 0xE9)
+#: The contract's white space as a space.
+SPACED = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+#: Text that is hashed at once; the arrays take some 25 times its bytes.
+HASHED_BYTES = 2 << 20
+#: Bits of the key map for each shared key, and at most (32 MB). A fuller map passes more lines and loses none.
+MAP_BITS, MAP_MOST = 16, 1 << 28
+#: Positions that one row of the map's aggregate holds (fixed by bitmap_construct_agg).
+MAP_ROW = 1 << 15
+
+AHEAD, BEHIND, SIDE, LENGTH, STEP = constants(21, 5)
+STEP_BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
+
+
+def spread(text: bytes) -> bytes:
+    """The text with spaces around the code points of scripts that have none."""
+    if not text.translate(None, OTHERS):
+        return text
+    return UNSPACED.sub(r" \g<0> ", text.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape")
+
+
+class Lines:
+    """The lines of a batch of texts: word hashes, and where each line's words begin. O(words) throughout."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = b"\n" + b"\n".join(map(spread, texts)) + b"\n"
+        self.breaks = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 10)
+        starts, self.hashes = hashed_words(np.frombuffer(self.raw.translate(SPACED), np.uint8))
+        begin = np.searchsorted(starts, self.breaks)
+        self.begin, self.n = begin[:-1], np.diff(begin)
+        held = np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
+        self.text = np.repeat(np.arange(len(texts)), held)
+        self.number = np.arange(len(self.n)) - np.repeat(np.cumsum(held) - held, held)
+        self.place = np.arange(len(self.hashes)) - np.repeat(self.begin, self.n)
+
+    def _sums(self, place: np.ndarray, by: np.uint64) -> np.ndarray:
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.hashes + (place + 1).astype(np.uint64) * by))])
+
+    def ids(self) -> np.ndarray:
+        """A hash of each line's words and their order."""
+        self.ahead = self._sums(self.place, AHEAD)
+        return mix(self.ahead[self.begin + self.n] - self.ahead[self.begin] + self.n.astype(np.uint64) * LENGTH).view(np.int64)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """[lines, 4] hashes of first and last words, and which of them count; call after ids."""
+        behind = self._sums(np.repeat(self.n, self.n) - 1 - self.place, BEHIND)
+        keys, counts = np.zeros((len(self.n), 4), np.uint64), np.zeros((len(self.n), 4), bool)
+        end, near = self.begin + self.n, self.n >= NEAR_WORDS
+        for half in range(2):
+            k = np.maximum(self.n - half, 0) // 2
+            tag = (2 * k).astype(np.uint64)
+            keys[:, 2 * half] = mix(self.ahead[self.begin + k] - self.ahead[self.begin] + tag * SIDE)
+            keys[:, 2 * half + 1] = mix(behind[end] - behind[end - k] + (tag + np.uint64(1)) * SIDE)
+            counts[:, 2 * half : 2 * half + 2] = (near if half == 0 else near & (self.n % 2 == 0))[:, None]
+        return keys.view(np.int64), counts
+
+    def variants(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all lines, then of every line less each of its words."""
+        powers = np.cumprod(np.full(int(self.n.max(initial=0)) + 1, STEP), dtype=np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * powers[self.place])])
+        total = sums[self.begin + self.n] - sums[self.begin]
+        line = np.repeat(np.arange(len(self.n)), self.n)
+        at = np.arange(len(self.hashes))
+        left = sums[at] - sums[self.begin[line]] + (sums[self.begin[line] + self.n[line]] - sums[at + 1]) * STEP_BACK
+        size = self.n.astype(np.uint64)
+        return mix(total + size * LENGTH).view(np.int64), mix(left + (size[line] - np.uint64(1)) * LENGTH).view(np.int64)
+
+
+def within_one_edit(a: list, b: list) -> bool:
     """Word edit distance at most one."""
     if len(a) > len(b):
         a, b = b, a
@@ -99,89 +110,125 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
     return a[k + (len(a) == len(b)) :] == b[k + 1 :]
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts.sum(1))]).astype(np.int32)), pa.array(values[counts]))
+
+
+def _data(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return documents(df, id_col, text_col).where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("data"))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line (hash of its words), keys of every line with enough words."""
 
     def make():
         def apply(batch):
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for number, line in enumerate(text.split("\n")):
-                    words = line_words(line)
-                    if len(words) >= LEAST_WORDS:
-                        rows.append((doc_id, number, hash_words(words), segment_keys(words) if len(words) >= NEAR_WORDS else []))
-            return dict(zip(("doc_id", "line_no", "line", "keys"), zip(*rows) if rows else ((),) * 4))
+            lines = Lines(batch.column("data").to_pylist())
+            ids, (keys, counts) = lines.ids(), lines.keys()
+            use = lines.n >= LEAST_WORDS
+            return {"doc_id": batch.column("doc_id").take(pa.array(lines.text[use])), "line_no": lines.number[use], "line": ids[use], "keys": _lists(keys[use], counts[use])}
 
         return apply
 
-    return map_batches(documents(df, id_col, text_col), make, "doc_id long, line_no long, line long, keys array<long>")
-
+    return map_batches(docs, make, "doc_id long, line_no long, line long, keys array<long>", HASHED_BYTES)
 
-def _place(prefix: str = ""):
-    return F.struct(F.col(prefix + "doc_id"), F.col(prefix + "line_no"))
 
+def _key_map(keys: DataFrame) -> np.ndarray:
+    """Bytes of a map with a bit for each of ``keys``, which folds them by their low bits; MAP_MOST bits at most."""
+    bits = min(MAP_MOST, max(MAP_ROW, 1 << (MAP_BITS * keys.count()).bit_length()))
+    place = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("place"))
+    rows = place.groupBy(F.floor(F.col("place") / MAP_ROW).alias("row")).agg(F.bitmap_construct_agg(F.col("place") % MAP_ROW).alias("map")).toArrow()
+    out = np.zeros((bits // MAP_ROW, MAP_ROW // 8), np.uint8)
+    for row, data in zip(rows.column("row").to_pylist(), rows.column("map").to_pylist()):
+        out[row] = np.frombuffer(data, np.uint8)
+    return out.ravel()
 
-def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no of every line that goes.
 
-    A line goes if an earlier one (by doc_id, then line number from 0) has equal words, or has
-    NEAR_WORDS words at least, like itself, and is one word edit away. Lines are split at line feeds;
-    white space only separates words (see line_words). Blank lines, null and empty texts lose
-    nothing. Rows that repeat an id are the same lines and do not remove each other.
-    """
-    lines = materialize(_lines(df, id_col, text_col).where("doc_id is not null"), "lines")
-    firsts = materialize(lines.groupBy("line").agg(F.min(_place()).alias("first")).select("line", "first.*"), "firsts")
-    keys = lines.select(F.explode("keys").alias("key"), "line")
-    met = keys.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("key")
-    close = keys.join(met, "key").select("line").distinct().join(firsts, "line")
-    wanted = close.groupBy("doc_id").agg(F.collect_set("line_no").alias("numbers"))
-    docs = documents(df, id_col, text_col).join(wanted, "doc_id").dropDuplicates(["doc_id"])
+def _close_lines(docs: DataFrame, key_map: np.ndarray) -> DataFrame:
+    """line, doc_id, line_no, data: the first place and the text of every line with a key on the map."""
+    shared = docs.sparkSession.sparkContext.broadcast(key_map)
 
     def make():
+        bits = shared.value
+
         def apply(batch):
-            rows = []
-            for doc_id, text, numbers in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "numbers"))):
-                split = text.split("\n")
-                rows += [(doc_id, n, hash_words(words), words) for n in numbers for words in [line_words(split[n])]]
-            return dict(zip(("doc_id", "line_no", "line", "words"), zip(*rows) if rows else ((),) * 4))
+            lines = Lines(batch.column("data").to_pylist())
+            ids, (keys, counts) = lines.ids(), lines.keys()
+            place = keys & np.int64(8 * len(bits) - 1)
+            found = np.flatnonzero((counts & (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)).any(1))
+            data = [lines.raw[a + 1 : b] for a, b in zip(lines.breaks[found].tolist(), lines.breaks[found + 1].tolist())]
+            return {"line": ids[found], "doc_id": batch.column("doc_id").take(pa.array(lines.text[found])), "line_no": lines.number[found], "data": data}
 
         return apply
 
-    texts = materialize(map_batches(docs, make, "doc_id long, line_no long, line long, words array<string>"), "close-lines")
+    found = map_batches(docs, make, "line long, doc_id long, line_no long, data binary", HASHED_BYTES)
+    return found.groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "data")).alias("first")).select("line", "first.*")
+
 
-    def emit():
+def _variants(texts: DataFrame) -> DataFrame:
+    """variant, gone (the word left out, -1 for the whole line), doc_id, line_no."""
+
+    def make():
         def apply(batch):
-            rows = []
-            for doc_id, number, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "line_no", "words"))):
-                rows.append((hash_words(words), -1, doc_id, number))
-                rows += [(hash_words(words[:k] + words[k + 1 :]), k, doc_id, number) for k in range(len(words))]
-            return dict(zip(("variant", "gone", "doc_id", "line_no"), zip(*rows) if rows else ((),) * 4))
+            lines = Lines(batch.column("data").to_pylist())
+            whole, less = lines.variants()
+            own = pa.array(np.concatenate([np.arange(len(whole)), np.repeat(np.arange(len(whole)), lines.n)]))
+            gone = np.concatenate([np.full(len(whole), -1), lines.place])
+            return {"variant": np.concatenate([whole, less]), "gone": gone, "doc_id": batch.column("doc_id").take(own), "line_no": batch.column("line_no").take(own)}
 
         return apply
 
-    variants = materialize(map_batches(texts.select("doc_id", "line_no", "words"), emit, "variant long, gone long, doc_id long, line_no long"), "variants")
-    replaced = variants.where("gone >= 0").groupBy("variant", "gone").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first < last")
+    return map_batches(texts.select("doc_id", "line_no", "data"), make, "variant long, gone int, doc_id long, line_no long", HASHED_BYTES)
+
+
+def _place(prefix: str = ""):
+    return F.struct(F.col(prefix + "doc_id"), F.col(prefix + "line_no"))
+
+
+def _near_lines(texts: DataFrame) -> DataFrame:
+    """line: those of ``texts`` that an earlier one is one edit away from."""
+    variants = _variants(texts)
+    met = variants.groupBy("variant").agg(F.min(_place()).alias("low"), F.max(_place()).alias("high")).where("low < high").select("variant")
+    live = materialize(variants.join(met, "variant"), "variants")
+    replaced = live.where("gone >= 0").groupBy("variant", "gone").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first < last")
     whole = F.when(F.col("gone") < 0, _place())
     part = F.when(F.col("gone") >= 0, _place())
-    changed = variants.groupBy("variant").agg(F.min(whole).alias("whole"), F.min(part).alias("part")).where("whole is not null and part is not null")
-    first = variants.join(replaced.drop("last"), ["variant", "gone"]).select("doc_id", "line_no", "first")
-    second = variants.join(changed, "variant").select("doc_id", "line_no", F.when(F.col("gone") < 0, F.col("part")).otherwise(F.col("whole")).alias("first"))
+    changed = live.groupBy("variant").agg(F.min(whole).alias("whole"), F.min(part).alias("part")).where("whole is not null and part is not null")
+    first = live.join(replaced.drop("last"), ["variant", "gone"]).select("doc_id", "line_no", "first")
+    second = live.join(changed, "variant").select("doc_id", "line_no", F.when(F.col("gone") < 0, F.col("part")).otherwise(F.col("whole")).alias("first"))
     pairs = first.unionByName(second).where(F.col("first") < _place()).groupBy("doc_id", "line_no").agg(F.min("first").alias("first"))
     pairs = pairs.select("doc_id", "line_no", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("n"))
-    own = texts.select("doc_id", "line_no", "line", "words")
-    other = texts.select(F.col("doc_id").alias("d"), F.col("line_no").alias("n"), F.col("words").alias("others"))
+    other = texts.select(F.col("doc_id").alias("d"), F.col("line_no").alias("n"), F.col("data").alias("other"))
 
     def verify():
         def apply(batch):
-            good = [within_one_edit(a, b) for a, b in zip(batch.column("words").to_pylist(), batch.column("others").to_pylist())]
+            good = [within_one_edit(a.split(), b.split()) for a, b in zip(batch.column("data").to_pylist(), batch.column("other").to_pylist())]
             return {"line": batch.column("line").to_numpy()[np.array(good, bool)]}
 
         return apply
 
-    near = map_batches(pairs.join(own, ["doc_id", "line_no"]).join(other, ["d", "n"]).select("line", "words", "others"), verify, "line long").distinct()
-    verdict = firsts.select("line", _place().alias("first")).join(near.withColumn("near", F.lit(True)), "line", "left")
-    repeated = lines.select("doc_id", "line_no", "line").join(verdict, "line")
-    return repeated.where(F.col("near") | (_place() != F.col("first"))).select("doc_id", "line_no").distinct()
+    return map_batches(pairs.join(texts, ["doc_id", "line_no"]).join(other, ["d", "n"]).select("line", "data", "other"), verify, "line long").distinct()
+
+
+def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, line_no of every line that goes.
+
+    A line goes if an earlier one (by doc_id, then line number from 0) has equal words, or has
+    NEAR_WORDS words at least, like itself, and is one word edit away. Lines are split at line feeds;
+    [\\x20\\x09-\\x0D] only separates words, and of scripts without spaces each code point is a word. Blank lines, null and
+    empty texts lose nothing, nor do rows without an id. An id names one document: rows that repeat it are the same lines and do not remove
+    each other. A group of equal lines or of lines with a common variant meets only in combined
+    aggregates and in joins, whatever its size.
+    """
+    docs = _data(df, id_col, text_col)
+    lines = materialize(_lines(docs), "lines")
+    keys = lines.select(F.explode("keys").alias("key"), "line")
+    met = keys.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("key")
+    texts = materialize(_close_lines(docs, _key_map(materialize(met, "keys"))), "close-lines")
+    near = _near_lines(texts).withColumn("near", F.lit(True))
+    firsts = lines.groupBy("line").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
+    verdict = firsts.join(near, "line", "left").where("n > 1 or near").select("line", "first", "near")
+    return lines.select("doc_id", "line_no", "line").join(verdict, "line").where(F.col("near") | (_place() != F.col("first"))).select("doc_id", "line_no").distinct()
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ PLAIN = bytes(32 if c in (9, 10, 11, 12, 13, 32) else c + 32 if 65 <= c <= 90 el
 _MASK = (1 << 64) - 1
 
 
-def _constants(seed: int, n: int) -> np.ndarray:
+def constants(seed: int, n: int) -> np.ndarray:
     """``n`` odd 64-bit numbers by splitmix64."""
     out = []
     for _ in range(n):
@@ -22,8 +22,8 @@ def _constants(seed: int, n: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-BYTE_VALUES = _constants(1, 256)
-PLACE = _constants(2, 16)
+BYTE_VALUES = constants(1, 256)
+PLACE = constants(2, 16)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,25 +32,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts one after the other, and the number of words of each text."""
-    data = np.frombuffer((b" " + b" ".join(texts) + b" ").translate(PLAIN), np.uint8)
+#: Words whose letters are hashed at once; the arrays take some 25 times their bytes.
+BLOCK_WORDS = 1 << 17
+
+
+def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of ``data`` starts, and its hash. Spaces (32) part words; ``data`` begins and ends with one."""
     word = data != 32
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
-    lengths = ends - starts
+    hashes = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), BLOCK_WORDS):
+        a, b = starts[at : at + BLOCK_WORDS], ends[at : at + BLOCK_WORDS]
+        lengths = b - a
+        letters = data[a[0] : b[-1]][word[a[0] : b[-1]]]
+        firsts = np.cumsum(lengths) - lengths
+        place = np.arange(len(letters), dtype=np.int32)
+        place -= np.repeat(firsts.astype(np.int32), lengths)
+        powers = np.cumprod(np.full(int(lengths.max()), PLACE[0]), dtype=np.uint64)
+        values = powers[place]
+        values *= BYTE_VALUES[letters]
+        hashes[at : at + BLOCK_WORDS] = mix(np.add.reduceat(values, firsts) + lengths.astype(np.uint64))
+    return starts, hashes
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts one after the other, and the number of words of each text."""
+    data = np.frombuffer((b" " + b" ".join(texts) + b" ").translate(PLAIN), np.uint8)
+    starts, hashes = hashed_words(data)
     begins = 1 + np.cumsum([0, *(len(t) + 1 for t in texts)])
-    count = np.diff(np.searchsorted(starts, begins))
-    letters = data[word]
-    firsts = np.cumsum(lengths) - lengths
-    place = np.arange(len(letters), dtype=np.int32)
-    place -= np.repeat(firsts.astype(np.int32), lengths)
-    powers = np.cumprod(np.full(int(lengths.max()), PLACE[0]), dtype=np.uint64)
-    values = powers[place]
-    values *= BYTE_VALUES[letters]
-    return mix(np.add.reduceat(values, firsts) + lengths.astype(np.uint64)), count
+    return hashes, np.diff(np.searchsorted(starts, begins))
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +100,7 @@ def minima(flat: np.ndarray, sizes: np.ndarray, functions: int) -> np.ndarray:
     if has.any():
         firsts = (np.cumsum(sizes) - sizes)[has]
         short = (flat >> np.uint64(32)).astype(np.uint32)
-        scale, shift = _constants(7, functions), _constants(8, functions)
+        scale, shift = constants(7, functions), constants(8, functions)
         for k in range(functions):
             out[has, k] = np.minimum.reduceat(short * np.uint32(int(scale[k]) >> 32 | 1) ^ np.uint32(int(shift[k]) >> 32), firsts)
     return out

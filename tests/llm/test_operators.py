@@ -193,6 +193,32 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_keys_of_near_lines_and_long_lines(spark):
+    rng = random.Random(14)
+    for _ in range(300):
+        a = [f"w{rng.randrange(6)}" for _ in range(rng.randrange(8, 20))]
+        b = list(a)
+        spot, kind = rng.randrange(len(b)), rng.randrange(3)
+        if kind == 0:
+            b[spot] = "changed"
+        elif kind == 1:
+            b.insert(spot, "added")
+        elif len(b) > 8:
+            del b[spot]
+        both = lines.Lines([" ".join(a).encode(), "  ".join(b).encode()])
+        ids, (keys, counts) = both.ids(), both.keys()
+        assert set(keys[0][counts[0]]) & set(keys[1][counts[1]]) and (ids[0] == ids[1]) == (a == b)
+        whole, less = both.variants()
+        known = {}
+        for k, own in enumerate((a, b)):
+            known.setdefault(whole[k], tuple(own))
+            for j in range(len(own)):
+                assert known.setdefault(less[j + (len(a) if k else 0)], tuple(own[:j] + own[j + 1 :])) == tuple(own[:j] + own[j + 1 :])
+    same = " ".join(["ab"] * 50_000)
+    df = clashing(spark.createDataFrame([(1, same, None, None, 0), (2, same + " ab", None, None, 0), (3, "x " + same, None, None, 0), (4, same + " ab ab", None, None, 0), (None, same, None, None, 0)], SCHEMA))
+    assert set(map(tuple, lines.duplicate_lines(df).collect())) == {(2, 0), (3, 0), (4, 0)}
+
+
 def test_short_and_unspaced_lines_go(spark):
     han, thai = "今天我们去北京看长城和故宫", "วันนี้เราไปเที่ยวกรุงเทพ"
     texts = [f"Les.\ntwo words\n{han}\n{thai}\n\n天", f"Les.\ntwo  words\n{han}\n{thai}\n\n天", f"{han.replace('看', '见')}\n{thai[:9]}{thai[10:]}\n天地\n2024-01-01", "2024-01-02\nLes!\n", None]
