@@ -20,12 +20,14 @@ from .gru import GatedModel
 from .shingles import word_hashes
 
 #: Ids of the network: 0 for any word outside its vocabulary, 1 for the end of a text, then words.
-VOCABULARY = 2_048
+VOCABULARY = 3_072
 OTHER, END = 0, 1
 #: Frequent words whose counts go to every task (16 bytes each); all other words meet their counts in a join.
 LISTED = 1 << 18
 #: Rounds of training; each training document is learnt from in exactly one of them.
 ROUNDS = 2
+#: Training tokens that one copy of the network learns from in a round, about.
+GROUP_TOKENS = 1_000_000
 #: Text that is hashed at once when counting, and that the network scores at once.
 COUNT_BYTES, SCORE_BYTES = 2 << 20, 4 << 20
 #: Models that one task averages.
@@ -93,49 +95,67 @@ def _average(models: DataFrame) -> DataFrame:
         import pandas as pd
 
         weight, total = 0.0, 0.0
+        frame = frame.sort_values("spot")
         for data, tokens in zip(frame["model"], frame["tokens"]):
             total = total + np.frombuffer(data, np.float32).astype(float) * tokens
             weight += tokens
         return pd.DataFrame({"place": [key[0]], "model": [(total / weight).astype(np.float32).tobytes()], "tokens": [int(weight)]})
 
-    grouped = models.withColumn("place", F.floor(F.col("place") / FAN_IN))
+    grouped = models.withColumn("spot", F.col("place")).withColumn("place", F.floor(F.col("place") / FAN_IN))
     return grouped.groupBy("place").applyInPandas(mean, "place long, model binary, tokens long")
 
 
-def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> GatedModel:
-    """Train the network on all ``docs`` (doc_id, data): in each round every task trains a copy on its documents of
-    the round, and the copies are averaged in a tree. The rounds together learn from every row once;
-    the model's ``seen`` says from how many tokens."""
+def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, group_tokens: int = GROUP_TOKENS) -> GatedModel:
+    """Train the network on all ``docs`` (doc_id, data). The documents are dealt by a hash of their id into rounds and,
+    within a round, into groups; each group trains a copy of the network in the order of ids, and the round's copies are averaged in a
+    tree. So the rounds together learn from every row once - the model's ``seen`` says from how many tokens - and
+    the outcome depends on the documents, not on how the table lies in files.
+    """
     spark = docs.sparkSession
     model, seen_before = GatedModel(lex.start_counts), 0
     shared_lexicon = spark.sparkContext.broadcast(lex)
+    groups = -(-lex.tokens // (rounds * group_tokens)) or 1
+
+    def encode():
+        def apply(batch):
+            ids = shared_lexicon.value.id_lists(*word_hashes(batch.column("data").to_pylist()))[0]
+            return {"place": batch.column("place"), "doc_id": batch.column("doc_id"), "ids": [x.astype(np.uint16).tobytes() for x in ids]}
+
+        return apply
+
+    schema = pa.schema([("place", pa.int64()), ("model", pa.binary()), ("tokens", pa.int64())])
+    number = F.coalesce("doc_id", F.xxhash64("data"))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("data")
-        schema = pa.schema([("place", pa.int64()), ("model", pa.binary()), ("tokens", pa.int64())])
+        own = docs.where(F.pmod(F.xxhash64(number), F.lit(rounds)) == k).withColumn("place", F.pmod(F.xxhash64(F.lit(1), number), F.lit(groups)))
+        dealt = map_batches(own, encode, "place long, doc_id long, ids binary", COUNT_BYTES).repartition(groups, "place").sortWithinPartitions("place", "doc_id", "ids")
 
-        def learn(batches, shared=shared, schema=schema):
-            local, seen, waiting, tokens = None, 0, [], 0
+        def learn(batches, shared=shared):
+            local, group, seen, waiting, tokens = None, None, 0, [], 0
 
             def flush():
-                nonlocal local, seen, waiting, tokens
-                local = local or GatedModel(shared_lexicon.value.start_counts).unpack(shared.value.packed())
+                nonlocal seen, waiting, tokens
                 seen += local.train(waiting)
                 waiting, tokens = [], 0
 
+            def done():
+                if waiting:
+                    flush()
+                if local is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([local.packed()], pa.binary()), pa.array([seen], pa.int64())], schema=schema)
+
             for batch in batches:
-                for text in batch.column("data").to_pylist():
-                    ids = shared_lexicon.value.id_lists(*word_hashes([text]))[0][0]
-                    waiting.append(ids)
-                    tokens += len(ids)
+                for place, ids in zip(batch.column("place").to_pylist(), batch.column("ids")):
+                    if place != group:
+                        yield from done()
+                        local, group, seen = GatedModel(shared_lexicon.value.start_counts).unpack(shared.value.packed()), place, 0
+                    waiting.append(np.frombuffer(ids.as_py(), np.uint16).astype(np.int32))
+                    tokens += len(waiting[-1])
                     if tokens >= TRAIN_TOKENS:
                         flush()
-            if waiting:
-                flush()
-            if local is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([local.packed()], pa.binary()), pa.array([seen], pa.int64())], schema=schema)
+            yield from done()
 
-        models = materialize(own.mapInArrow(learn, "place long, model binary, tokens long"), "models")
+        models = materialize(dealt.mapInArrow(learn, "place long, model binary, tokens long"), "models")
         while models.limit(2).count() > 1:
             models = materialize(_average(models), "models")
         found = models.first()

@@ -50,8 +50,8 @@ def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.arange(len(letters), dtype=np.int32)
         place -= np.repeat(firsts.astype(np.int32), lengths)
         powers = np.cumprod(np.full(int(lengths.max()), PLACE[0]), dtype=np.uint64)
-        values = powers[place]
-        values *= BYTE_VALUES[letters]
+        values = powers.take(place)
+        values *= BYTE_VALUES.take(letters)
         hashes[at : at + BLOCK_WORDS] = mix(np.add.reduceat(values, firsts) + lengths.astype(np.uint64))
     return starts, hashes
 

@@ -319,6 +319,17 @@ def test_every_training_document_is_learnt_from_once(spark):
     lex = lm.lexicon(lm.count_words(data), len(rows))
     model = lm.train(data.select("doc_id", F.col("text").cast("binary").alias("data")), lex)
     assert model.seen == lex.tokens == sum(len(t.split()) + 1 for _, t in rows)
+    shuffled = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").repartition(7)
+    texts = F.col("text").cast("binary").alias("data")
+    one, two = (lm.train(d.select("doc_id", texts), lex, group_tokens=5_000) for d in (data, shuffled))
+    assert one.packed() == two.packed() != model.packed()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_network_beats_the_counts_on_held_out_documents(spark, sf):
+    scored = queries.op10_lm_score(spark, f"/root/testdata/{sf}").where("held_out and n_tokens > 20")
+    base, score = scored.agg(F.sum("base_score"), F.sum("score")).first()
+    assert score > base
 
 
 def test_network_learns_and_its_classes_sum_to_one():
