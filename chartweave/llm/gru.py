@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASS_WORDS = 16, 56
+HIDDEN, CLASS_WORDS = 24, 56
 #: Steps of a truncated window in training, sequences that train together, and the step size.
 WINDOW, STREAMS, RATE = 16, 256, 0.1
 #: A longer text is trained on in pieces of so many ids, each after the id before it, so that no stream outlasts the others by far.
-PIECE = 4096
+PIECE = 512
 #: Steps whose hidden states are held before their outputs are scored.
 SCORE_WINDOW = 32
 #: Rows whose outputs are scored together; their logits stay in a core's cache.
-BLOCK = 4096
+BLOCK = 512
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -60,6 +60,13 @@ def _softmax(x: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return picked - np.log(total), e, total
 
 
+def _slope(e: np.ndarray, total: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """Gradient of -log p by the logits, from what _softmax returns; spoils e."""
+    e /= total[:, None]
+    e[np.arange(len(e)), spot] -= 1
+    return e
+
+
 class GatedModel:
     """Ids 0 .. n-1; an id's class is id // CLASS_WORDS, so ids ordered by frequency share classes.
 
@@ -106,42 +113,38 @@ class GatedModel:
     def output(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """log p of each id after its state; with ``grads`` also the loss gradient by the states."""
         w, kind = self.weights, ids // CLASS_WORDS
-        out, back = np.empty(len(ids), np.float32), None
-        if grads is None:
-            for at in range(0, len(ids), BLOCK):
-                own = slice(at, at + BLOCK)
-                out[own] = _softmax(h[own] @ w["class"] + w["class_bias"], kind[own])[0]
-        else:
-            out, d, total = _softmax(h @ w["class"] + w["class_bias"], kind)
-            d /= total[:, None]
-            d[np.arange(len(ids)), kind] -= 1
-            back = d @ w["class"].T
-            grads["class"] = h.T @ d
-            grads["class_bias"] = d.sum(0)
+        out, inner = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
+        back = None if grads is None else np.empty_like(h)
+        if grads is not None:
+            grads |= {name: np.zeros_like(w[name]) for name in ("class", "class_bias", "word", "word_bias")}
+        for at in range(0, len(ids), BLOCK):
+            own = slice(at, at + BLOCK)
+            out[own], d, total = _softmax(h[own] @ w["class"] + w["class_bias"], kind[own])
+            if grads is not None:
+                d = _slope(d, total, kind[own])
+                np.matmul(d, w["class"].T, out=back[own])
+                grads["class"] += h[own].T @ d
+                grads["class_bias"] += d.sum(0)
         order = np.argsort(kind.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(len(w["class_bias"]) + 1)).tolist()
-        sorted_h, sorted_spot = h.take(order, axis=0), (ids - kind * CLASS_WORDS)[order]
-        inner = np.empty(len(ids), np.float32)
-        if grads is None:
-            for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                for at in range(a, b, BLOCK):
-                    own = slice(at, min(b, at + BLOCK))
-                    inner[own] = _softmax(sorted_h[own] @ w["word"][c] + w["word_bias"][c], sorted_spot[own])[0]
-        else:  # a window's few rows: one softmax over all classes, only the products by class
-            logits = w["word_bias"].take(kind[order], axis=0)
-            used = [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            for c, a, b in used:
-                logits[a:b] += sorted_h[a:b] @ w["word"][c]
-            inner, d, total = _softmax(logits, sorted_spot)
-            d /= total[:, None]
-            d[np.arange(len(ids)), sorted_spot] -= 1
-            word, bias, slope = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"]), np.empty_like(sorted_h)
-            for c, a, b in used:
-                np.matmul(d[a:b], w["word"][c].T, out=slope[a:b])
-                np.matmul(sorted_h[a:b].T, d[a:b], out=word[c])
-            bias[[c for c, _, _ in used]] = np.add.reduceat(d, [a for _, a, _ in used], axis=0)
+        sorted_kind, sorted_h, sorted_spot = kind[order], h.take(order, axis=0), (ids - kind * CLASS_WORDS)[order]
+        slope = None if grads is None else np.empty_like(sorted_h)
+        for at in range(0, len(ids), BLOCK):  # rows of many classes: one softmax over all, only the products by class
+            own = slice(at, at + BLOCK)
+            part, rows = sorted_kind[own], sorted_h[own]
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            runs = list(zip(part[cuts[:-1]].tolist(), cuts, cuts[1:]))
+            logits = w["word_bias"].take(part, axis=0)
+            for c, a, b in runs:
+                logits[a:b] += rows[a:b] @ w["word"][c]
+            inner[own], d, total = _softmax(logits, sorted_spot[own])
+            if grads is not None:
+                d = _slope(d, total, sorted_spot[own])
+                for c, a, b in runs:
+                    np.matmul(d[a:b], w["word"][c].T, out=slope[at + a : at + b])
+                    grads["word"][c] += rows[a:b].T @ d[a:b]
+                grads["word_bias"][[c for c, _, _ in runs]] += np.add.reduceat(d, cuts[:-1], axis=0)
+        if grads is not None:
             back[order] += slope
-            grads["word"], grads["word_bias"] = word, bias
         out[order] += inner
         return out, back
 

@@ -33,7 +33,7 @@ COUNT_BYTES, SCORE_BYTES = 2 << 20, 4 << 20
 #: Models that one task averages.
 FAN_IN = 8
 #: Tokens that wait for one pass of local training.
-TRAIN_TOKENS = 400_000
+TRAIN_TOKENS = 600_000
 
 
 def count_words(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
