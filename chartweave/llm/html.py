@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from .common import map_batches
 #: Winning paths go to every task as a broadcast up to so many bytes, else by a salted join.
 BROADCAST_BYTES = 16 << 20
 SALTS = 16
-#: A page keeps its own best container if the winning path holds less than this share of its score.
+#: A page keeps its own best container if the winning path holds less than this share of its text.
 AGREE = 0.3
 #: Parts of a path that count, from the container upwards.
 PATH_PARTS = 4
@@ -31,17 +32,21 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article body center div main section td blockquote".split())
 #: Elements without text of the article.
-CHROME = frozenset("aside button canvas datalist dialog footer form head iframe input label map menu nav noscript object option select svg template textarea title".split())
+CHROME = frozenset("aside button canvas datalist dialog footer form head iframe input map menu nav noscript object option select svg template textarea title".split())
 #: Words of class and id that mark what is not the article.
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus donate footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager paging pagination paywall popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
+#: In an article or main element a class or id marks such a part only as a whole: one of the words above, and beside it none but these.
+PLAIN_WORDS = frozenset("area articles bar block box button buttons container form inner item items link links list module panel post posts section slot stories thread unit wrap wrapper".split())
 CHROME_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words that mark the article.
 MAIN_WORDS = frozenset("article body content entry main page post story text".split())
 #: Before one of the words above these say that the element only stands beside it.
 BESIDE = frozenset("has with no without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The best container gives way to one above it whose text outside it is so large a share of its own, and so little of it links.
+OUTSIDE, OUTSIDE_LINKS = 0.25, 0.3
 #: What an opening tag closes: open elements of these names, up to the first of the stops.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -67,33 +72,28 @@ DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "part", "chrome", "main", "score", "text", "links", "link_text")
+    __slots__ = ("tag", "parent", "part", "chrome", "main", "within", "holder", "score", "text", "links", "link_text", "total", "kept", "mark")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent = tag, parent
-        self.score = self.text = self.links = self.link_text = 0
-        self.part, self.chrome, self.main = tag, tag in CHROME, False
+        self.score = self.text = self.links = self.link_text = self.total = self.kept = 0
+        self.part, self.chrome, self.main, self.mark = tag, tag in CHROME, False, False
+        self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))
+        #: The innermost container from here upwards.
+        self.holder = self if tag in CONTAINER else parent.holder if parent else None
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
         if found.get("class"):
             self.part = ".".join([tag, *sorted({DIGITS.sub("#", c) for c in found["class"].split()})])
         if tag in ("html", "body"):
             return
         for name in (found.get("class", "") + " " + found.get("id", "")).split():
-            words = [w.lower() for w in WORD.findall(name)]
-            beside = bool(BESIDE.intersection(words))
-            self.main |= bool(MAIN_WORDS.intersection(words))
-            self.chrome |= tag not in ("article", "main") and not beside and bool(CHROME_WORDS.intersection(words))
+            words = {w.lower() for w in WORD.findall(name)}
+            self.main |= bool(MAIN_WORDS & words)
+            if tag not in ("article", "main") and not BESIDE & words and CHROME_WORDS & words:
+                self.chrome |= not self.within or words <= CHROME_WORDS | PLAIN_WORDS
         self.chrome |= found.get("role", "").lower() in CHROME_ROLES or found.get("aria-hidden") == "true" or "hidden" in attributes.lower().split()
         if tag == "header":
-            self.chrome = not self.inside("article", "main")
-
-    def inside(self, *tags: str) -> bool:
-        node = self.parent
-        while node is not None:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
+            self.chrome = not self.within
 
     def path(self) -> str:
         parts, node = [], self
@@ -108,8 +108,9 @@ class Page:
 
     def __init__(self, html: str):
         self.blocks: list[tuple[Node, str]] = []
-        self.containers: list[Node] = []
         self.node = self.root = Node("html", None, "")
+        self.nodes: list[Node] = [self.root]  # parents before their children
+        self.live = Counter()  # open elements by tag
         self.waiting: list[str] = []
         self.linked: list[str] = []
         self.anchors = 0
@@ -138,15 +139,16 @@ class Page:
                 node, self.node.text = self.node, self.node.text + len(text)
                 linked = sum(map(len, self.linked))
                 self.blocks.append((node, text))
-                up = node
-                while up is not None and linked:  # a list's links count for all that holds it
-                    up.links += 1
-                    up.link_text += min(linked, len(text))
-                    up = up.parent
+                if linked:
+                    node.links += 1
+                    node.link_text += min(linked, len(text))
             self.waiting, self.linked = [], []
 
     def _pop_to(self, node: Node | None) -> None:
-        self.node = node or self.root
+        node = node or self.root
+        while self.node is not node:
+            self.live[self.node.tag] -= 1
+            self.node = self.node.parent
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "a":
@@ -164,14 +166,14 @@ class Page:
             self._pop_to(self.node.parent)
         names, stops = CLOSES.get(tag, ((), ()))
         up = self.node
-        while names and up is not None and up.tag not in stops:
+        while any(self.live[name] for name in names) and up is not None and up.tag not in stops:
             if up.tag in names:
                 self._pop_to(up.parent)
                 break
             up = up.parent
         self.node = Node(tag, self.node, attributes)
-        if tag in CONTAINER:
-            self.containers.append(self.node)
+        self.nodes.append(self.node)
+        self.live[tag] += 1
 
     def _close(self, tag: str, _: str) -> None:
         if tag == "a":
@@ -179,7 +181,7 @@ class Page:
         if tag not in BLOCK and tag not in CHROME:
             return
         self._flush()
-        up = self.node
+        up = self.node if self.live[tag] else None
         while up is not None and up.tag != tag:
             up = up.parent
         if up is not None and up is not self.root:
@@ -187,61 +189,57 @@ class Page:
             self.anchors = 0
 
     def _score(self) -> None:
-        total: dict[int, int] = {}
-        for node, text in self.blocks:
-            up = node
-            while up is not None:
-                total[id(up)] = total.get(id(up), 0) + len(text)
-                up = up.parent
-        for node, _ in self.blocks:  # a list that is mostly links is a menu
-            up = node
-            while up is not None:
-                if up.tag in ("ul", "ol") and up.links >= MENU_LINKS and up.link_text >= MENU_SHARE * total[id(up)]:
-                    up.chrome = True
-                up = up.parent
-        hidden: dict[int, bool] = {}
-
-        def out(node: Node | None) -> bool:
-            if node is None:
-                return False
-            if id(node) not in hidden:
-                hidden[id(node)] = node.chrome or out(node.parent)
-            return hidden[id(node)]
-
-        self.kept = [(node, text) for node, text in self.blocks if not out(node)]
+        """All passes go over the nodes in their order or against it, so that a page costs its size whatever its depth."""
+        for node in self.nodes:
+            node.total = node.text
+        for node in reversed(self.nodes):
+            if node.parent is not None:
+                node.parent.total += node.total
+                node.parent.links += node.links
+                node.parent.link_text += node.link_text
+            if node.tag in ("ul", "ol") and not node.within and node.links >= MENU_LINKS and node.link_text >= MENU_SHARE * node.total:
+                node.chrome = True  # a list that is mostly links is a menu, outside an article
+        for node in self.nodes:
+            node.chrome |= node.parent is not None and node.parent.chrome
+        self.kept = [(node, text) for node, text in self.blocks if not node.chrome]
         for node, text in self.kept:
-            worth, share, up = len(text) - 2 * (node.link_text if node.links else 0), 1.0, node
+            node.kept += len(text)
+            worth, share, up = len(text) - 2 * (node.link_text if node.links else 0), 1.0, node.holder
             while up is not None and share > 0.2:
-                if up.tag in CONTAINER:
-                    up.score += share * worth * (1.5 if up.tag in ("article", "main") else 1.25 if up.main else 1)
-                    share /= 2
-                up = up.parent
+                up.score += share * worth * (1.5 if up.tag in ("article", "main") else 1.25 if up.main else 1)
+                share /= 2
+                up = up.parent.holder if up.parent else None
+        for node in reversed(self.nodes):
+            if node.parent is not None:
+                node.parent.kept += node.kept
+        self.containers = [node for node in self.nodes if node.holder is node]
 
     def best(self) -> Node | None:
-        """The container with the highest score, the first of equals; None without text."""
+        """The container with the highest score, the first of equals, or one above it that holds more of the article; None without text."""
         live = [c for c in self.containers if c.score > 0]
-        return max(live, key=lambda c: c.score) if live else None
+        if not live:
+            return None
+        top = up = max(live, key=lambda c: c.score)
+        while up.parent is not None and (up := up.parent.holder) is not None and not (up.tag == "body" and (top.within or top.tag in ("article", "main"))):
+            outside, links = up.kept - top.kept, up.link_text - top.link_text
+            if outside > 0 and (up.tag in ("article", "main") or outside >= OUTSIDE * top.kept and links <= OUTSIDE_LINKS * outside):
+                top = up
+        return top
 
     def under(self, nodes: list[Node]) -> str:
-        wanted, known = {id(n) for n in nodes}, {}
-
-        def holds(node: Node | None) -> bool:
-            if node is None:
-                return False
-            if id(node) not in known:
-                known[id(node)] = id(node) in wanted or holds(node.parent)
-            return known[id(node)]
-
-        return "\n\n".join(text for node, text in self.kept if holds(node))
+        wanted = {id(n) for n in nodes}
+        for node in self.nodes:
+            node.mark = id(node) in wanted or node.parent is not None and node.parent.mark
+        return "\n\n".join(text for node, text in self.kept if node.mark)
 
     def extract(self, path: str | None) -> str:
         """Text under the winning path, or under the page's own best container where the path holds too little."""
         own = self.best()
         if own is None:
             return "\n\n".join(text for _, text in self.kept)
-        voted = [c for c in self.containers if c.score > 0 and c.path() == path]
-        if sum(c.score for c in voted) < AGREE * own.score:
-            voted = [c for c in self.containers if c.path() == own.path() and c.score > 0]
+        voted = [c for c in self.containers if c.kept > 0 and c.path() == path]
+        if max((c.kept for c in voted), default=0) < AGREE * own.kept:
+            voted = [c for c in self.containers if c.path() == own.path() and c.kept > 0]
         return self.under(voted)
 
 

@@ -28,8 +28,8 @@ LISTED = 1 << 18
 ROUNDS = 2
 #: Training tokens that one copy of the network learns from in a round, about.
 GROUP_TOKENS = 1_000_000
-#: Text that is hashed at once when counting, and that the network scores at once.
-COUNT_BYTES, SCORE_BYTES = 2 << 20, 4 << 20
+#: Text that is hashed at once when counting, and that the network scores at once: with many texts a step the few longest cost little.
+COUNT_BYTES, SCORE_BYTES = 2 << 20, 12 << 20
 #: Models that one task averages.
 FAN_IN = 8
 #: Tokens that wait for one pass of local training.

@@ -128,7 +128,7 @@ def _full_sets(df: DataFrame, wanted: DataFrame, width: int, id_col: str, text_c
     return map_batches(found, make, "rep long, shingles binary", HASHED_BYTES).dropDuplicates(["rep"])
 
 
-def _frequent(sets: DataFrame) -> list[int]:
+def _frequent(sets: DataFrame) -> np.ndarray:
     """Shingles of the most sampled sets, the most frequent last. Any list keeps the search exact; a good one keeps it short."""
 
     def make():
@@ -139,13 +139,13 @@ def _frequent(sets: DataFrame) -> list[int]:
 
     sample = sets.where(F.pmod(F.xxhash64("rep"), F.lit(ORDER_SAMPLE)) == 0).select("shingles")
     counted = map_batches(sample, make, "shingle long").groupBy("shingle").count().where("count > 1")
-    listed = counted.orderBy(F.desc("count"), "shingle").limit(ORDER_LISTED)
-    return [r[0] for r in listed.collect()][::-1]
+    listed = counted.orderBy(F.desc("count"), "shingle").limit(ORDER_LISTED).select("shingle").toArrow()
+    return listed.column("shingle").to_numpy()[::-1]
 
 
-def _prefixes(sets: DataFrame, frequent: list[int], threshold: int) -> DataFrame:
+def _prefixes(sets: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
     """rep, shingle, place: the first shingles of each set, as many as any partner at the threshold must meet."""
-    shared = sets.sparkSession.sparkContext.broadcast(np.array(frequent, np.int64))
+    shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
         rank = np.argsort(shared.value, kind="stable")

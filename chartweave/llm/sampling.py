@@ -26,10 +26,3 @@ def stratified(df: DataFrame, stratum: str, per_stratum: int, id_col: str = "doc
     thinned = df.where(reduce(lambda a, b: a | b, below))
     order = Window.partitionBy(stratum).orderBy(place, F.col(id_col))
     return thinned.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= per_stratum).drop("__rank")
-
-
-def excerpt(text_col: str, chars: int, id_col: str = "doc_id"):
-    """The text, or where it is longer a stretch of ``chars`` code points at a place its id decides."""
-    spare = F.greatest(F.length(text_col) - chars, F.lit(0))
-    start = F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), spare + 1)
-    return F.substring(F.col(text_col), (start + 1).cast("int"), F.lit(chars))

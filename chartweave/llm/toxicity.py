@@ -15,20 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, map_batches, remainder
-from .sampling import excerpt, stratified
+from .sampling import stratified
 
 #: Buckets of the hashed terms, and length of a term's vector.
 BUCKETS = 1 << 20
 FACTORS = 4
-#: Labelled documents of each class that the machine is fitted on, and code points of each.
+#: Labelled documents of each class, whole, that the machine is fitted on.
 PER_CLASS = 2_000
-SAMPLE_CHARS = 10_000
-#: Sample documents that must hold a term, and how many terms get vectors at most.
-TERM_LEAST, PAIR_TERMS = 3, 4_096
+#: Sample documents that must hold a term.
+TERM_LEAST = 3
 LINEAR_EPOCHS, PAIR_EPOCHS, BATCH = 16, 8, 256
 RATE, SPARSE, SHRINK = 0.3, 1e-3, 1e-3
-#: A term gets a vector if so many sample documents hold it and its count departs from the class share by so many deviations.
-PAIR_LEAST, PAIR_DEVIATIONS = 10, 4.0
+#: Every term starts with a vector of such random parts; the penalty on a vector's length takes those to zero that no pair needs.
+PAIR_START, PAIR_SPARSE = 0.05, 4e-3
+#: Texts of more terms have their pairs weighed down in proportion.
+PAIR_TERMS = 64
 THRESHOLD = 0.3
 KEPT_WORDS = 400_000
 
@@ -54,6 +55,11 @@ def bucket(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+def pair_scale(terms: np.ndarray) -> np.ndarray:
+    """What pairs count for in a text of so many terms: chance pairs of a long text grow with its square."""
+    return np.minimum(1.0, PAIR_TERMS / np.maximum(terms, 1))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -69,7 +75,7 @@ class FactorizationMachine:
 
     def fit(self, rows: list[tuple[int, np.ndarray, float]], seed: int = 11) -> FactorizationMachine:
         """rows: (class, buckets, importance). Proximal AdaGrad: first the linear part with an L1
-        penalty, then both parts over the terms that matter."""
+        penalty, then both parts, where every term has a vector."""
         rng = np.random.default_rng(seed)
         if not rows:
             return self
@@ -88,9 +94,6 @@ class FactorizationMachine:
         kept = kept[seen >= TERM_LEAST]
         owner, column = owner[use], np.searchsorted(kept, flat[use])
         n = len(kept)
-        hits, count = np.bincount(column, truth[owner], n), np.bincount(column, minlength=n)
-        rate = truth.mean()
-        lift = np.abs(hits - count * rate) / np.sqrt(count * rate * (1 - rate) + 1e-9)
         begin = np.searchsorted(owner, np.arange(len(rows) + 1))
         w, w_sum = np.zeros(n), np.full(n, 1e-4)
         v, v_sum = np.zeros((n, FACTORS)), np.full((n, FACTORS), 1e-2)
@@ -108,7 +111,8 @@ class FactorizationMachine:
                 if pairs:
                     vec = v[col]
                     total = np.stack([np.bincount(own, vec[:, f], len(part)) for f in range(FACTORS)], 1)
-                    value += 0.5 * ((total**2).sum(1) - np.bincount(own, (vec**2).sum(1), len(part)))
+                    scale = pair_scale(sizes)
+                    value += 0.5 * scale * ((total**2).sum(1) - np.bincount(own, (vec**2).sum(1), len(part)))
                 error = (sigmoid(value) - truth[part]) * importance[part] / len(part)
                 used, spot = np.unique(col, return_inverse=True)
                 grad = np.bincount(spot, error[own], len(used))
@@ -119,23 +123,23 @@ class FactorizationMachine:
                 b_sum += error.sum() ** 2
                 self.bias -= RATE * error.sum() / np.sqrt(b_sum)
                 if pairs:
-                    inner = error[own][:, None] * (total[own] - vec)
+                    inner = (error * scale)[own][:, None] * (total[own] - vec)
                     slope = np.stack([np.bincount(spot, inner[:, f], len(used)) for f in range(FACTORS)], 1)
                     slope = (slope + SHRINK * v[used]) * (v[used] != 0)
                     v_sum[used] += slope**2
-                    v[used] -= 0.5 * RATE * slope / np.sqrt(v_sum[used])
+                    pace = 0.5 * RATE / np.sqrt(v_sum[used])
+                    new = v[used] - pace * slope
+                    length = np.sqrt((new**2).sum(1)) + 1e-12
+                    v[used] = new * np.maximum(0, 1 - pace.mean(1) * PAIR_SPARSE / length)[:, None]
 
         for _ in range(LINEAR_EPOCHS):
             epoch(False)
-        clear = np.argsort(-lift, kind="stable")[:PAIR_TERMS]
-        chosen = clear[(lift[clear] > PAIR_DEVIATIONS) & (count[clear] >= PAIR_LEAST)]
-        v[chosen] = rng.normal(0, 0.05, (len(chosen), FACTORS))
+        v[:] = rng.normal(0, PAIR_START, v.shape)
         for _ in range(PAIR_EPOCHS):
             epoch(True)
-        live = np.flatnonzero((w != 0) | (np.abs(v).sum(1) > 0))
-        self.place = {int(b): k for k, b in enumerate(kept[live], 1)}
-        self.weight = np.concatenate([[0], w[live]])
-        self.vector = np.concatenate([np.zeros((1, FACTORS)), v[live]])
+        self.place = {int(b): k for k, b in enumerate(kept, 1)}
+        self.weight = np.concatenate([[0], w])
+        self.vector = np.concatenate([np.zeros((1, FACTORS)), v])
         return self
 
 
@@ -160,9 +164,9 @@ class Scorer:
         col = np.fromiter((r for own in rows for r in own), np.int64, int(size.sum()))
         own = np.repeat(np.arange(len(rows)), size)
         value = self.machine.bias + np.bincount(own, self.machine.weight[col], len(rows))
-        vec = self.machine.vector[col]
+        vec, scale = self.machine.vector[col], pair_scale(size)
         for f in range(vec.shape[1]):
-            value += 0.5 * (np.bincount(own, vec[:, f], len(rows)) ** 2 - np.bincount(own, vec[:, f] ** 2, len(rows)))
+            value += 0.5 * scale * (np.bincount(own, vec[:, f], len(rows)) ** 2 - np.bincount(own, vec[:, f] ** 2, len(rows)))
         return sigmoid(value)
 
 
@@ -170,16 +174,20 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_
     """Fit on a bounded sample of labelled rows: ``per_class`` documents of either class.
 
     Classes count by their shares among all labelled rows, so scores are calibrated to these
-    although the sample is balanced. An id with contrary labels counts as 1; null labels and ids
+    although the sample is balanced. Tasks turn whole texts into their distinct terms; only these reach the driver. An id with contrary labels counts as 1; null labels and ids
     without a document teach nothing. Without labels of both classes every score is the prior.
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     share = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     sample = F.broadcast(stratified(known, "label", per_class))  # 2 * per_class ids at most
-    texts = documents(df, id_col, text_col).join(sample, "doc_id").select("label", excerpt("text", SAMPLE_CHARS).alias("text"))
-    found = sorted(tuple(r) for r in texts.collect())
+    texts = documents(df, id_col, text_col).join(sample, "doc_id").select("label", "text")
+
+    def make():
+        return lambda batch: {"label": batch.column("label"), "terms": [buckets_of(t).tobytes() for t in batch.column("text").to_pylist()]}
+
+    found = sorted(tuple(r) for r in map_batches(texts, make, "label int, terms binary").collect())
     drawn = {label: sum(r[0] == label for r in found) for label in share}
-    rows = [(label, buckets_of(text), share[label] / drawn[label]) for label, text in found]
+    rows = [(label, np.frombuffer(terms, np.int32), share[label] / drawn[label]) for label, terms in found]
     return FactorizationMachine().fit(rows)
 
 

@@ -228,6 +228,26 @@ def test_short_and_unspaced_lines_go(spark):
     assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}[1] == ""
 
 
+def test_factorization_machine_learns_pairs_of_terms_without_a_signal_of_their_own():
+    import numpy as np
+
+    rng = random.Random(16)
+    rows, texts = [], []
+    for _ in range(1200):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join([f"w{rng.randrange(300)}" for _ in range(30)] + ["alpha"] * a + ["beta"] * b))
+        rows.append((int(a != b), toxicity.buckets_of(texts[-1]), 1.0))
+    scores = toxicity.Scorer(toxicity.FactorizationMachine().fit(rows[:900])).scores(texts[900:])
+    assert np.mean((scores > 0.5) == np.array([r[0] for r in rows[900:]], bool)) > 0.85
+
+
+def test_toxic_documents_are_found_on_held_out_rows(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    met = queries.op7_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    found = {(r.toxic, r.predicted): r["count"] for r in met}
+    assert found[1, 1] / (found[1, 1] + found[1, 0]) > 0.8 and found[1, 1] / (found[1, 1] + found[0, 1]) > 0.8
+
+
 def test_factorization_machine_learns_pairs(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -397,3 +417,56 @@ def test_secret_scan(spark):
     right = sum(best.get(k, False) == bool(t) for k, t in enumerate(truth))
     assert right / len(truth) > 0.9
     assert secrets.scan_secrets(empty(spark), forest, language).count() == 0
+
+
+def test_pages_of_several_layouts():
+    rng = random.Random(21)
+    say = lambda n: prose(rng, n)
+    for _ in range(20):
+        blocks = [say(rng.randrange(8, 40)) for _ in range(8)]
+        head, a, b, c, d, e, f, g = blocks
+        junk = f"<nav><ul><li><a href=1>{say(2)}</a><li><a href=2>{say(2)}</a><li><a href=3>{say(2)}</a></ul></nav><div class='cookie-banner'>{say(9)}</div>"
+        tail = f"<aside>{say(12)}</aside><div id=comments><p>{say(30)}</p></div><footer>{say(9)}</footer><form><label>{say(3)}</label></form><script>{say(5)}</script>"
+        whole = "\n\n".join(blocks)
+        layouts = [
+            f"<main><h1>{head}</h1><section><p>{a}</p><p>{b}</p></section><section><h2>{c}</h2><p>{d}</p></section><div><p>{e}</p></div><p>{f}<p>{g}</main>",
+            f"<article><h1>{head}</h1><p>{a}</p><ul><li><a href=x>{b}</a><li><a href=y>{c}</a><li><a href=z>{d}</a></ul><p class=tags-explained>{e}</p><p id=related-work>{f}</p><label>{g}</label><div class=share-buttons>{say(4)}</div></article>",
+            f"<div class=post><h1>{head}</h1><div><p>{a}</p><p>{b}</p></div><div><table><tr><td>{c}<td>{d}</tr></table><pre>{e}</pre></div><blockquote>{f}</blockquote><p>{g}</div>",
+            f"<div class=wrap><h1>{head}</h1><div class=text><p>{a}<p>{b}<p>{c}<p>{d}</div><div class=text><p>{e}<p>{f}<p>{g}</div></div>",
+        ]
+        for layout in layouts:
+            assert html.Page(f"<html><body>{junk}{layout}{tail}</body></html>").extract(None) == whole
+
+
+def test_deep_and_broken_pages_take_time_by_their_size():
+    assert html.Page("<div>" * 100_000 + "deep &amp; far").extract(None) == "deep & far"
+    text = html.Page("".join(f"<div>x{k}</p></span><li>" for k in range(50_000))).extract(None)
+    assert text.startswith("x0\n\nx1\n\n") and text.endswith("x49999")
+
+
+def test_odd_rows_are_dropped_one_by_one(spark):
+    rows = [(7, "a b c d e f", "en", "x", 0), (7, "a b c  d e f", "en", "y", 0), (7, "something else here", "en", "x", 0), (None, "a b c d e f", "en", "x", 0), (None, "no id at all", "en", "x", 0), (8, "A b c d e f", "en", "x", 0), (9, None, None, None, None), (9, "", None, None, None), (7, "a b c d e f", "en", "x", 0)]
+    df = clashing(spark.createDataFrame(rows, SCHEMA).coalesce(1)).withColumn("row_number", F.lit(1)).withColumn("gone", F.lit(1))
+    kept = exact.drop_exact_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.select("doc_id", "text").collect()) == [(0, "no id at all"), (7, "a b c  d e f"), (7, "something else here"), (8, "A b c d e f"), (9, "")]
+    near = minhash.drop_near_duplicates(df)
+    assert sorted((r.doc_id or 0, r.text or "") for r in near.select("doc_id", "text").collect()) == [(0, "no id at all"), (7, "a b c d e f"), (7, "something else here"), (9, ""), (9, "")]
+    field = crf.WordField(["en", "fr"]).fit([("en", "a b c d e f no id at all something else here")] * 3)
+    assert crf.drop_unidentified(df, field, 0.3).count() == 7
+    bench = spark.createDataFrame([(1, "b c d"), (2, None), (None, "something else here")], "item_id long, text string")
+    assert sorted(r.text or "" for r in wumanber.drop_contaminated(df, bench).select("text").collect()) == ["", "", "no id at all", "something else here"]
+    assert crf.words_of("a\u00bdb \u2167 x2y") == ["a", "b", "x", "y"] and exact.exact_duplicates(df).where("kept").count() >= 5
+
+
+def test_shift_tables_in_several_passes(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(k, prose(rng, rng.randrange(1, 60))) for k in range(60)] + [(90 + k, prose(rng, 12).split()[0] + " twice") for k in range(3)]
+    docs = [(k, f"{prose(rng, 20)} {' '.join(rng.choice(items)[1].split()[:15])} {prose(rng, 9)}", "en", "x", 0) for k in range(80)]
+    df, bench = clashing(spark.createDataFrame(docs, SCHEMA)), spark.createDataFrame(items, "item_id long, text string")
+    whole = {r.doc_id: r for r in wumanber.find_contamination(df, bench).collect()}
+    kept = {r.doc_id for r in wumanber.drop_contaminated(df, bench, least_span=5).select("doc_id").collect()}
+    monkeypatch.setattr(wumanber, "PASS_BYTES", 4000)
+    parts = {r.doc_id: r for r in wumanber.find_contamination(df, bench).collect()}
+    assert {k: (r.n_words, r.spans, r.item_ids) for k, r in whole.items()} == {k: (r.n_words, r.spans, r.item_ids) for k, r in parts.items()}
+    assert kept == {r.doc_id for r in wumanber.drop_contaminated(df, bench, least_span=5).select("doc_id").collect()} and 0 < len(kept) < 80
