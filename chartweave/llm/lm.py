@@ -20,7 +20,7 @@ from .gru import GatedModel
 from .shingles import word_hashes
 
 #: Ids of the network: 0 for any word outside its vocabulary, 1 for the end of a text, then words.
-VOCABULARY = 3_072
+VOCABULARY = 2_048
 OTHER, END = 0, 1
 #: Frequent words whose counts go to every task (16 bytes each); all other words meet their counts in a join.
 LISTED = 1 << 18
