@@ -94,7 +94,7 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def keep_rows(df: DataFrame, make: Callable[[], Callable], text_col: str) -> DataFrame:
+def keep_rows(df: DataFrame, make: Callable[[], Callable], text_col: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The rows of ``df`` that a function takes, with all columns as they are; no shuffle.
 
     ``make()`` runs once in each task and gives a function from a list of whole texts (null: empty) to
@@ -104,7 +104,7 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable], text_col: str) -> Dat
     def run(batches):
         apply = make()
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, batch_bytes):
                 texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()]
                 yield batch.filter(pa.array(apply(texts), pa.bool_()))
 

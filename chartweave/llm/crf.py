@@ -28,7 +28,9 @@ LEXICON_LEAST = 3
 STRETCH, CHAIN = 64, 128
 EPOCHS, BATCH, RATE, DECAY = 3, 128, 0.25, 1e-6
 #: Words whose scores each Python worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
+#: Text that is labelled at once, and words whose features are taken at once; both bound a worker's memory.
+LABELLED_BYTES, FEATURE_WORDS = 4 << 20, 1 << 14
 UNDETERMINED = "und"
 
 _runs = re.compile(r"[^\W\d_]+").findall
@@ -127,6 +129,10 @@ class WordField:
         self.move = np.zeros((n, n))
 
     def emissions(self, words: list[str]) -> np.ndarray:
+        parts = [self._emissions(words[k : k + FEATURE_WORDS]) for k in range(0, len(words), FEATURE_WORDS)]
+        return np.concatenate(parts)
+
+    def _emissions(self, words: list[str]) -> np.ndarray:
         found, owner = features(words)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
         out = np.add.reduceat(self.weights[found], cuts, axis=0)
@@ -223,7 +229,7 @@ class Labeller:
         has = lengths > 0
         if not has.any():
             return np.empty((0, len(self.field.labels))), lengths
-        post, _ = forward_backward(self._scores(words).astype(float), lengths[has], self.start, self.move)
+        post, _ = forward_backward(self._scores(words), lengths[has], self.start, self.move)
         return post, lengths
 
     def languages(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -266,7 +272,7 @@ def identify(df: DataFrame, field: WordField, id_col: str = "doc_id", text_col:
 
         return apply
 
-    return map_batches(documents(df, id_col, text_col), make, "doc_id long, lang_pred string, score double")
+    return map_batches(documents(df, id_col, text_col), make, "doc_id long, lang_pred string, score double", LABELLED_BYTES)
 
 
 def drop_unidentified(df: DataFrame, field: WordField, least_share: float, text_col: str = "text") -> DataFrame:
@@ -288,7 +294,7 @@ def drop_unidentified(df: DataFrame, field: WordField, least_share: float, text_
 
         return apply
 
-    return keep_rows(df, make, text_col)
+    return keep_rows(df, make, text_col, LABELLED_BYTES)
 
 
 def label_words(df: DataFrame, field: WordField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,4 +313,4 @@ def label_words(df: DataFrame, field: WordField, id_col: str = "doc_id", text_co
 
         return apply
 
-    return map_batches(documents(df, id_col, text_col), make, "doc_id long, words array<string>, langs array<string>")
+    return map_batches(documents(df, id_col, text_col), make, "doc_id long, words array<string>, langs array<string>", LABELLED_BYTES)
