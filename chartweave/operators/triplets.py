@@ -49,15 +49,24 @@ def trim_ends(df: DataFrame, margin: int) -> DataFrame:
 
 
 def complement_sample(df: DataFrame, lo: Column, hi: Column, n: Column, draws: int, seed: int, key: list[str]) -> DataFrame:
-    """key, draw_no, neg_ord: positions outside [lo, hi), drawn without listing the complement.
+    """key, draw_no, neg_ord: positions outside [lo, hi), drawn without replacement and without listing the complement.
 
-    A rank in [0, n - (hi - lo)) is drawn; ranks from lo on skip the band. Rows without a
-    complement have no negatives. Draws are independent of each other (with replacement).
+    Of the m = n - (hi - lo) ranks of the complement k = min(draws, m) are drawn: draw d takes a rank t below m - k + d,
+    or the last of these if t was taken before, which gives every set of k ranks the same chance. Ranks from
+    lo on skip the band. Rows without a complement have no negatives, rows with a small one have it whole.
     """
     width = hi - lo
-    open_rows = df.where(n - width > 0).withColumn("draw_no", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    rank = integer(draw(seed, *(F.col(k) for k in key), F.col("draw_no")), n - width)
-    return open_rows.select(*key, "draw_no", F.when(rank < lo, rank).otherwise(rank + width).alias("neg_ord"))
+    most, count = n - width, F.least(F.lit(draws), n - width).cast("int")
+
+    def step(taken: Column, d: Column) -> Column:
+        below = most - count + d
+        rank = integer(draw(seed, *(F.col(k) for k in key), d), below)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, rank), below - 1).otherwise(rank).cast("long")))
+
+    ranks = F.aggregate(F.sequence(F.lit(1), count), F.array().cast("array<long>"), step)
+    drawn = df.where(most > 0).select("*", F.posexplode(ranks).alias("__d", "__rank"))
+    rank = F.col("__rank")
+    return drawn.select(*key, (F.col("__d") + 1).alias("draw_no"), F.when(rank < lo, rank).otherwise(rank + width).alias("neg_ord"))
 
 
 def enough(df: DataFrame, n_pos: int | None, n_neg: int | None) -> DataFrame:

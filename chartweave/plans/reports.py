@@ -101,14 +101,18 @@ def lock_step_batches(spark, sf_dir):
 
 
 def verify_position_mapping(spark, sf_dir):
+    """Indexed positions against a table with planted faults: every 13th row is missing, every 11th is half a unit off."""
     c = charts(spark, sf_dir)
     index = global_index(c.select("vec_id", "x", "y"), ["vec_id"])
-    return C.mismatches(index, c, ["vec_id"], ["x", "y"]).select("rows", "missing", "wrong", r6("worst", "worst"))
+    off = c.where("vec_id % 13 > 0").withColumn("y", F.when(F.col("vec_id") % 11 == 0, F.col("y") + 0.5).otherwise(F.col("y")))
+    return C.mismatches(index, off, ["vec_id"], ["x", "y"]).select("rows", "missing", "wrong", r6("worst", "worst"))
 
 
 def verify_channel_mapping(spark, sf_dir):
+    """Snapshots against a table with planted faults: every 7th row is missing, every 9th is in reverse order."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return C.mismatches(rows.where("vec_id % 7 > 0"), rows, ["vec_id"], ["embedding"]).select("rows", "missing", "wrong")
+    other = rows.where("vec_id % 7 > 0").withColumn("embedding", F.when(F.col("vec_id") % 9 == 0, F.reverse("embedding")).otherwise(F.col("embedding")))
+    return C.mismatches(other, rows, ["vec_id"], ["embedding"]).select("rows", "missing", "wrong")
 
 
 def verify_shared_consistency(spark, sf_dir):
@@ -177,8 +181,8 @@ ORACLES = {
     "lambda_schedules": " UNION ALL ".join(f"SELECT e AS epoch, '{k}' AS kind, round(CAST({v} AS DOUBLE), 6) AS value FROM range({EPOCHS}) AS t(e)" for k, v in _RAMPS.items()),
     "alpha_schedule": f"SELECT e AS epoch, round(1 / (1 + exp(-{STEEPNESS} * (e - {EPOCHS / 2}))), 6) AS alpha FROM range({EPOCHS}) AS t(e)",
     "fold_schedule": f"SELECT k AS fold, round({_COS('k')}, 6) AS low, round({_COS('(k + 1)')}, 6) AS high FROM range(4) AS t(k)",
-    "verify_position_mapping": SQL_VIEWS + "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS wrong, CAST(0 AS DOUBLE) AS worst FROM charts",
-    "verify_channel_mapping": "SELECT count(*) AS rows, CAST(sum(CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(0 AS BIGINT) AS wrong FROM embeddings",
+    "verify_position_mapping": SQL_VIEWS + "SELECT count(*) AS rows, count(*) FILTER (vec_id % 13 = 0) AS missing, count(*) FILTER (vec_id % 11 = 0 AND vec_id % 13 > 0) AS wrong, round(max(CASE WHEN vec_id % 11 = 0 AND vec_id % 13 > 0 THEN abs(y - (y + 0.5)) ELSE 0 END), 6) AS worst FROM charts",
+    "verify_channel_mapping": "SELECT count(*) AS rows, count(*) FILTER (vec_id % 7 = 0) AS missing, count(*) FILTER (vec_id % 7 > 0 AND vec_id % 9 = 0 AND list_reverse(embedding) <> embedding) AS wrong FROM embeddings",
     "verify_shared_consistency": SQL_VIEWS + "SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, count(*) AS n, CAST(sum(CASE WHEN (i = 1 OR j = 1) AND vec_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS strangers FROM shared GROUP BY i, j",
     "stream_coverage": SQL_VIEWS + "SELECT CAST(bs_id AS BIGINT) AS bs_id, vec_id FROM coverage",
     "stream_positives": "SELECT a.user_id, a.event_id, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.ts BETWEEN a.ts - INTERVAL 6 HOUR AND a.ts + INTERVAL 6 HOUR",

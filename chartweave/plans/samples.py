@@ -246,11 +246,10 @@ def outside_hulls(spark, sf_dir):
 
 
 def convex_hull(spark, sf_dir):
-    """The hull of each label's points, as the number of its half-planes and whether all points lie inside."""
-    c = charts(spark, sf_dir)
-    planes = G.convex_hulls(c.select("label", "x", "y"), "label")
-    slack = c.select("label", "x", "y").join(F.broadcast(planes), "label").groupBy("label").agg(F.max(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c")).alias("most"))
-    return slack.select(F.col("label").cast("long").alias("label"), (F.col("most") < 1e-9).alias("inside"))
+    """The sides of the hull of each label's points, as half-planes a x + b y + c <= 0 with normals of length 1."""
+    planes = G.convex_hulls(charts(spark, sf_dir).select("label", "x", "y"), "label")
+    size = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b"))
+    return planes.select(F.col("label").cast("long").alias("label"), *(r6(F.col(k) / size, k) for k in "abc"))
 
 
 def streets_within(spark, sf_dir):
@@ -369,10 +368,12 @@ _LIST = lambda v: "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in v) + "]"  #
 _BANDED = f""", banded AS (SELECT *, min(ord) OVER w AS lo, max(ord) OVER w + 1 AS hi, count(*) OVER (PARTITION BY user_id) AS n
   FROM traj WINDOW w AS (PARTITION BY user_id ORDER BY t_us RANGE BETWEEN {HOURS6} PRECEDING AND {HOURS6} FOLLOWING))"""
 _NEG = """, drawn AS (SELECT user_id, event_id, d AS draw_no, CASE WHEN r < lo THEN r ELSE r + hi - lo END AS neg_ord FROM (
-  SELECT *, CAST('0x' || substr(md5('%d:' || user_id || ':' || event_id || ':' || d), 1, 12) AS BIGINT) %% (n - hi + lo) AS r
-  FROM banded, (SELECT unnest([1, 2]) AS d) WHERE n - hi + lo > 0 %s))"""
+  SELECT *, CASE WHEN d = 1 THEN r1 WHEN h2 %% m = r1 THEN m - 1 ELSE h2 %% m END AS r FROM (SELECT *, h1 %% (m - least(2, m) + 1) AS r1 FROM (
+    SELECT *, n - hi + lo AS m, CAST('0x' || substr(md5('%d:' || user_id || ':' || event_id || ':1'), 1, 12) AS BIGINT) AS h1,
+           CAST('0x' || substr(md5('%d:' || user_id || ':' || event_id || ':2'), 1, 12) AS BIGINT) AS h2 FROM banded) WHERE m > 0 %s),
+  (SELECT unnest([1, 2]) AS d) WHERE d <= m))"""
 _PAIRS_BAND = f"SELECT a.user_id, a.event_id, b.event_id AS other FROM traj a JOIN traj b ON a.user_id = b.user_id AND abs(a.t_us - b.t_us) <= {HOURS6} AND a.event_id <> b.event_id"
-_TRIPLETS = _BANDED + _NEG % (43, "AND hi - lo - 1 >= 2 AND n - hi + lo >= 2") + f""", near AS (SELECT * FROM (
+_TRIPLETS = _BANDED + _NEG % (43, 43, "AND hi - lo - 1 >= 2 AND n - hi + lo >= 2") + f""", near AS (SELECT * FROM (
   SELECT p.user_id, p.event_id, other, row_number() OVER (PARTITION BY p.user_id, p.event_id ORDER BY md5('42:' || p.user_id || ':' || p.event_id || ':' || other), other) AS draw_no
   FROM ({_PAIRS_BAND}) p JOIN banded b ON b.event_id = p.event_id WHERE hi - lo - 1 >= 2 AND n - hi + lo >= 2) WHERE draw_no <= 2),
 triplets AS (SELECT near.user_id, near.event_id, near.draw_no - 1 AS k, near.other AS pos, t.event_id AS neg
@@ -424,7 +425,7 @@ ORACLES = {
     "distance_summed": f"SELECT a.vec_id, round(sum({_SQ('a.embedding', 'b.embedding')}), 6) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id < 50 GROUP BY a.vec_id",
     "time_coherence_counts": SQL_VIEWS + _BANDED + "SELECT user_id, event_id, lo, hi, n FROM banded",
     "positives_band_join": SQL_VIEWS + _PAIRS_BAND,
-    "negatives_complement_sample": SQL_VIEWS + _BANDED + _NEG % (42, "") + "SELECT user_id, event_id, CAST(draw_no AS BIGINT) AS draw_no, neg_ord FROM drawn",
+    "negatives_complement_sample": SQL_VIEWS + _BANDED + _NEG % (42, 42, "") + "SELECT user_id, event_id, CAST(draw_no AS BIGINT) AS draw_no, neg_ord FROM drawn",
     "triplet_map": SQL_VIEWS + _TRIPLETS + "SELECT * FROM triplets",
     "row_window_pos": SQL_VIEWS + "SELECT a.user_id, a.ord, b.ord AS pos_ord FROM traj a JOIN traj b ON a.user_id = b.user_id AND abs(a.ord - b.ord) BETWEEN 1 AND 3",
     "endpoint_trim": SQL_VIEWS + "SELECT user_id, ord FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM traj) WHERE ord >= 6 AND ord < n - 6",
@@ -448,7 +449,7 @@ ORACLES = {
     "spatial_pair_policy": SQL_VIEWS + _RANKED + "SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, count(*) AS n FROM placed, edges WHERE CASE WHEN i % 2 = j % 2 THEN CASE WHEN i % 2 = 1 THEN rank IN (0, 1) ELSE rank IN (1, 2) END ELSE rank = 1 END GROUP BY i, j",
     "ellipse_filter": SQL_VIEWS + "SELECT vec_id FROM charts WHERE ((x - 0.01) / 0.15) * ((x - 0.01) / 0.15) + ((y - -0.02) / 0.1) * ((y - -0.02) / 0.1) <= 1",
     "outside_hulls": SQL_VIEWS + _INSIDE + "SELECT vec_id FROM charts ANTI JOIN inside USING (vec_id)",
-    "convex_hull": SQL_VIEWS + "SELECT CAST(label AS BIGINT) AS label, true AS inside FROM charts GROUP BY label HAVING count(*) > 2",
+    "convex_hull": SQL_VIEWS + ", side AS (SELECT p.label, p.x AS px, p.y AS py, q.y - p.y AS a, p.x - q.x AS b FROM charts p JOIN charts q ON p.label = q.label AND p.vec_id <> q.vec_id), hull AS (SELECT label, px, py, a, b, sqrt(a * a + b * b) AS size FROM side WHERE NOT EXISTS (SELECT 1 FROM charts r WHERE r.label = side.label AND side.a * (r.x - side.px) + side.b * (r.y - side.py) > 1e-15)) SELECT CAST(label AS BIGINT) AS label, round(a / size, 6) AS a, round(b / size, 6) AS b, round(-(a * px + b * py) / size, 6) AS c FROM hull",
     "streets_within": SQL_VIEWS + _INSIDE + "SELECT DISTINCT p.vec_id FROM charts p ANTI JOIN inside USING (vec_id) JOIN inside q ON (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) < 0.03 * 0.03",
     "segment_crosses_hull": SQL_VIEWS + ", seg AS (SELECT vec_id, x AS x0, y AS y0, u0 AS x1, v0 AS y1 FROM charts) " + _SEG("seg", "vec_id"),
     "snap_nearest": SQL_VIEWS + "SELECT q, vec_id, round(d2, 6) AS d2 FROM (SELECT p.vec_id AS q, c.vec_id, (p.u0 - c.x) * (p.u0 - c.x) + (p.v0 - c.y) * (p.v0 - c.y) AS d2, row_number() OVER (PARTITION BY p.vec_id ORDER BY (p.u0 - c.x) * (p.u0 - c.x) + (p.v0 - c.y) * (p.v0 - c.y), c.vec_id) AS r FROM charts p, charts c) WHERE r = 1",

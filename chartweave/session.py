@@ -27,10 +27,13 @@ def build_session(app: str = "chartweave", master: str | None = None, shuffle_pa
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, a laptop) a folder of this machine is made and set.
+    Only where it is unset and the master is local (tests, a laptop) a folder of this machine is made
+    and set; on a cluster an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chartweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found
