@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import euclidean
+
 
 def mismatches(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """rows, missing, wrong, worst: keys of either side, keys of one side only, keys with unequal columns, largest difference.
@@ -38,3 +40,28 @@ def shared_inconsistencies(shared: DataFrame, local: DataFrame, key: str) -> Dat
     bad = strangers("i").unionByName(strangers("j")).distinct().groupBy("i", "j").agg(F.count("*").alias("strangers"))
     total = shared.groupBy("i", "j").agg(F.count("*").alias("n"))
     return total.join(bad, ["i", "j"], "left").select("i", "j", "n", F.coalesce("strangers", F.lit(0)).alias("strangers"))
+
+
+def feature_ordering(samples: DataFrame, features: DataFrame, key: str) -> DataFrame:
+    """anchors, violations: as ordering_violations, by the distance of feature vectors.
+
+    ``samples``: anchor, pos, neg, keys of ``features`` (key, f). Samples with a key that has no features are left out.
+    """
+    named = lambda c: features.select(F.col(key).alias(c), F.col("f").alias(f"f_{c}"))
+    met = samples.join(named("anchor"), "anchor").join(named("pos"), "pos").join(named("neg"), "neg")
+    return ordering_violations(met, "anchor", euclidean(F.col("f_anchor"), F.col("f_pos")), euclidean(F.col("f_anchor"), F.col("f_neg")))
+
+
+def items(index: DataFrame, wanted: DataFrame, source: DataFrame, place: str, key: str) -> DataFrame:
+    """The rows of ``source`` at the ``wanted`` places of an index (place, key), with the place."""
+    return index.select(place, key).join(wanted.select(place).distinct(), place).join(source, key)
+
+
+def fingerprint_join(left: DataFrame, right: DataFrame, key: str, columns: list[str], digits: int = 6) -> DataFrame:
+    """key, found: for each row of ``right`` the first row of ``left`` that prints alike in ``columns``; rows without one are left out.
+
+    Left rows collapse to one a fingerprint before they meet, so repeated rows are no hot key.
+    """
+    printed = F.concat_ws(",", *(F.format_string(f"%.{digits}f", F.col(c).cast("double")) for c in columns))
+    firsts = left.select(printed.alias("__print"), key).groupBy("__print").agg(F.min(key).alias("found"))
+    return right.select(printed.alias("__print"), key).join(firsts, "__print").select(key, "found")

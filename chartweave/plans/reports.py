@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schedules as H
+from ..functions import vectors as V
 from ..operators import checks as C
+from ..operators import graph as N
 from ..operators import report as E
 from ..operators.sampling import global_index
 from ..operators.sites import shared_keys
 from ..operators.triplets import lock_step
 from ..session import shared_dir, table
 from ..streaming import live
-from .fixtures import SQL_VIEWS, charts, site_charts, site_pairs, sites
+from .fixtures import ANTENNAS, SQL_VIEWS, SUBCARRIERS, charts, site_charts, site_pairs, sites, snapshots, trajectories
 from .quality import r6
 
 EPOCHS, LOW, HIGH, STEEPNESS = 6, 0.01, 2.0, 1.5
@@ -115,6 +117,36 @@ def verify_channel_mapping(spark, sf_dir):
     return C.mismatches(other, rows, ["vec_id"], ["embedding"]).select("rows", "missing", "wrong")
 
 
+def verify_csi_ordering(spark, sf_dir):
+    """Whether the features of a snapshot are nearer to those of the next two than to those 100 and 200 on."""
+    c = snapshots(spark, sf_dir)
+    features = c.select("vec_id", V.chunk_features(F.col("csi"), 4, ANTENNAS * SUBCARRIERS).alias("f"))
+    steps = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(n).alias("n")) for p, n in ((1, 100), (2, 200)))))
+    samples = c.select(F.col("vec_id").alias("anchor"), steps.alias("s")).select("anchor", (F.col("anchor") + F.col("s.p")).alias("pos"), (F.col("anchor") + F.col("s.n")).alias("neg"))
+    return C.feature_ordering(samples, features, "vec_id")
+
+
+def getitem_round_trip(spark, sf_dir):
+    """Every tenth row of the order in time, fetched by its place."""
+    t = trajectories(spark, sf_dir)
+    index = global_index(t.select("t_us", "event_id"), ["t_us", "event_id"])
+    return C.items(index, index.where("gidx % 10 = 0"), t.select("event_id", "user_id", "value"), "gidx", "event_id").select("gidx", "event_id", "user_id", "value")
+
+
+def shared_fingerprints(spark, sf_dir):
+    """The points that two sites share, found again in the first site's chart by what their coordinates print."""
+    own = site_charts(spark, sf_dir)
+    other = own.where("bs_id = 1").select("vec_id")
+    local = own.where("bs_id = 0").select("vec_id", "z0", "z1")
+    return C.fingerprint_join(local, local.join(other, "vec_id", "left_semi"), "vec_id", ["z0", "z1"])
+
+
+def stuck_rows(spark, sf_dir):
+    """Rows, one every 8 of a user, whose last 8 points of (value, 0) hardly vary."""
+    t = trajectories(spark, sf_dir).select("user_id", "event_id", "t_us", F.col("value").alias("x"), F.lit(0.0).alias("y"))
+    return N.stuck(t.withColumn("__t", F.struct("t_us", "event_id")), "user_id", "__t", 8, 25.0).select("user_id", "event_id", r6("spread", "spread"))
+
+
 def verify_shared_consistency(spark, sf_dir):
     own = site_charts(spark, sf_dir)
     keys = shared_keys(own.select("bs_id", "vec_id"), site_pairs(spark), "vec_id")
@@ -151,7 +183,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         metrics_wide, metrics_long, top3_per_metric, mean_std_by_k, summary_lines, best_checkpoint, batch_weighted_means, total_losses, lambda_schedules,
-        alpha_schedule, fold_schedule, lock_step_batches, verify_position_mapping, verify_channel_mapping, verify_shared_consistency, stream_coverage, stream_positives,
+        alpha_schedule, fold_schedule, lock_step_batches, verify_position_mapping, verify_channel_mapping, verify_shared_consistency, verify_csi_ordering, getitem_round_trip,
+        shared_fingerprints, stuck_rows, stream_coverage, stream_positives,
     )
 }
 
@@ -184,6 +217,14 @@ ORACLES = {
     "verify_position_mapping": SQL_VIEWS + "SELECT count(*) AS rows, count(*) FILTER (vec_id % 13 = 0) AS missing, count(*) FILTER (vec_id % 11 = 0 AND vec_id % 13 > 0) AS wrong, round(max(CASE WHEN vec_id % 11 = 0 AND vec_id % 13 > 0 THEN abs(y - (y + 0.5)) ELSE 0 END), 6) AS worst FROM charts",
     "verify_channel_mapping": "SELECT count(*) AS rows, count(*) FILTER (vec_id % 7 = 0) AS missing, count(*) FILTER (vec_id % 7 > 0 AND vec_id % 9 = 0 AND list_reverse(embedding) <> embedding) AS wrong FROM embeddings",
     "verify_shared_consistency": SQL_VIEWS + "SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, count(*) AS n, CAST(sum(CASE WHEN (i = 1 OR j = 1) AND vec_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS strangers FROM shared GROUP BY i, j",
+    "verify_csi_ordering": SQL_VIEWS + """, scale AS (SELECT vec_id, sqrt(sum(re * re + im * im) / 32) + 1e-12 AS s FROM csi GROUP BY vec_id),
+      f AS (SELECT csi.vec_id, (antenna * 8 + f) // 4 AS c, sum(re) / 4 / any_value(s) AS re, sum(im) / 4 / any_value(s) AS im FROM csi JOIN scale USING (vec_id) GROUP BY 1, 2),
+      d AS (SELECT a.vec_id, b.vec_id - a.vec_id AS o, sqrt(sum((a.re - b.re) * (a.re - b.re) + (a.im - b.im) * (a.im - b.im))) AS d FROM f a JOIN f b ON a.c = b.c AND b.vec_id - a.vec_id IN (1, 2, 100, 200) GROUP BY 1, 2),
+      per AS (SELECT p.vec_id, avg(p.d) AS p, avg(n.d) AS n FROM d p JOIN d n ON p.vec_id = n.vec_id AND n.o = 100 * p.o WHERE p.o < 3 GROUP BY 1)
+      SELECT count(*) AS anchors, count(*) FILTER (NOT p < n) AS violations FROM per""",
+    "getitem_round_trip": SQL_VIEWS + "SELECT * FROM (SELECT row_number() OVER (ORDER BY t_us, event_id) - 1 AS gidx, event_id, user_id, value FROM traj) WHERE gidx % 10 = 0",
+    "shared_fingerprints": SQL_VIEWS + "SELECT r.vec_id, min(l.vec_id) AS found FROM shared r JOIN site_charts l ON l.bs_id = 0 AND printf('%.6f,%.6f', l.z0, l.z1) = printf('%.6f,%.6f', r.a0, r.a1) WHERE r.i = 0 AND r.j = 1 GROUP BY r.vec_id",
+    "stuck_rows": SQL_VIEWS + "SELECT user_id, event_id, round(spread, 6) AS spread FROM (SELECT *, stddev_pop(value) OVER (PARTITION BY user_id ORDER BY ord ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS spread FROM traj) WHERE (ord + 1) % 8 = 0 AND spread < 25",
     "stream_coverage": SQL_VIEWS + "SELECT CAST(bs_id AS BIGINT) AS bs_id, vec_id FROM coverage",
     "stream_positives": "SELECT a.user_id, a.event_id, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.ts BETWEEN a.ts - INTERVAL 6 HOUR AND a.ts + INTERVAL 6 HOUR",
 }
