@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,6 +64,14 @@ def _column(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
+def release() -> None:
+    """Give back what this worker process freed. Workers are used again by later stages, and would else keep the largest task's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others give memory back themselves
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``make()`` runs once in each task and gives a function from a batch to columns.
 
@@ -82,6 +91,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, batch_
                 if batch.num_rows:
                     out = apply(batch)
                     yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in kinds], schema=kinds)
+        apply = whole = batch = out = None
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -107,6 +118,8 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable], text_col: str, batch_
             for batch in slices(whole, text_col, batch_bytes):
                 texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()]
                 yield batch.filter(pa.array(apply(texts), pa.bool_()))
+        apply = whole = batch = texts = None
+        release()
 
     return df.mapInArrow(run, df.schema)
 

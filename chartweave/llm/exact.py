@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, drop_rows, map_batches, numbered, slices
+from .common import SPACES, documents, drop_rows, map_batches, numbered, release, slices
 
 #: Bytes of content that a bucket may hold for its table; a larger one is partitioned again.
 BUCKET_BYTES = 32 << 20
@@ -152,6 +152,7 @@ def _grouped(df: DataFrame, raw: bool) -> DataFrame:
     def run(batches):
         pieces = (piece for batch in batches for piece in slices(batch, "data" if raw else "content"))
         yield from _emit(grace((fresh if raw else again)(pieces)), schema)
+        release()
 
     return df.mapInArrow(run, GROUP)
 
