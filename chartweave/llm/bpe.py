@@ -21,7 +21,9 @@ from .common import documents, map_batches
 #: No pair here.
 FREE = 1 << 60
 #: Pieces kept with their ids in each Python worker, before the memory starts anew.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
+#: Text that is cut into pieces at once; as strings these take some 20 times its bytes.
+ENCODED_BYTES = 2 << 20
 #: From so many bytes on, or in groups smaller than LOCKSTEP, a piece gets a tree of its own.
 LONG = 256
 LOCKSTEP = 24
@@ -248,7 +250,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
         return apply
 
-    return map_batches(documents(df, id_col, text_col), make, "doc_id long, ids array<int>")
+    return map_batches(documents(df, id_col, text_col), make, "doc_id long, ids array<int>", ENCODED_BYTES)
 
 
 def decode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -292,4 +294,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
         return apply
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean"
-    return map_batches(documents(df, id_col, text_col), make, schema)
+    return map_batches(documents(df, id_col, text_col), make, schema, ENCODED_BYTES)
