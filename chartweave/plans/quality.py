@@ -10,7 +10,9 @@ from ..operators import metrics as M
 from .fixtures import SQL_VIEWS, charts, site_charts, site_pairs
 
 POSITION, CHART = ["x", "y"], ["u0", "v0"]
-GRID = [2, 6, 10, 14, 18]
+#: The neighbourhood sizes of the evaluation, and the draws and points of its bootstrap.
+GRID = list(range(2, 39, 4))
+DRAWS = SAMPLE = 1000
 
 
 def r6(c: str | F.Column, name: str):
@@ -60,7 +62,9 @@ def kruskal_stress_single_agent_beta(spark, sf_dir):
 
 
 def kruskal_stress_bootstrap(spark, sf_dir):
-    return M.kruskal_bootstrap(charts(spark, sf_dir), "vec_id", POSITION, CHART, 4, 60, 42).select(F.col("s").cast("long").alias("s"), r6("stress", "stress"))
+    """The mean stress of DRAWS samples of SAMPLE points, drawn with replacement."""
+    found = M.kruskal_bootstrap(charts(spark, sf_dir), "vec_id", POSITION, CHART, DRAWS, SAMPLE, 42)
+    return found.agg(F.count("*").alias("draws"), F.round(F.avg("stress"), 6).alias("stress"))
 
 
 def kruskal_per_site(spark, sf_dir):
@@ -162,8 +166,8 @@ def recovered_rotation(spark, sf_dir):
 
 def _weights(spark, sf_dir):
     """Rows of embeddings as parameters of four agents: two layers of a weight and a bias."""
-    c = charts(spark, sf_dir).where("vec_id % 25 = 0")
-    key = F.element_at(F.array(*(F.lit(k) for k in ("l0.w", "l0.b", "l1.w", "l1.b"))), (F.col("vec_id") / 25 % 4 + 1).cast("int"))
+    c = charts(spark, sf_dir)
+    key = F.element_at(F.array(*(F.lit(k) for k in ("l0.w", "l0.b", "l1.w", "l1.b"))), (F.col("vec_id") % 4 + 1).cast("int"))
     cells = F.explode(F.array(*(F.struct(F.lit(a).alias("agent"), F.col(f"u{a}").alias("v")) for a in range(4))))
     return c.select(key.alias("key"), F.col("vec_id").alias("pos"), cells.alias("x")).select("x.agent", "key", "pos", "x.v")
 
@@ -217,7 +221,7 @@ def _neighbourhood_sql(source: str, by: str, near, ranked, grid, metric: str | N
     cast = f"CAST(m.{by} AS BIGINT) AS {by}, " if by else ""
     pick = f"a.{by} AS {by}, " if by else ""
     return f"""SELECT {head}{cast}CAST(k AS BIGINT) AS k, round(avg_score, 6) AS score FROM (
-      SELECT {part}k, 1 - 2.0 / (k * (2 * N - 3 * k - 1)) * sum(greatest(r - k, 0)) / N AS avg_score FROM (
+      SELECT {part}k, CASE WHEN 2 * N - 3 * k - 1 > 0 THEN 1 - 2.0 / (k * (2 * N - 3 * k - 1)) * sum(greatest(r - k, 0)) / N END AS avg_score FROM (
         SELECT {part}vec_id, other, place, r, count(DISTINCT vec_id) OVER ({'PARTITION BY ' + by if by else ''}) AS N FROM (
           SELECT {pick}a.vec_id, b.vec_id AS other, row_number() OVER (PARTITION BY {part and 'a.' + part}a.vec_id ORDER BY {_d('a', 'b', near)}, b.vec_id) AS place,
                  rank() OVER (PARTITION BY {part and 'a.' + part}a.vec_id ORDER BY {_d('a', 'b', ranked)}) AS r
@@ -258,8 +262,8 @@ def _sums_sql(source: str, by: str = "", cols=("u0", "v0")) -> str:
     return f"SELECT {f'a.{by} AS {by}, ' if by else ''}sum({d}) AS dd, sum(sqrt(({d}) * ({e}))) AS de, sum({e}) AS ee FROM {source} a JOIN {source} b{same}{f' GROUP BY a.{by}' if by else ''}"
 
 
-_W = """, w AS (SELECT a AS agent, ['l0.w', 'l0.b', 'l1.w', 'l1.b'][CAST(vec_id // 25 % 4 + 1 AS INT)] AS key, vec_id AS pos, [u0, u1, u2, u3][a + 1] AS v
-  FROM charts, (SELECT unnest([0, 1, 2, 3]) AS a) WHERE vec_id % 25 = 0),
+_W = """, w AS (SELECT a AS agent, ['l0.w', 'l0.b', 'l1.w', 'l1.b'][CAST(vec_id % 4 + 1 AS INT)] AS key, vec_id AS pos, [u0, u1, u2, u3][a + 1] AS v
+  FROM charts, (SELECT unnest([0, 1, 2, 3]) AS a)),
 near AS (SELECT i AS agent, j AS other FROM edges WHERE i = 0 OR j = 3 UNION SELECT j, i FROM edges WHERE i = 0 OR j = 3 UNION SELECT a, a FROM (SELECT unnest([0, 1, 2, 3]) AS a)),
 mean AS (SELECT near.agent, key, pos, avg(v) AS v FROM near JOIN w ON w.agent = near.other GROUP BY near.agent, key, pos)"""
 
@@ -271,7 +275,7 @@ ORACLES = {
     "rank_self_join": SQL_VIEWS + f"SELECT vec_id, other, r AS rank FROM (SELECT a.vec_id, b.vec_id AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_d('a', 'b', POSITION)}, b.vec_id) AS place, rank() OVER (PARTITION BY a.vec_id ORDER BY {_d('a', 'b', CHART)}) AS r FROM charts a JOIN charts b ON a.vec_id <> b.vec_id) WHERE place <= 3",
     "kruskal_stress_full": SQL_VIEWS + f"SELECT round(sqrt(greatest(1 - de * de / (dd * ee), 0)), 6) AS stress FROM ({_sums_sql('charts')})",
     "kruskal_stress_single_agent_beta": SQL_VIEWS + f"SELECT round(sqrt((dd - 2 * de / dd * de + de / dd * de / dd * ee) / dd), 6) AS stress FROM ({_sums_sql('charts')})",
-    "kruskal_stress_bootstrap": SQL_VIEWS + ", placed AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, count(*) OVER () AS n, * FROM charts), drawn AS (SELECT s, m, CAST('0x' || substr(md5('42:' || s || ':' || m), 1, 12) AS BIGINT) % n AS idx FROM (SELECT unnest(range(4)) AS s), (SELECT unnest(range(60)) AS m), (SELECT count(*) AS n FROM charts)), pts AS (SELECT s, m, x, y, u0, v0 FROM drawn JOIN placed USING (idx)) " + f"SELECT CAST(s AS BIGINT) AS s, round(sqrt(greatest(1 - de * de / (dd * ee), 0)), 6) AS stress FROM ({_sums_sql('pts', 's')})",
+    "kruskal_stress_bootstrap": SQL_VIEWS + f", placed AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, count(*) OVER () AS n, * FROM charts), drawn AS (SELECT s, m, CAST('0x' || substr(md5('42:' || s || ':' || m), 1, 12) AS BIGINT) % n AS idx FROM (SELECT unnest(range({DRAWS})) AS s), (SELECT unnest(range({SAMPLE})) AS m), (SELECT count(*) AS n FROM charts)), pts AS (SELECT s, m, x, y, u0, v0 FROM drawn JOIN placed USING (idx)) " + f"SELECT count(*) AS draws, round(avg(sqrt(greatest(1 - de * de / (dd * ee), 0))), 6) AS stress FROM ({_sums_sql('pts', 's')})",
     "kruskal_per_site": SQL_VIEWS + f"SELECT CAST(bs_id AS BIGINT) AS bs_id, round(sqrt(greatest(1 - de * de / (dd * ee), 0)), 6) AS stress FROM ({_sums_sql('site_charts', 'bs_id', ('z0', 'z1'))})",
     "foscttm_one_sided": SQL_VIEWS + _matching_sql("shared", False),
     "foscttm_two_sided": SQL_VIEWS + _matching_sql("shared", True),

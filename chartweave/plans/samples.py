@@ -80,8 +80,7 @@ def distance_cosine(spark, sf_dir):
 
 def distance_summed(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    groups = e.where("vec_id < 50").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"]).alias("others"))
-    return e.join(groups, "label").select("vec_id", r6(V.summed_distance(F.col("embedding"), F.col("others")), "d"))
+    return T.distance_to_group(e, "label", "embedding").select("vec_id", r6("d", "d"))
 
 
 def _ordered(spark, sf_dir):
@@ -288,7 +287,7 @@ def neighbor_graph(spark, sf_dir):
 
 def bfs_layers(spark, sf_dir):
     edges = N.neighbour_graph(charts(spark, sf_dir), "vec_id", REACH, hulls(spark))
-    starts = charts(spark, sf_dir).where("vec_id < 3").select(F.col("vec_id").alias("start"))
+    starts = charts(spark, sf_dir).select(F.col("vec_id").alias("start"))
     return N.bfs_layers(edges, starts, 4).select("start", "node", F.col("hops").cast("long").alias("hops"))
 
 
@@ -303,7 +302,7 @@ def graph_diameter_est(spark, sf_dir):
 
 def coherent_pos_neg(spark, sf_dir):
     edges = N.neighbour_graph(charts(spark, sf_dir), "vec_id", REACH, hulls(spark))
-    anchors = charts(spark, sf_dir).where("vec_id < 5").select(F.col("vec_id").alias("start"))
+    anchors = charts(spark, sf_dir).select(F.col("vec_id").alias("start"))
     return N.coherent_samples(edges, anchors, 2, 3)
 
 
@@ -399,8 +398,8 @@ _GRAPH = f""", cand AS (SELECT p.vec_id AS src, q.vec_id AS dst, p.x AS x0, p.y
 blocked AS ({_SEG('cand', 'src, dst')}), clear AS (SELECT src, dst FROM cand ANTI JOIN blocked USING (src, dst)), graph AS (SELECT src, dst FROM clear UNION ALL SELECT dst, src FROM clear)"""
 
 
-def _bfs(limit: int, depth: int) -> str:
-    return f""", walk AS (SELECT vec_id AS start, vec_id AS node, 0 AS hops FROM charts WHERE vec_id < {limit} UNION SELECT start, dst, hops + 1 FROM walk JOIN graph ON src = node WHERE hops < {depth}),
+def _bfs(depth: int) -> str:
+    return f""", walk AS (SELECT vec_id AS start, vec_id AS node, 0 AS hops FROM charts UNION SELECT start, dst, hops + 1 FROM walk JOIN graph ON src = node WHERE hops < {depth}),
 layers AS (SELECT start, node, min(hops) AS hops FROM walk GROUP BY start, node)"""
 
 
@@ -422,7 +421,7 @@ ORACLES = {
     "distance_euclidean": _DIST.format(f"sqrt({_SQ('a.embedding', 'b.embedding')})"),
     "distance_euclidean2": _DIST.format(_SQ("a.embedding", "b.embedding")),
     "distance_cosine": _DIST.format(f"1 - {_DOT('a.embedding', 'b.embedding')} / (sqrt({_DOT('a.embedding', 'a.embedding')}) * sqrt({_DOT('b.embedding', 'b.embedding')}))"),
-    "distance_summed": f"SELECT a.vec_id, round(sum({_SQ('a.embedding', 'b.embedding')}), 6) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id < 50 GROUP BY a.vec_id",
+    "distance_summed": f"SELECT a.vec_id, round(sum({_SQ('a.embedding', 'b.embedding')}), 6) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY a.vec_id",
     "time_coherence_counts": SQL_VIEWS + _BANDED + "SELECT user_id, event_id, lo, hi, n FROM banded",
     "positives_band_join": SQL_VIEWS + _PAIRS_BAND,
     "negatives_complement_sample": SQL_VIEWS + _BANDED + _NEG % (42, 42, "") + "SELECT user_id, event_id, CAST(draw_no AS BIGINT) AS draw_no, neg_ord FROM drawn",
@@ -455,8 +454,8 @@ ORACLES = {
     "snap_nearest": SQL_VIEWS + "SELECT q, vec_id, round(d2, 6) AS d2 FROM (SELECT p.vec_id AS q, c.vec_id, (p.u0 - c.x) * (p.u0 - c.x) + (p.v0 - c.y) * (p.v0 - c.y) AS d2, row_number() OVER (PARTITION BY p.vec_id ORDER BY (p.u0 - c.x) * (p.u0 - c.x) + (p.v0 - c.y) * (p.v0 - c.y), c.vec_id) AS r FROM charts p, charts c) WHERE r = 1",
     "typical_step": SQL_VIEWS + "SELECT round(median(d), 6) AS step FROM (SELECT sqrt(min((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))) AS d FROM (SELECT * FROM charts ORDER BY vec_id LIMIT 500) p JOIN charts q ON p.vec_id <> q.vec_id WHERE (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 0.01 GROUP BY p.vec_id)",
     "neighbor_graph": SQL_VIEWS + _GRAPH + "SELECT src, dst FROM graph",
-    "bfs_layers": SQL_VIEWS + _GRAPH + _bfs(3, 4) + "SELECT start, node, CAST(hops AS BIGINT) AS hops FROM layers",
-    "coherent_pos_neg": SQL_VIEWS + _GRAPH + _bfs(5, 3) + "SELECT start, node, CASE WHEN hops = 3 THEN 'neg' ELSE 'pos' END AS kind FROM layers WHERE hops BETWEEN 1 AND 3",
+    "bfs_layers": SQL_VIEWS + _GRAPH + _bfs(4) + "SELECT start, node, CAST(hops AS BIGINT) AS hops FROM layers",
+    "coherent_pos_neg": SQL_VIEWS + _GRAPH + _bfs(3) + "SELECT start, node, CASE WHEN hops = 3 THEN 'neg' ELSE 'pos' END AS kind FROM layers WHERE hops BETWEEN 1 AND 3",
     "histogram2d_density": SQL_VIEWS + _HIST + "SELECT * FROM hist",
     "blurred_density": SQL_VIEWS + _HIST + _KERNEL + ", b1 AS (SELECT bx + k AS bx, by_, sum(n * w) AS v FROM hist, kernel WHERE bx + k BETWEEN 0 AND 7 GROUP BY 1, 2), b2 AS (SELECT bx, by_ + k AS by_, sum(v * w) AS v FROM b1, kernel WHERE by_ + k BETWEEN 0 AND 7 GROUP BY 1, 2) SELECT bx, by_, round(v / (SELECT max(v) FROM b2), 6) AS density FROM b2",
     "gradient_colour": SQL_VIEWS + "SELECT vec_id, round(((x - x0) / (x1 - x0 + 1e-8) + (y - y0) / (y1 - y0 + 1e-8)) / 2, 6) AS colour FROM charts, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM charts)",

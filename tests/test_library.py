@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from chartweave.functions import vectors as V
 from chartweave.operators import alignment as A
@@ -251,3 +252,36 @@ def test_every_point_starts_a_walk(spark):
     walks = registry.QUERIES["trajectory_walks"](spark, SMALL)
     points = {r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id").collect()}
     assert {r.walker for r in walks.select("walker").collect()} == points
+
+
+def test_distance_to_a_group_is_the_sum_of_its_distances(spark):
+    rows = [(0, "a", [1.0, 2.0]), (1, "a", [0.5, -1.0]), (2, "a", None), (3, "b", [3.0, 3.0]), (4, None, [1.0, 1.0]), (5, "a", [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id int, g string, v array<double>")
+    got = {r["id"]: r["d"] for r in T.distance_to_group(df, "g", "v").collect()}
+    for k, g, v in rows:
+        others = [w for _, h, w in rows if h == g and w is not None]
+        if g is None:
+            assert k not in got
+        elif v is None:
+            assert got[k] is None
+        else:
+            assert got[k] == pytest.approx(sum((x - y) ** 2 for w in others for x, y in zip(v, w)), abs=1e-9)
+            one = spark.createDataFrame([(v, others)], "v array<double>, o array<array<double>>").select(V.summed_distance(F.col("v"), F.col("o"))).first()[0]
+            assert got[k] == pytest.approx(one, abs=1e-9)
+
+
+def test_bootstrap_of_stress_is_brute_force(spark):
+    """Few draws held against all pairs in numpy; the query takes 1000 of 1000."""
+    rng = np.random.default_rng(3)
+    rows = [(k, *map(float, rng.normal(size=4))) for k in range(30)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, u double, v double")
+    from chartweave.operators.sampling import bootstrap
+
+    drawn = {}
+    for r in bootstrap(30, 3, 20, 42, spark).collect():
+        drawn.setdefault(r["s"], []).append(r["idx"])
+    for r in M.kruskal_bootstrap(points, "id", ["x", "y"], ["u", "v"], 3, 20, 42).collect():
+        at = np.array([rows[k][1:] for k in drawn[r["s"]]])
+        d, e = (np.linalg.norm(at[:, None, c] - at[None, :, c], axis=2) for c in (slice(0, 2), slice(2, 4)))
+        beta = (d * e).sum() / (e * e).sum()
+        assert r["stress"] == pytest.approx(math.sqrt(((d - beta * e) ** 2).sum() / (d * d).sum()), abs=1e-9)
