@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .cells import MARGIN, area_cells, crosses, extent_of, hull_boxes, meeting, segment_cells, within
+
 
 def squared(*pairs: tuple[Column, Column]) -> Column:
     """Sum of squared differences, in the order given."""
@@ -20,13 +23,19 @@ def squared(*pairs: tuple[Column, Column]) -> Column:
 def coverage(points: DataFrame, sites: DataFrame, key: str, r_min: float = 0.0) -> DataFrame:
     """bs_id, key: the points within a site's radius and not nearer than ``r_min``.
 
-    Sites are few (one row a base station) and go to every task; points never move.
+    Circles meet points by grid cells; a null place or site covers nothing.
     """
     d2 = squared((F.col("x"), F.col("cx")), (F.col("y"), F.col("cy")))
-    within = d2 <= F.col("radius") * F.col("radius")
+    inside = d2 <= F.col("radius") * F.col("radius")
     if r_min > 0:
-        within &= d2 >= r_min * r_min
-    return points.select(key, "x", "y").join(F.broadcast(sites), within).select("bs_id", key)
+        inside &= d2 >= r_min * r_min
+    r = F.abs("radius") * (1 + MARGIN)
+    box = {"low_x": F.col("cx") - r, "low_y": F.col("cy") - r, "high_x": F.col("cx") + r, "high_y": F.col("cy") + r}
+    circles, sizes = area_cells(sites.where("cx is not null and cy is not null and radius is not null").withColumns(box))
+    found = points.sparkSession.createDataFrame([], f"bs_id {dict(sites.dtypes)['bs_id']}, {key} {dict(points.dtypes)[key]}")
+    for size in sizes:
+        found = found.unionByName(meeting(points.select(key, "x", "y"), circles, size, inside, "inner").select("bs_id", key))
+    return found
 
 
 def coverage_radius(points: DataFrame, share: float) -> DataFrame:
@@ -84,14 +93,17 @@ def in_ellipse(points: DataFrame, cx: float, cy: float, a: float, b: float) -> D
 
 
 def outside_hulls(points: DataFrame, hulls: DataFrame, key: str) -> DataFrame:
-    """Points that lie in no convex hull; a hull is its half-planes a*x + b*y + c <= 0, one a row.
+    """Points that lie in no convex hull; a hull is its half-planes a*x + b*y + c <= 0, one a row. Points without a place stay.
 
-    Half-planes go to every task, and each task decides its own points with an aggregate per point
-    and hull; the anti-join removes those inside.
+    Hulls meet points by grid cells: an anti-join for each order of size that hulls have.
     """
-    planes = F.broadcast(hulls.groupBy("hull_id").agg(F.collect_list(F.struct("a", "b", "c")).alias("planes")))
-    inside = F.forall("planes", lambda p: p["a"] * F.col("x") + p["b"] * F.col("y") + p["c"] <= 0)
-    return points.join(planes, inside, "left_anti")
+    extent = extent_of(points, ["x"], ["y"])
+    if extent is None:
+        return points
+    cells, sizes = area_cells(hull_boxes(hulls, extent).withColumnsRenamed({"hull_id": "__hull", "planes": "__planes"}))
+    for size in sizes:
+        points = meeting(points, cells, size, within("__planes", "x", "y"), "left_anti")
+    return points
 
 
 def _corners(points) -> list[tuple[float, float]]:
@@ -178,32 +190,38 @@ def near_any(points: DataFrame, others: DataFrame, radius: float, key: str) -> D
 
 
 def segments_crossing(segments: DataFrame, hulls: DataFrame, key: str, eps: float = 1e-10) -> DataFrame:
-    """Keys of segments (x0, y0, x1, y1) that run through a convex hull: each half-plane clips the parameter range."""
-    planes = F.broadcast(hulls)
-    start = F.col("a") * F.col("x0") + F.col("b") * F.col("y0") + F.col("c")
-    slope = F.col("a") * (F.col("x1") - F.col("x0")) + F.col("b") * (F.col("y1") - F.col("y0"))
-    clipped = segments.join(planes).select(key, "hull_id", start.alias("s"), slope.alias("u")).withColumn("t", -F.col("s") / F.col("u"))
-    ranges = clipped.groupBy(key, "hull_id").agg(
-        F.max(F.when(F.col("u") < -eps, F.col("t")).otherwise(0.0)).alias("enter"),
-        F.min(F.when(F.col("u") > eps, F.col("t")).otherwise(1.0)).alias("leave"),
-        F.max(((F.abs("u") <= eps) & (F.col("s") > eps)).cast("int")).alias("outside"),
-    )
-    return ranges.where((F.greatest("enter", F.lit(0.0)) <= F.least("leave", F.lit(1.0))) & (F.col("outside") == 0)).select(key).distinct()
+    """Keys of segments (x0, y0, x1, y1) that run through a convex hull: each half-plane clips the parameter range.
+
+    A segment meets the hulls of the grid cells that it runs through; one without an end crosses nothing.
+    """
+    known = segments.select(key, "x0", "y0", "x1", "y1").where("x0 is not null and y0 is not null and x1 is not null and y1 is not null")
+    extent = extent_of(known, ["x0", "x1"], ["y0", "y1"])
+    if extent is None:
+        return known.select(key)
+    cells, sizes = area_cells(hull_boxes(hulls, extent))
+    if not sizes:
+        return known.select(key).limit(0)
+    met = segment_cells(known, sizes).join(cells, ["size", "gx", "gy"])
+    return met.where(crosses("planes", eps)).select(key).distinct()
 
 
 def snap(queries: DataFrame, points: DataFrame, query_key: str, key: str, reach: float) -> DataFrame:
-    """query_key, key, d2: the nearest point of each query (ties: the smaller key).
+    """query_key, key, d2: the nearest point of each query (ties: the smaller key); queries without a place have none.
 
-    Grid cells of size ``reach`` find almost all; the search doubles the cell for queries that
-    still have no point within reach, until all have one.
+    The nearest of the points in a query's cell and the eight around it is the nearest of all if it is within one cell's
+    size. Queries for which none is so near go on to cells of twice the size; each round is written down, and points
+    are laid into one cell only. A query far from all points meets those of the first cells that hold any.
     """
-    found, open_queries = None, queries.where("x is not null and y is not null")
-    empty = points.isEmpty()
-    while not empty:
-        met = radius_join(open_queries, points, reach, query_key, key)
+    open_queries = materialize(queries.select(query_key, "x", "y").where("x is not null and y is not null"), "snap")
+    places = materialize(points.select(key, "x", "y").where("x is not null and y is not null"), "snap")
+    extent = extent_of(places, ["x"], ["y"])
+    found = None
+    while extent is not None:
+        met = radius_join(places, open_queries, reach, key, query_key)
         best = met.groupBy(query_key).agg(F.min(F.struct("d2", F.col(key))).alias("m")).select(query_key, F.col(f"m.{key}").alias(key), F.col("m.d2").alias("d2"))
+        best = materialize(best, "snapped")
         found = best if found is None else found.unionByName(best)
-        open_queries = open_queries.join(best, query_key, "left_anti")
+        open_queries = materialize(open_queries.join(best.select(query_key), query_key, "left_anti"), "snap")
         if open_queries.isEmpty():
             return found
         reach *= 2

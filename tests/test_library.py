@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from chartweave.functions import vectors as V
 from chartweave.operators import alignment as A
 from chartweave.operators import geometry as G
+from chartweave.operators import graph as N
 from chartweave.operators import metrics as M
 from chartweave.operators import report as E
 from chartweave.operators import training as L
 from chartweave.operators import triplets as T
 from chartweave.plans import fixtures, learning, registry
-from chartweave.sources import campaigns, results
+from chartweave.sources import campaigns, records, results
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -180,7 +181,7 @@ def record(csi, position, time):
     blob = lambda b: field(1, field(1, b))
     entries = {"csi": blob(b"\0" + csi.astype("<f4").tobytes()), "pos-tachy": blob(position), "time": field(2, field(1, struct.pack("<f", time)))}
     message = field(1, b"".join(field(1, field(1, k.encode()) + field(2, v)) for k, v in entries.items()))
-    return struct.pack("<QI", len(message), 0) + message + struct.pack("<I", 0)
+    return records.frame(message)
 
 
 def test_record_files(spark, tmp_path):
@@ -204,6 +205,64 @@ def test_record_files(spark, tmp_path):
     assert [(p.re, p.im) for p in pairs] == [tuple(x) for x in csi[1].astype(float).reshape(-1, 2).tolist()]
 
 
+def plain_rows(df):
+    return sorted((r.campaign, r.record_idx, tuple(map(plain, r.csi)), r.x, r.y, r.time) for r in df.collect())
+
+
+def test_large_record_files_are_read_in_ranges(spark, tmp_path):
+    """Ranges smaller than a frame, messages that hold whole frames, and empty files give what the whole reader gives."""
+    rng = np.random.default_rng(8)
+    position = b"\x22\x18" + struct.pack("<ddd", 1.5, -2.5, 0)
+    small = record(rng.normal(size=4).astype("f4"), position, 7.0)
+    trap = np.frombuffer(small * 3 + bytes(-len(small) * 3 % 4), "<f4")  # frames inside a message
+    csi = [rng.normal(size=2 * int(rng.integers(1, 300))).astype("f4") if k % 4 else trap for k in range(90)]
+    (tmp_path / "in").mkdir()
+    for name, part in (("one", range(60)), ("two", range(60, 90)), ("none", ())):
+        (tmp_path / "in" / f"{name}.tfrecords").write_bytes(b"".join(record(csi[k], position, float(k)) for k in part))
+    want = plain_rows(campaigns.read_whole_records(spark, f"{tmp_path}/in"))
+    assert len(want) == 90 and want[0][1] == 0
+    for split in (1_000, 20_000, 1 << 30):
+        found = campaigns.read_records(spark, f"{tmp_path}/in", split_bytes=split)
+        assert plain_rows(found) == want
+        if split == 20_000:
+            assert found.rdd.getNumPartitions() >= 3
+            most = max(found.groupBy(F.spark_partition_id()).count().toPandas()["count"])
+            assert most < 60
+    times = campaigns.read_records(spark, f"file://{tmp_path}/in/two.tfrecords", ("campaign", "record_idx", "time"), 5000)
+    assert times.columns == ["campaign", "record_idx", "time"]
+    assert sorted(tuple(r) for r in times.collect()) == [("two", k - 60, float(k)) for k in range(60, 90)]
+    assert campaigns.read_records(spark, f"{tmp_path}/in/none.tfrecords").count() == 0
+    with pytest.raises(ValueError):
+        campaigns.read_records(spark, f"{tmp_path}/in", ("odd",))
+
+
+def test_damaged_record_files_are_an_error(spark, tmp_path):
+    data = bytearray(b"".join(record(np.ones(8, "f4"), b"no tag", float(k)) for k in range(5)))
+    data[2] ^= 1
+    (tmp_path / "bad.tfrecords").write_bytes(bytes(data))
+    with pytest.raises(Exception, match="no sound record"):
+        campaigns.read_records(spark, f"{tmp_path}/bad.tfrecords")
+    with pytest.raises(FileNotFoundError):
+        campaigns.read_records(spark, f"{tmp_path}/missing")
+    assert records.length_checksum(np.frombuffer(b"12345678", np.uint8)[None])[0] == masked(b"12345678")
+
+
+def masked(data):
+    """The checksum bit by bit."""
+    crc = 0xFFFFFFFF
+    for byte in data:
+        crc ^= byte
+        for _ in range(8):
+            crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+    crc ^= 0xFFFFFFFF
+    return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
+
+
+def test_calibration_file(spark, tmp_path):
+    (tmp_path / "offsets.json").write_text('{\n "sto": [0.5, -1.0],\n "cpo": [0.25, 3.0]\n}')
+    assert campaigns.read_calibration(spark, f"{tmp_path}/offsets.json").first() == ([0.5, -1.0], [0.25, 3.0])
+
+
 def test_results_go_to_files_and_back(spark, tmp_path):
     root = results.setting_dir(str(tmp_path), 4, False)
     for method, value in (("flat", 0.5), ("bundle", 0.25)):
@@ -285,3 +344,59 @@ def test_bootstrap_of_stress_is_brute_force(spark):
         d, e = (np.linalg.norm(at[:, None, c] - at[None, :, c], axis=2) for c in (slice(0, 2), slice(2, 4)))
         beta = (d * e).sum() / (e * e).sum()
         assert r["stress"] == pytest.approx(math.sqrt(((d - beta * e) ** 2).sum() / (d * d).sum()), abs=1e-9)
+
+
+def half_planes(rng, centre, size, corners):
+    """A random convex polygon about a centre as half-planes."""
+    turn = np.sort(rng.uniform(0, 2 * np.pi, corners))
+    return [(float(np.cos(t)), float(np.sin(t)), float(-(np.cos(t) * centre[0] + np.sin(t) * centre[1]) - size)) for t in turn]
+
+
+def crossing(p, q, planes):
+    enter, leave = 0.0, 1.0
+    for a, b, c in planes:
+        s, u = a * p[0] + b * p[1] + c, a * (q[0] - p[0]) + b * (q[1] - p[1])
+        if abs(u) <= 1e-10:
+            if s > 1e-10:
+                return False
+        elif u > 0:
+            leave = min(leave, -s / u)
+        else:
+            enter = max(enter, -s / u)
+    return enter <= leave
+
+
+def test_hulls_of_all_sizes_meet_points_and_segments_by_cells(spark):
+    """Small and large, unbounded, empty and touching hulls; long and short, upright and level segments; no place at all."""
+    rng = np.random.default_rng(11)
+    hulls = {k: half_planes(rng, rng.uniform(-50, 50, 2), float(rng.choice([0.01, 0.5, 4, 30])), int(rng.integers(3, 8))) for k in range(40)}
+    hulls |= {40: [(1.0, 0.0, 45.0)], 41: [(1.0, 0.0, 0.0), (-1.0, 0.0, 1.0)], 42: [(1.0, 0.0, -3.0), (-1.0, 0.0, 2.0), (0.0, 1.0, -3.0), (0.0, -1.0, 2.0)]}
+    inside = lambda x, y: any(all(a * x + b * y + c <= 0 for a, b, c in own) for own in hulls.values())
+    places = [tuple(map(float, rng.uniform(-60, 60, 2))) for _ in range(300)] + [(3.0, 3.0), (2.0, 2.5), (3.0000001, 3.0)]
+    planes = spark.createDataFrame([(k, *p) for k, own in hulls.items() for p in own], "hull_id long, a double, b double, c double")
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(places)] + [(900, None, 1.0), (901, None, None)], "id long, x double, y double")
+    outside = G.outside_hulls(points, planes, "id")
+    assert sorted(r["id"] for r in outside.collect()) == [k for k, p in enumerate(places) if not inside(*p)] + [900, 901]
+    ends = [(p, tuple(map(float, np.add(p, rng.normal(0, rng.choice([0.1, 3, 60]), 2))))) for p in places] + [((1.0, -60.0), (1.0, 60.0)), ((-60.0, 3.0), (60.0, 3.0)), ((2.5, 2.5), (2.5, 2.5))]
+    segments = spark.createDataFrame([(k, *p, *q) for k, (p, q) in enumerate(ends)] + [(900, None, 1.0, 1.0, 1.0)], "id long, x0 double, y0 double, x1 double, y1 double")
+    crossed = G.segments_crossing(segments, planes, "id")
+    assert sorted(r["id"] for r in crossed.collect()) == [k for k, (p, q) in enumerate(ends) if any(crossing(p, q, own) for own in hulls.values())]
+    sites = spark.createDataFrame([(k, *map(float, rng.uniform(-60, 60, 2)), float(r)) for k, r in enumerate([0.0, 0.5, 5, 5, 70])] + [(9, None, 0.0, 1.0)], "bs_id int, cx double, cy double, radius double")
+    covered = G.coverage(points, sites, "id", 0.2)
+    want = {(s.bs_id, k) for s in sites.collect() if s.cx is not None for k, (x, y) in enumerate(places) if 0.04 <= (x - s.cx) ** 2 + (y - s.cy) ** 2 <= s.radius**2}
+    assert sorted(tuple(r) for r in covered.collect()) == sorted(want)
+    graph = N.neighbour_graph(points, "id", 9.0, planes)
+    for df in (outside, crossed, covered, graph):
+        plan = df._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert G.outside_hulls(points, planes.limit(0), "id").count() == points.count()
+    assert G.segments_crossing(segments, planes.limit(0), "id").count() == G.segments_crossing(segments.limit(0), planes, "id").count() == 0
+
+
+def test_far_queries_are_snapped_like_near_ones(spark):
+    rng = np.random.default_rng(6)
+    places, asked = rng.uniform(0, 1, (80, 2)), np.concatenate([rng.uniform(0, 1, (40, 2)), [[40.0, -3.0], [-900.0, 2.0]]])
+    frame = lambda at, name: spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(at)] + [(999, None, 0.0)], f"{name} long, x double, y double")
+    got = {r.q: r.id for r in G.snap(frame(asked, "q"), frame(places, "id"), "q", "id", 0.01).collect()}
+    assert got == {k: int(((places - p) ** 2).sum(1).argmin()) for k, p in enumerate(asked)}
+    assert G.snap(frame(asked, "q"), frame(places, "id").where("x > 5"), "q", "id", 0.01).count() == 0
