@@ -124,17 +124,21 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable], text_col: str, batch_
     return df.mapInArrow(run, df.schema)
 
 
-def numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+def numbered(df: DataFrame, id_col: str, by_id: bool = False) -> tuple[DataFrame, str]:
     """``df`` and the column that tells its rows apart.
 
     That is the id where it is never null and never repeated; else a row number, which a written copy
-    of ``df`` then carries as a further column.
+    of ``df`` then carries as a further column. With ``by_id`` row numbers ascend with the ids, null ids last; the copy is sorted by
+    ranges in which a repeated id may be cut.
     """
     ids = df.select(F.col(id_col).cast("long").alias("id"))
     rows, distinct = ids.agg(F.count("*"), F.count_distinct("id")).first()
     if rows == distinct:
         return df, id_col
     name = unused(df, "row_number")
+    if by_id:
+        order = [F.col(id_col).isNull(), F.col(id_col).cast("long"), F.col(name)]
+        df = df.withColumn(name, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import documents, map_batches
+from .common import documents, map_batches, numbered
 from .shingles import constants, hashed_words, mix
 
 #: Equal lines of at least so many words go, so only blank ones stay; one edit counts from NEAR_WORDS words on.
@@ -216,8 +216,8 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A line goes if an earlier one (by doc_id, then line number from 0) has equal words, or has
     NEAR_WORDS words at least, like itself, and is one word edit away. Lines are split at line feeds;
     [\\x20\\x09-\\x0D] only separates words, and of scripts without spaces each code point is a word. Blank lines, null and
-    empty texts lose nothing, nor do rows without an id. An id names one document: rows that repeat it are the same lines and do not remove
-    each other. A group of equal lines or of lines with a common variant meets only in combined
+    empty texts lose nothing. The result names a line by its document's id, so rows without one are left out and rows that repeat one are the
+    same lines; dedup_lines tells such rows apart. A group of equal lines or of lines with a common variant meets only in combined
     aggregates and in joins, whatever its size.
     """
     docs = _data(df, id_col, text_col)
@@ -232,9 +232,15 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, n_lines, n_dropped: every text without its duplicate lines; one row a row of ``df``."""
-    gone = duplicate_lines(df, id_col, text_col).groupBy("doc_id").agg(F.collect_set("line_no").alias("numbers"))
-    docs = documents(df, id_col, text_col).join(gone, "doc_id", "left")
+    """doc_id, text, n_lines, n_dropped: every text without its duplicate lines; one row a row of ``df``.
+
+    Lines go row by row. Where ids are null or repeated, rows are numbered in the order of ids, null ids last: a line goes from a row
+    if it stands in an earlier row or line, whatever other rows of the same id lose.
+    """
+    rows, key = numbered(df, id_col, by_id=True)
+    gone = duplicate_lines(rows, key, text_col).groupBy(F.col("doc_id").alias("row")).agg(F.collect_set("line_no").alias("numbers"))
+    own = rows.select(F.col(key).cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = own.join(gone, "row", "left").drop("row")
 
     def make():
         def apply(batch):
