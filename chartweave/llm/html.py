@@ -45,7 +45,10 @@ MAIN_WORDS = frozenset("article body content entry main page post story text".sp
 #: Before one of the words above these say that the element only stands beside it.
 BESIDE = frozenset("has with no without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: The best container gives way to one above it whose text outside it is so large a share of its own, and so little of it links.
+#: Elements that hold running text.
+PROSE = HEADINGS | {"p", "pre", "blockquote"}
+#: The best container gives way to one above it that is not the body, if so little of its text outside is links; to the body only if
+#: the text outside is so large a share of its own besides.
 OUTSIDE, OUTSIDE_LINKS = 0.25, 0.3
 #: What an opening tag closes: open elements of these names, up to the first of the stops.
 CLOSES = {
@@ -58,30 +61,67 @@ CLOSES = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|xmp|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-z][^\s/>]*)([^>]*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "xmp", "noframes")}
+NAME = re.compile(r"/?([a-z][^\s/>]*)", re.I)
+RAW_NAME = re.compile(r"(script|style|xmp|noframes)\b", re.I)
+SPECIAL = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 DIGITS = re.compile(r"\d+")
 
 
+class Markup:
+    """The tags of a page, each place looked at a bounded number of times whatever is left open: what was searched for in vain is remembered."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in ">\"'"}
+        self.open_ended: set[int] = set()  # quotes outside quotes from which no end of a tag is reached
+
+    def _end(self, at: int) -> int:
+        """The first > from ``at`` on that no quotes hold; if there is none, the first of all."""
+        seen, place = [], at
+        while (m := SPECIAL.search(self.html, place)) and m.start() not in self.open_ended:
+            if m[0] == ">":
+                return m.start()
+            seen.append(m.start())
+            if m.start() == self.last[m[0]]:
+                break
+            place = self.html.index(m[0], m.end()) + 1
+        self.open_ended.update(seen)
+        return self.html.index(">", at)
+
+    def tags(self):
+        """(start, end, name or None, whether it closes, attributes) of tags, comments, declarations and raw elements."""
+        html, at, last = self.html, 0, self.last[">"]
+        while 0 <= (start := html.find("<", at)) < last:
+            at = start + 1
+            first = html[at]
+            if first in "!?":
+                comment = html.find("-->", start + 4) if html.startswith("!--", at) else html.index(">", at) - 2
+                at = len(html) if comment < 0 else comment + 3
+                yield start, at, None, False, ""
+            elif first in "sSxXnN" and (m := RAW_NAME.match(html, at)):
+                end = RAW[m[1].lower()].search(html, html.index(">", at) + 1)
+                at = end.end() if end else len(html)
+                yield start, at, None, False, ""
+            elif m := NAME.match(html, at):
+                name = m.end()
+                at = name + 1 if html[name] == ">" else self._end(name) + 1
+                yield start, at, m[1].lower(), first == "/", html[name : at - 1]
+
+
 class Node:
-    __slots__ = ("tag", "parent", "part", "chrome", "main", "within", "holder", "score", "text", "links", "link_text", "total", "kept", "mark")
+    __slots__ = ("tag", "parent", "part", "chrome", "main", "within", "holder", "score", "text", "links", "link_text", "total", "kept", "mark", "prose")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent = tag, parent
-        self.score = self.text = self.links = self.link_text = self.total = self.kept = 0
+        self.score = self.text = self.links = self.link_text = self.total = self.kept = self.prose = 0
         self.part, self.chrome, self.main, self.mark = tag, tag in CHROME, False, False
         self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))
         #: The innermost container from here upwards.
         self.holder = self if tag in CONTAINER else parent.holder if parent else None
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
+        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         if found.get("class"):
             self.part = ".".join([tag, *sorted({DIGITS.sub("#", c) for c in found["class"].split()})])
         if tag in ("html", "body"):
@@ -91,7 +131,7 @@ class Node:
             self.main |= bool(MAIN_WORDS & words)
             if tag not in ("article", "main") and not BESIDE & words and CHROME_WORDS & words:
                 self.chrome |= not self.within or words <= CHROME_WORDS | PLAIN_WORDS
-        self.chrome |= found.get("role", "").lower() in CHROME_ROLES or found.get("aria-hidden") == "true" or "hidden" in attributes.lower().split()
+        self.chrome |= found.get("role", "").lower() in CHROME_ROLES or found.get("aria-hidden") == "true" or "hidden" in found
         if tag == "header":
             self.chrome = not self.within
 
@@ -115,13 +155,12 @@ class Page:
         self.linked: list[str] = []
         self.anchors = 0
         at = 0
-        for m in MARKUP.finditer(html):
-            if m.start() > at:
-                self._text(html[at : m.start()])
-            at = m.end()
-            tag = m[3] or m[6]
+        for start, end, tag, closes, attributes in Markup(html).tags():
+            if start > at:
+                self._text(html[at:start])
+            at = end
             if tag:
-                (self._close if m[2] or m[5] else self._open)(tag.lower(), m[4] or m[7] or "")
+                (self._close if closes else self._open)(tag, attributes)
         if at < len(html):
             self._text(html[at:])
         self._flush()
@@ -197,8 +236,11 @@ class Page:
                 node.parent.total += node.total
                 node.parent.links += node.links
                 node.parent.link_text += node.link_text
+                if node.tag in PROSE:
+                    node.parent.prose += node.total - node.link_text
+        for node in self.nodes:
             if node.tag in ("ul", "ol") and not node.within and node.links >= MENU_LINKS and node.link_text >= MENU_SHARE * node.total:
-                node.chrome = True  # a list that is mostly links is a menu, outside an article
+                node.chrome |= node.parent.prose < node.total  # mostly links, outside an article, and not among paragraphs that say more
         for node in self.nodes:
             node.chrome |= node.parent is not None and node.parent.chrome
         self.kept = [(node, text) for node, text in self.blocks if not node.chrome]
@@ -222,7 +264,7 @@ class Page:
         top = up = max(live, key=lambda c: c.score)
         while up.parent is not None and (up := up.parent.holder) is not None and not (up.tag == "body" and (top.within or top.tag in ("article", "main"))):
             outside, links = up.kept - top.kept, up.link_text - top.link_text
-            if outside > 0 and (up.tag in ("article", "main") or outside >= OUTSIDE * top.kept and links <= OUTSIDE_LINKS * outside):
+            if outside > 0 and (up.tag in ("article", "main") or links <= OUTSIDE_LINKS * outside and (up.tag != "body" or outside >= OUTSIDE * top.kept)):
                 top = up
         return top
 
