@@ -27,6 +27,12 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BROADCAST_ROWS = 500_000
 
 
+#: Bits of the key map for each shared key, and at most (32 MB). A fuller map passes more lines and loses none.
+MAP_BITS, MAP_MOST = 16, 1 << 28
+#: Positions that one row of the map's aggregate holds (fixed by bitmap_construct_agg).
+MAP_ROW = 1 << 15
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns that an operator needs, as ``doc_id`` long and ``text`` (null: empty).
 
@@ -150,3 +156,14 @@ def drop_rows(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     name = unused(df, "gone")
     gone = materialize(gone.toDF(name), "gone")
     return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col(key).cast("long") == F.col(name), "left_anti")
+
+
+def key_map(keys: DataFrame) -> np.ndarray:
+    """Bytes of a map with a bit for each of ``keys``, which folds them by their low bits; MAP_MOST bits at most. A full map finds too much and misses nothing."""
+    bits = min(MAP_MOST, max(MAP_ROW, 1 << (MAP_BITS * keys.count()).bit_length()))
+    place = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("place"))
+    rows = place.groupBy(F.floor(F.col("place") / MAP_ROW).alias("row")).agg(F.bitmap_construct_agg(F.col("place") % MAP_ROW).alias("map")).toArrow()
+    out = np.zeros((bits // MAP_ROW, MAP_ROW // 8), np.uint8)
+    for row, data in zip(rows.column("row").to_pylist(), rows.column("map").to_pylist()):
+        out[row] = np.frombuffer(data, np.uint8)
+    return out.ravel()

@@ -4,6 +4,9 @@ A record's content is its text without the white space of the contract. Records
 partitioned by a hash of the content - first over the cluster by a shuffle, then inside a
 task to spill files, again and again with other bits - until a bucket fits an
 open-addressing table, which compares complete contents.
+
+Most contents stand alone. So hashes of all contents meet first, eight bytes each, and only records with a hash that
+another record has, too, bring their contents along.
 """
 
 from __future__ import annotations
@@ -15,10 +18,12 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, drop_rows, map_batches, numbered, release, slices
+from ..session import materialize
+from .common import SPACES, documents, drop_rows, key_map, map_batches, numbered, release, slices
 
 #: Bytes of content that a bucket may hold for its table; a larger one is partitioned again.
 BUCKET_BYTES = 32 << 20
@@ -131,18 +136,40 @@ def _emit(groups: Iterator[list], schema: pa.Schema) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def _grouped(df: DataFrame, raw: bool) -> DataFrame:
-    """One row for each content of each partition; ``raw``: rows are documents and not groups yet."""
+def _hash(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def shared_hashes(docs: DataFrame) -> DataFrame:
+    """key: the hashes that more than one record of ``docs`` (data) has; of each record eight bytes are shuffled."""
+
+    def make():
+        def apply(batch):
+            return {"key": [_hash(hashlib.sha256(t.translate(None, SPACES)).digest()) for t in batch.column("data").to_pylist()]}
+
+        return apply
+
+    keys = map_batches(docs.select("data"), make, "key long")
+    return keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+
+
+def _grouped(df: DataFrame, raw: bool, shared: Broadcast | None = None) -> DataFrame:
+    """One row for each content of each partition; ``raw``: rows are documents and not groups yet, and only those on the map ``shared`` count."""
     schema = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("length", pa.int64()), ("doc_id", pa.int64()), ("members", pa.int64())])
 
     def rank(length, doc_id):
         return -length, doc_id is None, doc_id or 0
 
     def fresh(batches):
+        bits = shared.value
+        last = 8 * len(bits) - 1
         for batch in batches:
             for doc_id, text, length in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "length"))):
                 content = text.translate(None, SPACES)
-                yield hashlib.sha256(content).digest(), content, rank(length, doc_id), 1
+                digest = hashlib.sha256(content).digest()
+                place = _hash(digest) & last
+                if bits[place >> 3] >> (place & 7) & 1:
+                    yield digest, content, rank(length, doc_id), 1
 
     def again(batches):
         for batch in batches:
@@ -158,14 +185,16 @@ def _grouped(df: DataFrame, raw: bool) -> DataFrame:
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each distinct content: digest, length and doc_id of the row that stays, members.
+    """digest, length and doc_id of the row that stays, and members of each content that several rows have; of a few that one row has, besides.
 
-    Three Grace passes, each a stronger meeting: inside the input partitions (no shuffle), over
+    Hashes decide what can have a copy at all; a map of them, of bounded size, goes to every task. What is on it passes three Grace
+    tables, each a stronger meeting: inside the input partitions (no shuffle), over
     (digest, salt), over the digest. Copies collapse before each shuffle, so a group that
     holds a third of all rows brings at most one row of each task, and SALTS at the end.
     """
-    docs = documents(df, id_col, text_col)
-    local = _grouped(docs.select("doc_id", F.col("text").cast("binary").alias("data"), F.length("text").cast("long").alias("length")), True)
+    docs = documents(df, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("data"), F.length("text").cast("long").alias("length"))
+    shared = df.sparkSession.sparkContext.broadcast(key_map(materialize(shared_hashes(docs), "shared-hashes")).tobytes())
+    local = _grouped(docs, True, shared)
     salted = local.withColumn("salt", F.spark_partition_id() % SALTS).repartition("digest", "salt").drop("salt")
     met = _grouped(salted, False).repartition("digest")
     return _grouped(met, False)
@@ -193,7 +222,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     last. Rows that repeat both id and text count as members each and are all marked as the row they
     repeat. An empty table gives an empty result; further columns are ignored.
 
-    The Grace tables decide the groups, comparing complete contents. Their result has one row
+    The Grace tables decide the groups, comparing complete contents of all rows whose hash is not theirs alone. Their result has one row
     a content and carries its SHA-256, by which every document then finds its group.
     """
     found = groups(df, id_col, text_col).select("digest", F.col("doc_id").alias("keep_id"), F.col("members").alias("group_size"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import documents, map_batches, numbered
+from .common import documents, key_map, map_batches, numbered
 from .shingles import constants, hashed_words, mix
 
 #: Equal lines of at least so many words go, so only blank ones stay; one edit counts from NEAR_WORDS words on.
@@ -35,11 +35,6 @@ OTHERS = bytes(b for b in range(256) if b not in (0xE0, 0xE1, 0xEF, 0xF0) and no
 SPACED = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 #: Text that is hashed at once; the arrays take some 25 times its bytes.
 HASHED_BYTES = 2 << 20
-#: Bits of the key map for each shared key, and at most (32 MB). A fuller map passes more lines and loses none.
-MAP_BITS, MAP_MOST = 16, 1 << 28
-#: Positions that one row of the map's aggregate holds (fixed by bitmap_construct_agg).
-MAP_ROW = 1 << 15
-
 AHEAD, BEHIND, SIDE, LENGTH, STEP = constants(21, 5)
 STEP_BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
 
@@ -133,17 +128,6 @@ def _lines(docs: DataFrame) -> DataFrame:
     return map_batches(docs, make, "doc_id long, line_no long, line long, keys array<long>", HASHED_BYTES)
 
 
-def _key_map(keys: DataFrame) -> np.ndarray:
-    """Bytes of a map with a bit for each of ``keys``, which folds them by their low bits; MAP_MOST bits at most."""
-    bits = min(MAP_MOST, max(MAP_ROW, 1 << (MAP_BITS * keys.count()).bit_length()))
-    place = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("place"))
-    rows = place.groupBy(F.floor(F.col("place") / MAP_ROW).alias("row")).agg(F.bitmap_construct_agg(F.col("place") % MAP_ROW).alias("map")).toArrow()
-    out = np.zeros((bits // MAP_ROW, MAP_ROW // 8), np.uint8)
-    for row, data in zip(rows.column("row").to_pylist(), rows.column("map").to_pylist()):
-        out[row] = np.frombuffer(data, np.uint8)
-    return out.ravel()
-
-
 def _close_lines(docs: DataFrame, key_map: np.ndarray) -> DataFrame:
     """line, doc_id, line_no, data: the first place and the text of every line with a key on the map."""
     shared = docs.sparkSession.sparkContext.broadcast(key_map)
@@ -224,7 +208,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = materialize(_lines(docs), "lines")
     keys = lines.select(F.explode("keys").alias("key"), "line")
     met = keys.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("key")
-    texts = materialize(_close_lines(docs, _key_map(materialize(met, "keys"))), "close-lines")
+    texts = materialize(_close_lines(docs, key_map(materialize(met, "keys"))), "close-lines")
     near = _near_lines(texts).withColumn("near", F.lit(True))
     firsts = lines.groupBy("line").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
     verdict = firsts.join(near, "line", "left").where("n > 1 or near").select("line", "first", "near")
