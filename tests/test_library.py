@@ -19,6 +19,7 @@ from chartweave.operators import graph as N
 from chartweave.operators import metrics as M
 from chartweave.operators import report as E
 from chartweave.operators import training as L
+from chartweave.operators import trajectories as W
 from chartweave.operators import triplets as T
 from chartweave.plans import fixtures, learning, registry
 from chartweave.sources import campaigns, records, results
@@ -400,3 +401,70 @@ def test_far_queries_are_snapped_like_near_ones(spark):
     got = {r.q: r.id for r in G.snap(frame(asked, "q"), frame(places, "id"), "q", "id", 0.01).collect()}
     assert got == {k: int(((places - p) ** 2).sum(1).argmin()) for k, p in enumerate(asked)}
     assert G.snap(frame(asked, "q"), frame(places, "id").where("x > 5"), "q", "id", 0.01).count() == 0
+
+
+def test_neighbours_of_clusters_copies_and_outliers(spark):
+    """Dense and sparse places, many points at one place, ties, groups, fewer points than neighbours; few rows are shuffled."""
+    rng = np.random.default_rng(12)
+    at = np.concatenate([rng.normal(0, 1e-5, (300, 2)), np.repeat([[3.0, 4.0]], 150, 0), rng.uniform(-50, 50, (120, 2)), [[1e6, 0.0]], np.round(rng.uniform(0, 3, (80, 2)))])
+    rows = [(k % 2, k, *map(float, p)) for k, p in enumerate(at)] + [(2, 9000, 0.0, 0.0), (2, 9001, 1.0, 1.0), (1, 9002, None, 1.0), (0, 9003, 1.0, float("nan"))]
+    df = spark.createDataFrame(rows, "g int, id long, x double, y double")
+
+    def brute(own, k):
+        out = []
+        for i, p in own:
+            near = sorted(((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2, j) for j, q in own if j != i)[:k]
+            out += [(i, j, n + 1) for n, (_, j) in enumerate(near)]
+        return out
+
+    whole = {g: [(i, (x, y)) for h, i, x, y in rows if h == g and i not in (9002, 9003)] for g in (0, 1, 2)}
+    for k, cell in ((1, 4096), (7, 64), (7, 4096)):
+        old, M.CELL_POINTS = M.CELL_POINTS, cell
+        try:
+            got = M.nearest(df, "id", ["x", "y"], k, 700, ["g"])
+            assert sorted((r["id"], r.other, r.place) for r in got.collect()) == sorted(x for own in whole.values() for x in brute(own, k))
+        finally:
+            M.CELL_POINTS = old
+    known = df.where("x is not null and not isnan(y)")
+    a, b = ({(r["id"], r.other, r.place) for r in f(known, "id", ["x", "y"], 3, 700, ["g"]).collect()} for f in (M.nearest, M._nearest_of_all))
+    assert a == b
+    assert M.nearest(df.limit(0), "id", ["x", "y"], 3, 0).count() == 0
+
+
+def test_walkers_turn_at_dead_ends_and_draw_anew_when_stuck(spark):
+    line = [(k, float(k), 0.0) for k in range(10)] + [(20, 50.0, 50.0), (21, 50.0, 50.0 + 1e-9), (30, 90.0, 0.0)]
+    points = spark.createDataFrame(line, "id long, x double, y double")
+    links = [(k, k + 1) for k in range(9)] + [(20, 21)]
+    edges = spark.createDataFrame(links + [(b, a) for a, b in links], "src long, dst long")
+    users = [(k, kind, 9, k) for k, kind in enumerate(W.WALKS)] + [(100, "neighbor_linear", 9, 20), (101, "full", 9, 20), (102, "circular", 3, 30), (103, "coherent", 1, 4), (104, "full", 0, 4), (105, "full", 4, 77)]
+    asked = spark.createDataFrame(users, "walker long, kind string, length int, node long")
+    rows = W.graph_trajectories(edges, points, asked, "id", 5, interval=4, circle=(2.0, 6.0)).collect()
+    path = {(r.walker, r.t): r.node for r in rows}
+    assert {w for w, _ in path} == {u[0] for u in users} - {104, 105}
+    neighbours = {k: {b for a, b in links if a == k} | {a for a, b in links if b == k} for k, _, _ in line}
+    for walker, kind, length, node in users[:-2]:
+        assert [t for w, t in sorted(path) if w == walker] == list(range(length)) and path[walker, 0] == node
+        for t in range(1, length):
+            here = path[walker, t - 1]
+            assert path[walker, t] in (neighbours[here] or {here})
+    assert {path[102, t] for t in range(3)} == {30}
+    redraws = {r.walker: max(q.redraws for q in rows if q.walker == r.walker) for r in rows}
+    assert redraws[100] == 1 and redraws[101] == 0 and redraws[0] == redraws[1] == 0
+    with pytest.raises(ValueError):
+        W.graph_trajectories(edges, points, asked.withColumn("kind", F.lit("odd")), "id", 5)
+
+
+def test_second_legs_turn_about_a_right_angle(spark):
+    rng = np.random.default_rng(1)
+    side = 41
+    grid = [(a * side + b, float(a), float(b)) for a in range(side) for b in range(side)]
+    near = [(a * side + b, c * side + d) for a in range(side) for b in range(side) for c in (a - 1, a, a + 1) for d in (b - 1, b, b + 1) if (a, b) != (c, d) and 0 <= c < side and 0 <= d < side]
+    points, edges = spark.createDataFrame(grid, "id long, x double, y double"), spark.createDataFrame(near, "src long, dst long")
+    users = spark.createDataFrame([(k, "neighbor_l", 16, side * 20 + 20) for k in range(30)], "walker long, kind string, length int, node long")
+    at = {(r.walker, r.t): np.array(divmod(r.node, side)) for r in W.graph_trajectories(edges, points, users, "id", int(rng.integers(99))).collect()}
+    cosines = []
+    for k in range(30):
+        a, b = at[k, 7] - at[k, 0], at[k, 15] - at[k, 8]
+        cosines.append(a @ b / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-9))
+    assert abs(np.mean(cosines)) < 0.4 and np.mean(np.abs(cosines)) < 0.7
+    assert len({tuple(map(tuple, (at[k, t] for t in range(16)))) for k in range(30)}) > 25
