@@ -25,6 +25,22 @@ def integer(hexes: Column, below: Column | int, digits: int = 12) -> Column:
     return F.conv(F.substring(hexes, 1, digits), 16, 10).cast("long") % n
 
 
+def race_key(weight: Column, u: Column) -> Column:
+    """An exponential key of rate ``weight`` from a number in [0, 1): the smallest key of all is each row's with a chance in proportion to its weight."""
+    return F.when(weight > 0, -F.log((u * 1e12 + 0.5) / (1e12 + 1)) / weight)
+
+
+def weighted_draws(df: DataFrame, key: str, weight: Column, draws: int, seed: int) -> DataFrame:
+    """draw_no, key: for each draw a row with a chance in proportion to its weight, with replacement from draw to draw.
+
+    Every row races in every draw and each task sends its winners on, one a draw; nothing is summed or normalised first. Rows with
+    no weight, or less, are never drawn.
+    """
+    runners = df.select(F.col(key), weight.alias("__w")).where("__w > 0").withColumn("draw_no", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    rank = race_key(F.col("__w"), fraction(draw(seed, F.col("draw_no"), F.col(key)), 12))
+    return runners.groupBy("draw_no").agg(F.min(F.struct(rank.alias("r"), F.col(key))).alias("m")).select("draw_no", f"m.{key}")
+
+
 def global_index(df: DataFrame, order: list[str], name: str = "gidx") -> DataFrame:
     """Adds the position of each row in the order of all rows, from 0.
 

@@ -20,11 +20,16 @@ def _users(spark, sf_dir, points, kinds):
     return W.users_at(table(spark, sf_dir, "events"), points, "vec_id", SEED, kinds, LENGTHS)
 
 
+def walked(spark, sf_dir, kind: str):
+    """The neighbour graph, and the walks of all users on it."""
+    points = charts(spark, sf_dir).select("vec_id", "x", "y")
+    edges = materialize(N.neighbour_graph(points, "vec_id", REACH, hulls(spark)), "edges")
+    return edges, W.graph_trajectories(edges, points, _users(spark, sf_dir, points, (kind,)), "vec_id", SEED, INTERVAL, LEAST, CIRCLE)
+
+
 def _walks(kind: str):
     def query(spark, sf_dir):
-        points = charts(spark, sf_dir).select("vec_id", "x", "y")
-        edges = materialize(N.neighbour_graph(points, "vec_id", REACH, hulls(spark)), "edges")
-        found = W.graph_trajectories(edges, points, _users(spark, sf_dir, points, (kind,)), "vec_id", SEED, INTERVAL, LEAST, CIRCLE)
+        found = walked(spark, sf_dir, kind)[1]
         return found.select("walker", F.col("t").cast("long").alias("t"), "node", F.col("redraws").cast("long").alias("redraws"))
 
     query.__name__ = f"trajectory_{kind}"
@@ -68,7 +73,8 @@ def _orbit(purpose: str, t: str) -> str:
     return f"x + {r} * cos({angle}) AS ncx, y + {r} * sin({angle}) AS ncy, CASE WHEN {_u(purpose + '-spin', 'walker', t)} < 0.5 THEN -1.0 ELSE 1.0 END AS nspin"
 
 
-def _walk_sql(kind: str) -> str:
+def walk_ctes(kind: str) -> str:
+    """Views up to s0, s1, ...: where each user stands at every step of a walk of this kind."""
     angle = f"{_2PI} * {_u('heading', 'walker')}"
     turn = f"CASE WHEN {_u('side', 'walker')} < 0.5 THEN -1.0 ELSE 1.0 END * ({math.pi / 2!r} + {W.TURN_SPREAD} * {_NORMAL('turn', 'walker')})"
     sql = SQL_VIEWS + _GRAPH + _BEGUN + f""", moves AS MATERIALIZED (
@@ -96,7 +102,11 @@ e{t} AS MATERIALIZED (SELECT * REPLACE ({"-spin * (y - cy) / r AS hx, spin * (x
 m{t} AS (SELECT e{t}.*, m.*, {weight} - ln(-ln(({u} * 1e12 + 0.5) / (1e12 + 1))) AS w FROM e{t} JOIN moves m ON src = node),
 s{t + 1} AS MATERIALIZED (SELECT walker, length, dst AS node, x1 AS x, y1 AS y, CASE WHEN size > 1e-8 THEN dx / size ELSE hx END AS hx, CASE WHEN size > 1e-8 THEN dy / size ELSE hy END AS hy, lx, ly, cx, cy, spin, fx, fy, sx, sy, qx, qy, redraws
   FROM (SELECT *, sqrt(dx * dx + dy * dy) AS size, row_number() OVER (PARTITION BY walker ORDER BY w DESC, dst DESC) AS place FROM m{t}) WHERE place = 1)"""
-    return sql + " " + " UNION ALL ".join(f"SELECT walker, CAST({t} AS BIGINT) AS t, node, CAST(redraws AS BIGINT) AS redraws FROM s{t}" for t in range(LENGTHS[1]))
+    return sql
+
+
+def steps_sql() -> str:
+    return " UNION ALL ".join(f"SELECT walker, CAST({t} AS BIGINT) AS t, node, CAST(redraws AS BIGINT) AS redraws FROM s{t}" for t in range(LENGTHS[1]))
 
 
 def _path_sql(kind: str) -> str:
@@ -114,4 +124,4 @@ paths AS (SELECT walker, t, x + sum(size * cos(angle)) OVER (PARTITION BY walker
     return grid + paths + f" SELECT walker, CAST(t AS BIGINT) AS t, arg_min(vec_id, ({d2}, vec_id)) AS node FROM paths p, charts c GROUP BY walker, t"
 
 
-ORACLES = {f"trajectory_{k}": _walk_sql(k) for k in W.WALKS} | {f"trajectory_{k}": _path_sql(k) for k in W.PATHS}
+ORACLES = {f"trajectory_{k}": walk_ctes(k) + " " + steps_sql() for k in W.WALKS} | {f"trajectory_{k}": _path_sql(k) for k in W.PATHS}

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from chartweave.functions import vectors as V
 from chartweave.operators import alignment as A
+from chartweave.operators import clusters as K
+from chartweave.operators import composition as C
 from chartweave.operators import geometry as G
 from chartweave.operators import graph as N
 from chartweave.operators import metrics as M
 from chartweave.operators import report as E
+from chartweave.operators import sampling as R
 from chartweave.operators import training as L
 from chartweave.operators import trajectories as W
 from chartweave.operators import triplets as T
@@ -468,3 +471,66 @@ def test_second_legs_turn_about_a_right_angle(spark):
         cosines.append(a @ b / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-9))
     assert abs(np.mean(cosines)) < 0.4 and np.mean(np.abs(cosines)) < 0.7
     assert len({tuple(map(tuple, (at[k, t] for t in range(16)))) for k in range(30)}) > 25
+
+
+def test_seeded_clusters_are_stable_and_near_the_best(spark):
+    """Labels do not change with partitions; inertia within one per cent of the best of many random starts; awkward points."""
+    rng = np.random.default_rng(21)
+    at = np.concatenate([rng.normal(c, 0.4, (60, 3)) for c in ((0, 0, 0), (4, 0, 1), (0, 5, 2), (5, 5, 5))])
+    df = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(at)] + [(900, None, 0.0, 0.0)], "id long, x double, y double, z double")
+    space = ["x", "y", "z"]
+    found = K.kmeans(df, "id", space, 4, 7, starts=3)
+    again = K.kmeans(df.repartition(7), "id", space, 4, 7, starts=3)
+    assert np.allclose(found.centres, again.centres, atol=1e-9) and found.rounds <= 50
+
+    def lloyd(centres):
+        for _ in range(60):
+            own = ((at[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            centres = np.array([at[own == k].mean(0) if (own == k).any() else centres[k] for k in range(len(centres))])
+        return ((at[:, None] - centres[None]) ** 2).sum(2).min(1).sum()
+
+    best = min(lloyd(at[rng.choice(len(at), 4, replace=False)]) for _ in range(60))
+    assert found.inertia <= 1.01 * best
+    labels = {r["id"]: r.cluster for r in K.labelled(df, space, found).collect()}
+    assert labels[900] is None and all(labels[k] == ((at[k] - np.array(found.centres)) ** 2).sum(1).argmin() for k in range(len(at)))
+    same = spark.createDataFrame([(k, 1.0, 2.0) for k in range(9)], "id long, x double, y double")
+    assert K.kmeans(same, "id", ["x", "y"], 3, 1).centres == [(1.0, 2.0)]
+    nothing = K.kmeans(same.limit(0), "id", ["x", "y"], 3, 1)
+    assert nothing.centres == [] and K.labelled(same, ["x", "y"], nothing).where("cluster is null").count() == 9
+
+
+def test_weighted_draws_follow_the_weights(spark):
+    weights = [0.0, 1.0, 2.0, 5.0, -3.0, 12.0, None]
+    df = spark.createDataFrame(list(enumerate(weights)), "id long, w double")
+    draws = 4000
+    rows = R.weighted_draws(df, "id", F.col("w"), draws, 3).collect()
+    assert sorted(r.draw_no for r in rows) == list(range(draws))
+    assert sorted(tuple(r) for r in rows) == sorted(tuple(r) for r in R.weighted_draws(df.repartition(5), "id", F.col("w"), draws, 3).collect())
+    for k, w in enumerate(weights):
+        share = max(w or 0.0, 0.0) / 20
+        n = sum(r["id"] == k for r in rows)
+        assert abs(n - draws * share) <= 4 * math.sqrt(draws * share * (1 - share))
+
+
+def test_folds_keep_anchors_and_draw_samples_anew(spark):
+    rng = np.random.default_rng(5)
+    walks = {w: [int(rng.integers(12)) for _ in range(int(rng.integers(3, 16)))] for w in range(25)}
+    steps = spark.createDataFrame([(w, t, n) for w, own in walks.items() for t, n in enumerate(own)], "walker long, t long, node long")
+    near, far, n_pos, n_neg = 2, 3, 2, 3
+    rows = C.walk_triplets(steps, near, far, n_pos, n_neg, 3, 9).collect()
+    wanted = set()
+    for w, own in walks.items():
+        last = {n: t for t, n in enumerate(own) if far <= t < len(own) - far}
+        for n, t in last.items():
+            pos = [own[s] for s in range(len(own)) if 0 < abs(s - t) <= near]
+            neg = [own[s] for s in range(len(own)) if abs(s - t) > far]
+            if len(pos) >= n_pos and len(neg) >= n_neg:
+                wanted.add((w, n))
+                for fold in range(3):
+                    for kind, size, pool in (("pos", n_pos, pos), ("neg", n_neg, neg)):
+                        drawn = [r.other for r in rows if (r.fold, r.walker, r.node, r.kind) == (fold, w, n, kind)]
+                        assert len(drawn) == size and all(drawn.count(x) <= pool.count(x) for x in drawn)
+    folds = [{(r.walker, r.node) for r in rows if r.fold == f} for f in range(3)]
+    assert folds == [wanted] * 3 and wanted
+    samples = [sorted((r.walker, r.node, r.kind, r.k, r.other) for r in rows if r.fold == f) for f in range(3)]
+    assert samples[0] != samples[1] != samples[2]
