@@ -261,6 +261,35 @@ def blur(histogram: DataFrame, bins: int, sigma: float, reach: int | None = None
     return out.join(F.broadcast(top)).select("bx", "by_", (F.col("v") / F.col("top")).alias("density"))
 
 
+def raster(areas: DataFrame, low: tuple[float, float], high: tuple[float, float], bins: int) -> DataFrame:
+    """Each row of ``areas`` with bx, by_ and px, py: the cells of a square raster and their centres."""
+    number = F.sequence(F.lit(0), F.lit(bins - 1))
+    cells_ = areas.withColumn("bx", F.explode(number)).withColumn("by_", F.explode(number))
+    centre = lambda c, k: F.lit(low[k]) + (F.col(c) + 0.5) * F.lit((high[k] - low[k]) / bins)
+    return cells_.withColumn("px", centre("bx", 0)).withColumn("py", centre("by_", 1))
+
+
+def tube(lines: DataFrame, line: str, low: tuple[float, float], high: tuple[float, float], bins: int, sigma: float, amplitude: float) -> DataFrame:
+    """line, bx, by_, density: a Gaussian of the distance from each raster cell to a polyline, all cells of each line.
+
+    ``lines`` has the polyline's segments (line, x0, y0, x1, y1), one a row; the nearest segment counts, found by an aggregate. A
+    segment of no length is a point.
+    """
+    ex, ey = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    vx, vy, size = F.col("px") - F.col("x0"), F.col("py") - F.col("y0"), ex * ex + ey * ey
+    t = F.when(size > 0, F.least(F.greatest((vx * ex + vy * ey) / size, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    d2 = squared((vx, t * ex), (vy, t * ey))
+    near = raster(lines.select(line, "x0", "y0", "x1", "y1"), low, high, bins).groupBy(line, "bx", "by_").agg(F.min(d2).alias("d2"))
+    return near.select(line, "bx", "by_", (F.lit(amplitude) * F.exp(-F.col("d2") / F.lit(2 * sigma * sigma))).alias("density"))
+
+
+def bridges(sites: DataFrame, points: DataFrame, key: str, reach: float) -> DataFrame:
+    """bs_id, x0, y0, x1, y1: from each site (bs_id, cx, cy) to the nearest point; a site that stands on a point has none."""
+    placed = sites.select("bs_id", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    found = snap(placed, points, "bs_id", key, reach).join(points.select(key, F.col("x").alias("x1"), F.col("y").alias("y1")), key)
+    return found.where("d2 >= 1e-12").join(placed, "bs_id").select("bs_id", F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
+
+
 def gradient_colour(points: DataFrame) -> DataFrame:
     """Adds ``colour``: mean of x and y, each scaled to its range."""
     r = points.agg(F.min("x").alias("x_low"), F.max("x").alias("x_high"), F.min("y").alias("y_low"), F.max("y").alias("y_high"))

@@ -75,8 +75,25 @@ def formatted(value: Column, digits: int = 3, missing: str = "--") -> Column:
     return F.when(value.isNull() | F.isnan(value), F.lit(missing)).otherwise(F.format_number(value, digits))
 
 
-def latex_rows(summary: DataFrame, metrics: list[str], digits: int = 3) -> DataFrame:
-    """method, line: a table row of each method, cells "mean $\\pm$ deviation"."""
-    cell = F.concat(formatted(F.col("mean"), digits), F.when(F.col("deviation").isNotNull(), F.concat(F.lit(r" $\pm$ "), formatted(F.col("deviation"), digits))).otherwise(F.lit("")))
-    wide = summary.withColumn("cell", cell).groupBy("method").pivot("metric", metrics).agg(F.first("cell"))
-    return wide.select("method", F.concat(F.concat_ws(" & ", "method", *(F.coalesce(F.col(m), F.lit("--")) for m in metrics)), F.lit(r" \\")).alias("line"))
+#: Fixed names of the colours of the three best methods of a column.
+PLACES = ("best", "second", "third")
+
+
+def latex_rows(summary: DataFrame, metrics: list[str], digits: int = 3, falling: tuple[str, ...] = ("CT", "TW")) -> DataFrame:
+    """method, line: a table row of each method, cells "mean $\\pm$ deviation" with the colours of the three best.
+
+    Columns are metrics, or ``metric@k``. Of ``falling`` metrics the largest mean is best, else the smallest; equal means go by name, and
+    means that are missing have no place.
+    """
+    label = F.concat("metric", F.coalesce(F.concat(F.lit("@"), F.col("k").cast("string")), F.lit("")))
+    summary = summary.withColumn("label", label).where(F.col("label").isin(*metrics))
+    known = F.col("mean").isNotNull() & ~F.isnan("mean")
+    order = F.when(F.col("metric").isin(*falling), -F.col("mean")).otherwise(F.col("mean"))
+    place = F.when(known, F.row_number().over(Window.partitionBy("label").orderBy((~known).cast("int"), order, "method")))
+    colour = F.lit("")
+    for n, name in enumerate(PLACES, 1):
+        colour = F.when(place == n, rf"\cellcolor{{{name}}}").otherwise(colour)
+    summary = summary.withColumn("__colour", colour)
+    cell = F.concat("__colour", formatted(F.col("mean"), digits), F.when(F.col("deviation").isNotNull(), F.concat(F.lit(r" $\pm$ "), formatted(F.col("deviation"), digits))).otherwise(F.lit("")))
+    wide = summary.withColumn("cell", cell).groupBy("method").pivot("label", metrics).agg(F.first("cell"))
+    return wide.select("method", F.concat(F.concat_ws(" & ", "method", *(F.coalesce(F.col(f"`{m}`"), F.lit("--")) for m in metrics)), F.lit(r" \\")).alias("line"))

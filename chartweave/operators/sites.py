@@ -33,6 +33,23 @@ def valid_pairs(pairs: DataFrame, groups: int) -> DataFrame:
     return both.where(F.col("j") < groups).distinct()
 
 
+def virtual_sites(parts: DataFrame, groups: DataFrame, key: str, site: str = "bs_id", vector: str = "x", width: int | None = None) -> DataFrame:
+    """group_id, key, vector: the parts of a group's sites one after the other, in the group's order.
+
+    ``groups`` has group_id, place and site, a row a member, and goes to every task (a handful of rows); ``parts`` has a vector for a site and key. A key for which a member has no
+    part, or a null one, is left out; with ``width`` so many zeros stand in its place, as long as any member has a part.
+    """
+    members = groups.select("group_id", "place", F.col(site).alias("__site"))
+    sizes = members.groupBy("group_id").agg(F.array_sort(F.collect_list("place")).alias("__places"))
+    met = parts.where(F.col(vector).isNotNull()).join(F.broadcast(members), F.col(site) == F.col("__site")).groupBy("group_id", key).agg(F.map_from_entries(F.collect_list(F.struct("place", vector))).alias("__parts"))
+    joined = met.join(F.broadcast(sizes), "group_id")
+    if width is None:
+        joined = joined.where(F.size("__parts") == F.size("__places"))
+    zeros = F.array_repeat(F.lit(0.0), width or 0)
+    whole = F.flatten(F.transform("__places", lambda p: F.coalesce(F.element_at("__parts", p), zeros)))
+    return joined.select("group_id", key, whole.alias(vector))
+
+
 def assign(points: DataFrame, centres: DataFrame) -> DataFrame:
     """Adds the nearest centre (ties: the smaller id). Centres (cluster, cx, cy) are few and go to every task inside the plan."""
     held = F.broadcast(centres.agg(F.collect_list(F.struct("cluster", "cx", "cy")).alias("__c")))

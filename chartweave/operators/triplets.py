@@ -106,16 +106,16 @@ def contrastive_loss(y: Column, distance: Column, margin: float) -> Column:
 def distance_to_group(df: DataFrame, group: str, vector: str) -> DataFrame:
     """Adds ``d``, the sum of squared distances of a row's vector to all vectors of its group.
 
-    n |a|^2 - 2 a.S + Q with the group's count, vector sum S and sum of squares Q: sums that are combined
-    before the shuffle, so no group is gathered. Null vectors count for nothing and get null.
+    n |a - m|^2 + Q with the group's count, mean m and sum Q of squares about it: aggregates that are combined
+    before the shuffle, so no group is gathered, and that stay exact far from the origin. Null vectors count for nothing and get null.
     """
     cells = df.where(F.col(group).isNotNull()).select(group, F.posexplode(vector).alias("__at", "__v")).withColumn("__v", F.col("__v").cast("double"))
-    sums = cells.groupBy(group, "__at").agg(F.sum("__v").alias("__s"), F.sum(F.col("__v") * F.col("__v")).alias("__q"), F.count("*").alias("__n"))
-    ordered_sums = F.transform(F.array_sort(F.collect_list(F.struct("__at", "__s"))), lambda c: c["__s"])  # one entry a dimension
-    whole = sums.groupBy(group).agg(ordered_sums.alias("__sum"), F.sum("__q").alias("__squares"), F.max("__n").alias("__rows"))
-    own = F.col(vector)
-    d = F.col("__rows") * V.dot(own, own) - 2 * V.dot(own, F.col("__sum")) + F.col("__squares")
-    return df.join(whole, group).withColumn("d", F.greatest(d, F.when(d.isNotNull(), 0.0))).drop("__sum", "__squares", "__rows")
+    sums = cells.groupBy(group, "__at").agg(F.avg("__v").alias("__m"), (F.var_pop("__v") * F.count("*")).alias("__q"), F.count("*").alias("__n"))
+    ordered_means = F.transform(F.array_sort(F.collect_list(F.struct("__at", "__m"))), lambda c: c["__m"])  # one entry a dimension
+    whole = sums.groupBy(group).agg(ordered_means.alias("__mean"), F.sum("__q").alias("__squares"), F.max("__n").alias("__rows"))
+    gap = F.zip_with(vector, "__mean", lambda a, m: a - m)
+    d = F.col("__rows") * V.dot(gap, gap) + F.col("__squares")
+    return df.join(whole, group).withColumn("d", d).drop("__mean", "__squares", "__rows")
 
 
 def lock_step(loaders: dict[str, DataFrame], order: str, batch: int) -> DataFrame:

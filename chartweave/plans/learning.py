@@ -66,6 +66,15 @@ def _history(method: str, **more):
     return run
 
 
+def train_single_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site, epoch, private: each site trained by itself, without pairs."""
+    features = materialize(site_features(spark, sf_dir), "features")
+    rows = materialize(samples(features), "triplets")
+    none = site_pairs(spark).limit(0)
+    alone = {s: L.train(rows.where(F.col("site") == s), None, none, replace(SPEC, method="vanilla"), WIDTH) for s in range(4)}
+    return spark.createDataFrame([(s, e, p) for s, model in alone.items() for e, p, _ in model.history], "site int, epoch int, private double")
+
+
 def encoded_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site, key, z of every covered point by encoders trained with frames."""
     model, features, _ = trained(spark, sf_dir, "flat", epochs=2)
@@ -88,6 +97,7 @@ def trained_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f"train_{m}": _history(m) for m in L.METHODS} | {
     "train_autoencoder": _history("cover", decoder=True, epochs=3),
+    "train_single_site": train_single_site,
     "encoded_charts": encoded_charts,
     "decoded_charts": decoded_charts,
     "trained_matching": trained_matching,

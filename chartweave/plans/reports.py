@@ -18,12 +18,13 @@ from ..operators.sites import shared_keys
 from ..operators.triplets import lock_step
 from ..session import shared_dir, table
 from ..streaming import live
-from .fixtures import ANTENNAS, SQL_VIEWS, SUBCARRIERS, charts, site_charts, site_pairs, sites, snapshots, trajectories
+from .fixtures import ANTENNAS, PAIRS, SQL_VIEWS, SUBCARRIERS, charts, site_charts, site_pairs, sites, snapshots, trajectories
 from .quality import r6
 
 EPOCHS, LOW, HIGH, STEEPNESS = 6, 0.01, 2.0, 1.5
 #: metric, k -> the value of a site's chart (u, v) that stands for it.
 METRICS = {("KS", None): "u", ("CT", 2): "v", ("CT", 6): "u * v", ("TW", 2): "u + v"}
+COLUMNS = ["KS", "CT@2", "CT@6", "TW@2"]
 LONG = ["method", "metric", "k", "agent", "value"]
 
 
@@ -62,7 +63,7 @@ def mean_std_by_k(spark, sf_dir):
 
 def summary_lines(spark, sf_dir):
     """Table rows as text."""
-    return E.latex_rows(E.mean_deviation(results(spark, sf_dir)), ["KS", "CT", "TW"])
+    return E.latex_rows(E.mean_deviation(results(spark, sf_dir)), COLUMNS)
 
 
 def best_checkpoint(spark, sf_dir):
@@ -97,9 +98,12 @@ def fold_schedule(spark, sf_dir):
 
 
 def lock_step_batches(spark, sf_dir):
-    """Two sites' points in batches of 16; the shorter list starts again until the longer one ends."""
-    own = site_charts(spark, sf_dir)
-    return lock_step({s: own.where(F.col("bs_id") == s).select("vec_id") for s in (0, 2)}, "vec_id", 16)
+    """All sites' points in batches of 16; shorter lists start again until the longest ends."""
+    from ..session import materialize
+
+    own = materialize(site_charts(spark, sf_dir).select("bs_id", "vec_id"), "covered")
+    found = lock_step({s: own.where(F.col("bs_id") == int(s)).select("vec_id") for s in "0123"}, "vec_id", 16)
+    return found.select(F.col("step").cast("long").alias("step"), "loader", "vec_id")
 
 
 def verify_position_mapping(spark, sf_dir):
@@ -118,27 +122,33 @@ def verify_channel_mapping(spark, sf_dir):
 
 
 def verify_csi_ordering(spark, sf_dir):
-    """Whether the features of a snapshot are nearer to those of the next two than to those 100 and 200 on."""
+    """Whether the features of a snapshot are nearer to those of the next two than to those 100 and 200 on; behind the last id comes the first."""
     c = snapshots(spark, sf_dir)
     features = c.select("vec_id", V.chunk_features(F.col("csi"), 4, ANTENNAS * SUBCARRIERS).alias("f"))
     steps = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(n).alias("n")) for p, n in ((1, 100), (2, 200)))))
-    samples = c.select(F.col("vec_id").alias("anchor"), steps.alias("s")).select("anchor", (F.col("anchor") + F.col("s.p")).alias("pos"), (F.col("anchor") + F.col("s.n")).alias("neg"))
+    n = c.count()
+    samples = c.select(F.col("vec_id").alias("anchor"), steps.alias("s")).select("anchor", ((F.col("anchor") + F.col("s.p")) % n).alias("pos"), ((F.col("anchor") + F.col("s.n")) % n).alias("neg"))
     return C.feature_ordering(samples, features, "vec_id")
 
 
 def getitem_round_trip(spark, sf_dir):
-    """Every tenth row of the order in time, fetched by its place."""
+    """Every row of the order in time, fetched by its place."""
     t = trajectories(spark, sf_dir)
     index = global_index(t.select("t_us", "event_id"), ["t_us", "event_id"])
-    return C.items(index, index.where("gidx % 10 = 0"), t.select("event_id", "user_id", "value"), "gidx", "event_id").select("gidx", "event_id", "user_id", "value")
+    return C.items(index, index.select("gidx"), t.select("event_id", "user_id", "value"), "gidx", "event_id").select("gidx", "event_id", "user_id", "value")
 
 
 def shared_fingerprints(spark, sf_dir):
-    """The points that two sites share, found again in the first site's chart by what their coordinates print."""
-    own = site_charts(spark, sf_dir)
-    other = own.where("bs_id = 1").select("vec_id")
-    local = own.where("bs_id = 0").select("vec_id", "z0", "z1")
-    return C.fingerprint_join(local, local.join(other, "vec_id", "left_semi"), "vec_id", ["z0", "z1"])
+    """The points that two sites share, for every pair, found again in the first site's chart by what their coordinates print."""
+    from ..session import materialize
+
+    own = materialize(site_charts(spark, sf_dir).select("bs_id", "vec_id", "z0", "z1"), "charts")
+    out = None
+    for i, j in PAIRS:
+        local, other = own.where(F.col("bs_id") == i).drop("bs_id"), own.where(F.col("bs_id") == j).select("vec_id")
+        part = C.fingerprint_join(local, local.join(other, "vec_id", "left_semi"), "vec_id", ["z0", "z1"]).select(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), "vec_id", "found")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def stuck_rows(spark, sf_dir):
@@ -203,6 +213,11 @@ _T = f"CAST(e AS DOUBLE) / {EPOCHS - 1}"
 _RAMPS = {"none": f"{HIGH}", "linear": f"{LOW} + {HIGH - LOW} * {_T}", "exponential": f"{LOW} * pow({HIGH / LOW!r}, {_T})", "cosine": f"{LOW} + {HIGH - LOW} * (1 - cos({math.pi!r} * {_T})) / 2"}
 _COS = lambda k: f"{LOW} + {HIGH - LOW} * (1 - cos({math.pi!r} * {k} / 4)) / 2"
 
+_LABELLED = """, sums AS (SELECT method, metric, metric || coalesce('@' || k, '') AS label, avg(value) AS mean, stddev_samp(value) AS deviation FROM results GROUP BY method, metric, k),
+cells AS (SELECT method, label, coalesce(['\\cellcolor{best}', '\\cellcolor{second}', '\\cellcolor{third}'][row_number() OVER (PARTITION BY label ORDER BY CASE WHEN metric = 'KS' THEN mean ELSE -mean END, method)], '')
+  || printf('%.3f', mean) || coalesce(' $\\pm$ ' || printf('%.3f', deviation), '') AS cell FROM sums) """
+_LINES = _LABELLED + "SELECT method, method || ' & ' || " + " || ' & ' || ".join(f"coalesce(max(CASE WHEN label = '{c}' THEN cell END), '--')" for c in COLUMNS) + " || ' \\\\' AS line FROM cells GROUP BY method"
+
 ORACLES = {
     "metrics_wide": _RESULTS + f"SELECT method, {_WIDE} FROM results GROUP BY method",
     "metrics_long": _RESULTS + "SELECT method, metric, k, agent, round(value, 6) AS value FROM results",
@@ -219,11 +234,13 @@ ORACLES = {
     "verify_shared_consistency": SQL_VIEWS + "SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, count(*) AS n, CAST(sum(CASE WHEN (i = 1 OR j = 1) AND vec_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS strangers FROM shared GROUP BY i, j",
     "verify_csi_ordering": SQL_VIEWS + """, scale AS (SELECT vec_id, sqrt(sum(re * re + im * im) / 32) + 1e-12 AS s FROM csi GROUP BY vec_id),
       f AS (SELECT csi.vec_id, (antenna * 8 + f) // 4 AS c, sum(re) / 4 / any_value(s) AS re, sum(im) / 4 / any_value(s) AS im FROM csi JOIN scale USING (vec_id) GROUP BY 1, 2),
-      d AS (SELECT a.vec_id, b.vec_id - a.vec_id AS o, sqrt(sum((a.re - b.re) * (a.re - b.re) + (a.im - b.im) * (a.im - b.im))) AS d FROM f a JOIN f b ON a.c = b.c AND b.vec_id - a.vec_id IN (1, 2, 100, 200) GROUP BY 1, 2),
+      d AS (SELECT a.vec_id, o, sqrt(sum((a.re - b.re) * (a.re - b.re) + (a.im - b.im) * (a.im - b.im))) AS d FROM f a, (SELECT unnest([1, 2, 100, 200]) AS o), (SELECT count(*) AS n FROM embeddings) JOIN f b ON a.c = b.c AND b.vec_id = (a.vec_id + o) % n GROUP BY 1, 2),
       per AS (SELECT p.vec_id, avg(p.d) AS p, avg(n.d) AS n FROM d p JOIN d n ON p.vec_id = n.vec_id AND n.o = 100 * p.o WHERE p.o < 3 GROUP BY 1)
       SELECT count(*) AS anchors, count(*) FILTER (NOT p < n) AS violations FROM per""",
-    "getitem_round_trip": SQL_VIEWS + "SELECT * FROM (SELECT row_number() OVER (ORDER BY t_us, event_id) - 1 AS gidx, event_id, user_id, value FROM traj) WHERE gidx % 10 = 0",
-    "shared_fingerprints": SQL_VIEWS + "SELECT r.vec_id, min(l.vec_id) AS found FROM shared r JOIN site_charts l ON l.bs_id = 0 AND printf('%.6f,%.6f', l.z0, l.z1) = printf('%.6f,%.6f', r.a0, r.a1) WHERE r.i = 0 AND r.j = 1 GROUP BY r.vec_id",
+    "getitem_round_trip": SQL_VIEWS + "SELECT * FROM (SELECT row_number() OVER (ORDER BY t_us, event_id) - 1 AS gidx, event_id, user_id, value FROM traj)",
+    "shared_fingerprints": SQL_VIEWS + "SELECT CAST(r.i AS BIGINT) AS i, CAST(r.j AS BIGINT) AS j, r.vec_id, min(l.vec_id) AS found FROM shared r JOIN site_charts l ON l.bs_id = r.i AND printf('%.6f,%.6f', l.z0, l.z1) = printf('%.6f,%.6f', r.a0, r.a1) GROUP BY r.i, r.j, r.vec_id",
+    "lock_step_batches": SQL_VIEWS + ", own AS (SELECT bs_id, vec_id, (row_number() OVER (PARTITION BY bs_id ORDER BY vec_id) - 1) // 16 AS b FROM coverage), sizes AS (SELECT bs_id, max(b) + 1 AS n FROM own GROUP BY bs_id), most AS (SELECT max(n) AS m FROM sizes) SELECT CAST(b + k * n AS BIGINT) AS step, CAST(bs_id AS VARCHAR) AS loader, vec_id FROM own JOIN sizes USING (bs_id), most, (SELECT unnest(range(1000)) AS k) WHERE b + k * n < m",
+    "summary_lines": _RESULTS + _LINES,
     "stuck_rows": SQL_VIEWS + "SELECT user_id, event_id, round(spread, 6) AS spread FROM (SELECT *, stddev_pop(value) OVER (PARTITION BY user_id ORDER BY ord ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS spread FROM traj) WHERE (ord + 1) % 8 = 0 AND spread < 25",
     "stream_coverage": SQL_VIEWS + "SELECT CAST(bs_id AS BIGINT) AS bs_id, vec_id FROM coverage",
     "stream_positives": "SELECT a.user_id, a.event_id, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.ts BETWEEN a.ts - INTERVAL 6 HOUR AND a.ts + INTERVAL 6 HOUR",

@@ -14,11 +14,12 @@ from ..operators import sampling as R
 from ..operators import sites as S
 from ..operators import triplets as T
 from ..session import table
-from .fixtures import ANTENNAS, SQL_VIEWS, SUBCARRIERS, charts, hulls, site_pairs, sites, snapshots, trajectories
+from .fixtures import ANTENNAS, SITES, SQL_VIEWS, SUBCARRIERS, charts, hulls, site_pairs, sites, snapshots, trajectories
 from .quality import r6
 
 HOURS6 = 6 * 3600 * 1_000_000
 LAGS = (0, 2, 4)
+VIRTUAL = [(0, 0, 0), (0, 1, 1), (1, 0, 3), (1, 1, 2)]
 STO, CPO = [0.5, -1.0, 2.0, 0.25], [0.1, 0.2, -0.3, 0.4]
 
 
@@ -296,7 +297,7 @@ def graph_diameter_est(spark, sf_dir):
 
     c = charts(spark, sf_dir)
     edges = materialize(N.neighbour_graph(c, "vec_id", 0.05), "edges")
-    found = N.diameter_estimate(edges, c, "vec_id", starts=5)
+    found = N.diameter_estimate(edges, c, "vec_id")
     return spark.createDataFrame([(found, N.negative_hops(500, found))], "diameter long, neg_hops long")
 
 
@@ -339,6 +340,26 @@ def blurred_density(spark, sf_dir):
     return found.select(F.col("bx").cast("long").alias("bx"), F.col("by_").cast("long").alias("by_"), r6("density", "density"))
 
 
+def bridge_density(spark, sf_dir):
+    """A tube from each site to the nearest point that it covers, on a raster."""
+    from functools import reduce
+
+    c = charts(spark, sf_dir).select("vec_id", "x", "y")
+    covered = G.coverage(c, sites(spark), "vec_id").join(c, "vec_id")
+    lines = [G.bridges(sites(spark).where(F.col("bs_id") == s[0]), covered.where(F.col("bs_id") == s[0]), "vec_id", 0.05) for s in SITES]
+    found = G.tube(reduce(DataFrame.unionByName, lines), "bs_id", (-0.3, -0.3), (0.3, 0.3), 12, 0.03, 0.16)
+    return found.select(*(F.col(k).cast("long").alias(k) for k in ("bs_id", "bx", "by_")), r6("density", "density"))
+
+
+def virtual_site_features(spark, sf_dir):
+    """Sites 0 and 1, and 3 and 2, as one site each: features of every site's own antenna, in the group's order; points that a member does not cover are left out."""
+    c = snapshots(spark, sf_dir).join(G.coverage(charts(spark, sf_dir), sites(spark), "vec_id"), "vec_id")
+    own = F.element_at(F.array(*(V.features(V.antennas(F.col("csi"), a, 1, SUBCARRIERS), "chunks", 1, SUBCARRIERS, chunk=4, lags=LAGS) for a in range(ANTENNAS))), F.col("bs_id") + 1)
+    groups = spark.createDataFrame(VIRTUAL, "group_id int, place int, bs_id int")
+    whole = S.virtual_sites(c.select("bs_id", "vec_id", own.alias("x")), groups, "vec_id")
+    return _long(whole, "x", "group_id", "vec_id").select(F.col("group_id").cast("long").alias("group_id"), "vec_id", F.col("pos").cast("long").alias("pos"), r6("v", "v"))
+
+
 def gradient_colour(spark, sf_dir):
     return G.gradient_colour(charts(spark, sf_dir)).select("vec_id", r6("colour", "colour"))
 
@@ -357,7 +378,7 @@ QUERIES = {
         coverage_circle, coverage_ring, coverage_radius, height_band, union_mask, local_datasets, shared_datasets, kmeans_assign_step, kmeans_rank,
         spatial_rank_policy, spatial_pair_policy, ellipse_filter, inscribed_ellipse, outside_hulls, convex_hull, streets_within,
         segment_crosses_hull, snap_nearest, typical_step, neighbor_graph, bfs_layers, graph_diameter_est, coherent_pos_neg, trajectory_walks,
-        trajectory_paths, histogram2d_density, blurred_density, gradient_colour, path_length,
+        trajectory_paths, bridge_density, virtual_site_features, histogram2d_density, blurred_density, gradient_colour, path_length,
     )
 }
 
@@ -411,6 +432,22 @@ _DOT = lambda p, q: f"list_sum(list_transform(list_zip({p}, {q}), lambda z: CAST
 _SQ = lambda p, q: f"list_sum(list_transform(list_zip({p}, {q}), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))"
 
 ORACLES = {
+    "bridge_density": SQL_VIEWS + """, near AS (SELECT bs_id, cx, cy, arg_min(x, (d2, vec_id)) AS x1, arg_min(y, (d2, vec_id)) AS y1 FROM (SELECT *, (x - cx) * (x - cx) + (y - cy) * (y - cy) AS d2 FROM coverage JOIN bs USING (bs_id) JOIN charts USING (vec_id)) GROUP BY bs_id, cx, cy),
+      grid AS (SELECT *, x1 - cx AS ex, y1 - cy AS ey, -0.3 + (bx + 0.5) * 0.05 - cx AS vx, -0.3 + (by_ + 0.5) * 0.05 - cy AS vy FROM near, (SELECT unnest(range(12)) AS bx), (SELECT unnest(range(12)) AS by_)),
+      cut AS (SELECT *, least(greatest((vx * ex + vy * ey) / (ex * ex + ey * ey), 0), 1) AS t FROM grid)
+      SELECT CAST(bs_id AS BIGINT) AS bs_id, bx, by_, round(0.16 * exp(-((vx - t * ex) * (vx - t * ex) + (vy - t * ey) * (vy - t * ey)) / (2 * 0.03 * 0.03)), 6) AS density FROM cut""",
+    "virtual_site_features": SQL_VIEWS + f""", groups AS (SELECT * FROM (VALUES {', '.join(map(str, VIRTUAL))}) AS t(group_id, place, bs_id)),
+      own AS (SELECT csi.vec_id, bs_id, f, re, im FROM csi JOIN coverage ON coverage.vec_id = csi.vec_id AND bs_id = antenna),
+      scale AS (SELECT vec_id, bs_id, sqrt(sum(re * re + im * im) / 8) + 1e-12 AS s FROM own GROUP BY vec_id, bs_id),
+      m AS (SELECT vec_id, bs_id, f // 4 AS c, sum(re) / 4 AS re, sum(im) / 4 AS im FROM own GROUP BY 1, 2, 3),
+      whole AS (SELECT group_id, vec_id FROM coverage JOIN groups USING (bs_id) GROUP BY group_id, vec_id HAVING count(*) = 2)
+      SELECT CAST(group_id AS BIGINT) AS group_id, vec_id, CAST(4 * place + 2 * c + part AS BIGINT) AS pos, round((CASE part WHEN 0 THEN re ELSE im END) / s, 6) AS v
+      FROM m JOIN scale USING (vec_id, bs_id) JOIN groups USING (bs_id) JOIN whole USING (group_id, vec_id), (SELECT unnest([0, 1]) AS part)""",
+    "graph_diameter_est": SQL_VIEWS + """, link AS (SELECT p.vec_id AS src, q.vec_id AS dst FROM charts p JOIN charts q ON p.vec_id <> q.vec_id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 0.05 * 0.05),
+      starts AS (SELECT vec_id FROM charts ORDER BY md5('7:' || vec_id), vec_id LIMIT 50),
+      walk AS (SELECT vec_id AS start, vec_id AS node, 0 AS hops FROM starts UNION SELECT start, dst, hops + 1 FROM walk JOIN link ON src = node WHERE hops < 40),
+      deep AS (SELECT max(hops) AS d FROM (SELECT min(hops) AS hops FROM walk GROUP BY start, node))
+      SELECT CAST(d AS BIGINT) AS diameter, CAST(CASE WHEN 500 <= d THEN 500 ELSE greatest(1, floor(0.8 * d)) END AS BIGINT) AS neg_hops FROM deep""",
     "csi_slice_group": SQL_VIEWS + "SELECT vec_id, CAST((antenna - 1) * 8 + f AS BIGINT) AS pos, round(re, 6) AS re, round(im, 6) AS im FROM csi WHERE antenna IN (1, 2)",
     "fftshift": SQL_VIEWS + _SHIFTED + "SELECT vec_id, CAST(antenna * 8 + f AS BIGINT) AS pos, round(re, 6) AS re, round(im, 6) AS im FROM shifted",
     "calibration_phase": SQL_VIEWS + _SHIFTED + f", ph AS (SELECT *, {_LIST(STO)}[antenna + 1] * {_PI2} * f / 8 + {_LIST(CPO)}[antenna + 1] AS p FROM shifted) SELECT vec_id, CAST(antenna * 8 + f AS BIGINT) AS pos, round(re * cos(p) - im * sin(p), 6) AS re, round(re * sin(p) + im * cos(p), 6) AS im FROM ph",

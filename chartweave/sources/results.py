@@ -64,8 +64,15 @@ def save_latents(charts: DataFrame, path: str, by: list[str]) -> None:
     charts.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def load_latents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load_latents(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """All charts below ``path`` with the ids that their folders carry (``agent=3`` or ``i=0/j=2``), as text; files without them are left out.
+
+    The ids come from each file's own path, so folders of several runs or settings may be read together.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).parquet(path)
+    place = F.col("_metadata.file_path")
+    named = rows.withColumns({c: F.url_decode(F.regexp_extract(place, rf"/{c}=([^/]+)/", 1)) for c in by})
+    return named.where(" and ".join(f"{c} <> ''" for c in by))
 
 
 def save_table(summary: DataFrame, path: str) -> None:
