@@ -36,7 +36,8 @@ METHODS = {
 @dataclass(frozen=True)
 class Training:
     """How to train. ``weight`` multiplies the pairs' loss and rises from ``low`` by ``ramp``; with ``decoder`` the
-    triplets' share of the private loss rises as a sigmoid of ``steepness`` while reconstruction fades."""
+    triplets' share of the private loss rises as a sigmoid of ``steepness`` while reconstruction fades. With ``norm`` a decoder's hidden layers are
+    normalised over the batch, and a share ``dropout`` of their units is left out, drawn for each row."""
 
     method: str = "flat"
     epochs: int = 5
@@ -50,6 +51,8 @@ class Training:
     layers: int = 3
     out: int = 2
     decoder: bool = False
+    norm: bool = False
+    dropout: float = 0.0
     steepness: float = 1.0
     shared_layers: float = 0.5
     seed: int = 80
@@ -57,6 +60,8 @@ class Training:
     def __post_init__(self) -> None:
         if self.method not in METHODS:
             raise ValueError(f"unknown method: {self.method}")
+        if not 0 <= self.dropout < 1 or (self.norm or self.dropout) and not self.decoder:
+            raise ValueError("normalisation and dropout are of decoders, dropout below 1")
         if self.out != 2 and METHODS[self.method] in ("orthogonal", "frames", "closed diagonal"):
             raise ValueError("closed maps are for charts of two dimensions")
 
@@ -70,6 +75,14 @@ class Model:
     nets: dict[int, np.ndarray]
     maps: dict[tuple[int, int], np.ndarray]
     history: list[tuple[int, float, float]] = field(default_factory=list)
+    #: Of normalised decoders: site -> running mean and variance of each hidden layer.
+    running: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
+    norm: bool = False
+
+    @property
+    def normal(self) -> frozenset[int]:
+        """Layers that are normalised: a decoder's, but for its last."""
+        return frozenset(range(len(self.dims) - 1, len(self.shapes) - 1)) if self.norm else frozenset()
 
     @property
     def shapes(self) -> list[tuple[int, int]]:
@@ -79,13 +92,15 @@ class Model:
     def table(self, spark: SparkSession) -> DataFrame:
         """agent, key, pos, v: every parameter; keys are layer<k>.weight and layer<k>.bias."""
         rows = [(site, key, k, float(v)) for site, flat in self.nets.items() for key, part in self.named(flat) for k, v in enumerate(part)]
+        rows += [(site, key, k, float(v)) for site, own in self.running.items() for n, pair in enumerate(own) for key, part in zip((f"running{n}.mean", f"running{n}.var"), pair) for k, v in enumerate(part)]
         return spark.createDataFrame(rows, "agent int, key string, pos int, v double")
 
     def named(self, flat: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
         at = 0
         for k, (a, b) in enumerate(self.shapes):
-            for name, size in (("weight", a * b), ("bias", b)):
-                yield f"layer{k}.{name}", flat[at : at + size]
+            sizes = [("layer", "weight", a * b), ("layer", "bias", b)] + [("norm", "weight", b), ("norm", "bias", b)] * (k in self.normal)
+            for kind, name, size in sizes:
+                yield f"{kind}{k}.{name}", flat[at : at + size]
                 at += size
 
 
@@ -96,24 +111,33 @@ def layer_dims(inputs: int, layers: int, out: int) -> list[int]:
 
 def initial(spec: Training, inputs: int, sites: list[int], pairs: list[tuple[int, int]]) -> Model:
     """Weights uniform within sqrt(6 / (in + out)), biases zero; maps start as the identity."""
-    model = Model(layer_dims(inputs, spec.layers, spec.out), spec.decoder, {}, {})
+    model = Model(layer_dims(inputs, spec.layers, spec.out), spec.decoder, {}, {}, norm=spec.norm)
     rng = np.random.default_rng(spec.seed)
     for site in sorted(sites):
         parts = []
-        for a, b in model.shapes:
+        for k, (a, b) in enumerate(model.shapes):
             bound = (6 / (a + b)) ** 0.5
             parts += [rng.uniform(-bound, bound, a * b), np.zeros(b)]
+            if k in model.normal:
+                parts += [np.ones(b), np.zeros(b)]
         model.nets[site] = np.concatenate(parts)
+        if spec.norm:
+            model.running[site] = [(np.zeros(model.shapes[k][1]), np.ones(model.shapes[k][1])) for k in sorted(model.normal)]
     side = np.concatenate([np.eye(spec.out).ravel(), np.zeros(2 * spec.out)])
     model.maps = {p: np.concatenate([side, side]) for p in pairs}
     return model
 
 
-def layers_of(flat: np.ndarray, shapes: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+def layers_of(flat: np.ndarray, shapes: list[tuple[int, int]], normal: frozenset[int] = frozenset()) -> list[tuple[np.ndarray, ...]]:
+    """Weight and bias of each layer, and scale and shift of those that are normalised."""
     out, at = [], 0
-    for a, b in shapes:
-        out.append((flat[at : at + a * b].reshape(a, b), flat[at + a * b : at + a * b + b]))
+    for k, (a, b) in enumerate(shapes):
+        parts = [flat[at : at + a * b].reshape(a, b), flat[at + a * b : at + a * b + b]]
         at += a * b + b
+        if k in normal:
+            parts += [flat[at : at + b], flat[at + b : at + 2 * b]]
+            at += 2 * b
+        out.append(tuple(parts))
     return out
 
 
@@ -137,9 +161,112 @@ def backward(steps: list[np.ndarray], layers, slope: np.ndarray) -> tuple[list[n
     return parts, slope
 
 
-def private_gradient(flat, shapes, depth, a, p, n, margin, alpha) -> tuple[np.ndarray, float]:
-    """Sum of alpha * max(0, |a - p| - |a - n| + margin), and with a decoder (1 - alpha) * squared error / width of a."""
-    own = layers_of(flat, shapes)
+#: Added to variances; the share of a batch in running means and variances.
+NORM_EPS, MOMENTUM = 1e-5, 0.1
+
+
+@dataclass
+class Normals:
+    """What the tasks need of a whole batch to normalise their rows: by site, mean and variance of each hidden layer, and
+    on the way back the means of its slopes and of slopes times values. Both grow by a layer a pass. ``step`` and ``dropout`` draw the units left out."""
+
+    step: int
+    dropout: float
+    seed: int
+    stats: dict[int, list[tuple[np.ndarray, np.ndarray]]]
+    back: dict[int, list[tuple[np.ndarray, np.ndarray]]]
+
+    def masks(self, keys: np.ndarray, layer: int, width: int) -> np.ndarray | float:
+        """Zero for units left out, else 1 / (1 - dropout): a hash of row, layer, unit and step, so no matter which task holds a row."""
+        if not self.dropout:
+            return 1.0
+        x = keys.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(((self.seed * 1_000_003 + self.step) * 8191 + layer) * 0xD1B54A32D192ED03 & (1 << 64) - 1)
+        x = x + np.arange(1, width + 1, dtype=np.uint64)[None] * np.uint64(0x94D049BB133111EB)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+        u = (x ^ x >> np.uint64(31)) / 2.0**64
+        return (u >= self.dropout) / (1 - self.dropout)
+
+
+def normal_forward(z: np.ndarray, up, stats, mask) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """What each normalised layer held, the inputs of the next layer, and what that gives: the output, or before its normalisation the first layer without ``stats``."""
+    held, h = [], z
+    for k, (w, b, *scale) in enumerate(up):
+        y = h @ w + b
+        if not scale:
+            break
+        y = np.maximum(y, 0)
+        if k == len(stats):
+            break
+        deviation = np.sqrt(stats[k][1] + NORM_EPS)
+        value, on = (y - stats[k][0]) / deviation, mask(k, y.shape[1])
+        held.append((h, y, value, on, deviation))
+        h = (value * scale[0] + scale[1]) * on
+    return held, h, y
+
+
+def normal_backward(held, h, up, slope, back) -> tuple[list[np.ndarray], np.ndarray]:
+    """Gradients in the order of the flat vector and the slope at the input; or, at the last layer that ``back`` does not know yet, the sums it wants."""
+    w = up[-1][0]
+    parts, slope = [(h.T @ slope).ravel(), slope.sum(0)], slope @ w.T
+    for k in range(len(held) - 1, -1, -1):
+        h, y, value, on, deviation = held[k]
+        slope = slope * on
+        scaled = slope * up[k][2]
+        known = len(held) - 1 - k
+        if known == len(back):
+            return [scaled.sum(0), (scaled * value).sum(0)], slope
+        own = (scaled - back[known][0] - value * back[known][1]) / deviation * (y > 0)
+        parts = [(h.T @ own).ravel(), own.sum(0), (slope * value).sum(0), slope.sum(0), *parts]
+        slope = own @ up[k][0].T
+    return parts, slope
+
+
+def batch_normals(samples: DataFrame, model: Model, spec: Training, alpha: float, step: int) -> Normals:
+    """The normals of a batch: for each hidden layer one pass forward, then one pass back; a pass sums in the tasks and returns two vectors a site."""
+    shapes, depth, nets, normal = model.shapes, len(model.dims) - 1, model.nets, model.normal
+    found = Normals(step, spec.dropout, spec.seed, {s: [] for s in nets}, {s: [] for s in nets})
+
+    def one_pass(forward_pass: bool) -> dict[int, np.ndarray]:
+        def work(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for site, rows in batch.groupby("site"):
+                    own, keys, a = layers_of(nets[site], shapes, normal), rows["key"].to_numpy(), np.stack(rows["xa"])
+                    z = forward(a, own[:depth])[-1]
+                    held, h, y = normal_forward(z, own[depth:], found.stats[site], lambda k, n: found.masks(keys, k, n))
+                    if forward_pass:
+                        both = [y.sum(0), (y * y).sum(0)]
+                    else:
+                        both, _ = normal_backward(held, h, own[depth:], 2 * (1 - alpha) * (y - a) / a.shape[1], found.back[site])
+                    sums[site] = sums.get(site, 0) + np.concatenate([*both, [len(rows)]])
+            if sums:
+                yield pd.DataFrame({"site": list(sums), "g": list(sums.values())})
+
+        parts = samples.where("other < 0").select("site", "key", "xa").mapInPandas(work, "site int, g array<double>")
+        summed = parts.select("site", F.posexplode("g").alias("pos", "v")).groupBy("site", "pos").agg(F.sum("v").alias("v"))
+        whole = summed.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("g"))
+        return {r.site: np.array(r.g) for r in whole.select("site", F.col("g.v").alias("g")).collect()}
+
+    for forward_pass in (True, False):
+        for _ in normal:
+            for site, g in one_pass(forward_pass).items():
+                (first, second), n = np.split(g[:-1], 2), g[-1]
+                pair = (first / n, np.maximum(second / n - (first / n) ** 2, 0)) if forward_pass else (first / n, second / n)
+                (found.stats if forward_pass else found.back)[site].append(pair)
+                if forward_pass:
+                    k = len(found.stats[site]) - 1
+                    mean, var = model.running[site][k]
+                    model.running[site][k] = (1 - MOMENTUM) * mean + MOMENTUM * pair[0], (1 - MOMENTUM) * var + MOMENTUM * pair[1] * n / max(n - 1, 1)
+    return found
+
+
+def private_gradient(flat, shapes, depth, a, p, n, margin, alpha, normal=frozenset(), normals=None) -> tuple[np.ndarray, float]:
+    """Sum of alpha * max(0, |a - p| - |a - n| + margin), and with a decoder (1 - alpha) * squared error / width of a.
+
+    ``normals``: of a normalised decoder the batch's (stats, back, masks) of this site.
+    """
+    own = layers_of(flat, shapes, normal)
     down, up = own[:depth], own[depth:]
     rows = len(a)
     steps = forward(np.concatenate([a, p, n]), down)
@@ -150,7 +277,14 @@ def private_gradient(flat, shapes, depth, a, p, n, margin, alpha) -> tuple[np.nd
     on = alpha * (loss > 0)
     slope = np.concatenate([on * (to_p / dp - to_n / dn), -on * to_p / dp, on * to_n / dn])
     total, rest = alpha * float(loss.sum()), []
-    if up:
+    if up and normals:
+        stats, sums, mask = normals
+        held, h, y = normal_forward(za, up, stats, mask)
+        gap = y - a
+        total += (1 - alpha) * float((gap * gap).sum()) / a.shape[1]
+        rest, at_code = normal_backward(held, h, up, 2 * (1 - alpha) * gap / a.shape[1], sums)
+        slope[:rows] += at_code
+    elif up:
         back = forward(za, up)
         gap = back[-1] - a
         total += (1 - alpha) * float((gap * gap).sum()) / a.shape[1]
@@ -169,7 +303,7 @@ def mapped(z: np.ndarray, side: np.ndarray) -> np.ndarray:
 
 def pair_gradient(flats, shapes, depth, maps, xi, xj) -> tuple[np.ndarray, float]:
     """Sum of |T_i z_i - T_j z_j|^2: gradients of both encoders (decoders: zero) and of both maps."""
-    own = [layers_of(f, shapes) for f in flats]
+    own = [layers_of(f, shapes[:depth]) for f in flats]
     steps = [forward(x, o[:depth]) for x, o in zip((xi, xj), own)]
     sides = np.split(maps, 2)
     gap = mapped(steps[0][-1], sides[0]) - mapped(steps[1][-1], sides[1])
@@ -180,14 +314,14 @@ def pair_gradient(flats, shapes, depth, maps, xi, xj) -> tuple[np.ndarray, float
         scale = np.exp(-side[d * d + d :])
         slope = 2 * sign * gap * scale
         parts, _ = backward(st, o[:depth], slope @ side[: d * d].reshape(d, d))
-        nets.append(np.concatenate(parts + [np.zeros(w.size + b.size) for w, b in o[depth:]]))
+        nets.append(np.concatenate(parts + [np.zeros(flats[0].size - sum(map(np.size, parts)))]))
         turned.append(np.concatenate([(slope.T @ z).ravel(), -slope.sum(0), -(2 * sign * gap * mapped(z, side)).sum(0)]))
     return np.concatenate(nets + turned), float((gap * gap).sum())
 
 
-def gradient_sums(samples: DataFrame, model: Model, spec: Training, alpha: float) -> dict[tuple[int, int], np.ndarray]:
+def gradient_sums(samples: DataFrame, model: Model, spec: Training, alpha: float, normals: Normals | None = None) -> dict[tuple[int, int], np.ndarray]:
     """(site, -1) or (i, j) -> summed gradient, then loss and number of rows."""
-    shapes, depth, nets, maps, margin = model.shapes, len(model.dims) - 1, model.nets, model.maps, spec.margin
+    shapes, depth, nets, maps, margin, normal = model.shapes, len(model.dims) - 1, model.nets, model.maps, spec.margin, model.normal
 
     def work(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -195,7 +329,9 @@ def gradient_sums(samples: DataFrame, model: Model, spec: Training, alpha: float
             for (site, other), rows in batch.groupby(["site", "other"]):
                 a, p = np.stack(rows["xa"]), np.stack(rows["xp"])
                 if other < 0:
-                    g, loss = private_gradient(nets[site], shapes, depth, a, p, np.stack(rows["xn"]), margin, alpha)
+                    keys = rows["key"].to_numpy()
+                    own = normals and (normals.stats[site], normals.back[site], lambda k, n, keys=keys: normals.masks(keys, k, n))
+                    g, loss = private_gradient(nets[site], shapes, depth, a, p, np.stack(rows["xn"]), margin, alpha, normal, own)
                 else:
                     g, loss = pair_gradient((nets[site], nets[other]), shapes, depth, maps[site, other], a, p)
                 sums[site, other] = sums.get((site, other), 0) + np.concatenate([g, [loss, len(rows)]])
@@ -257,15 +393,17 @@ def encode(points: DataFrame, model: Model, site: str = "site", key: str = "key"
 
 
 def decode(codes: DataFrame, model: Model) -> DataFrame:
-    """site, key, x: what the decoders make of charts (site, key, z)."""
+    """site, key, x: what the decoders make of charts (site, key, z); normalised ones by their running means, with all units."""
     if not model.decoder:
         raise ValueError("the model has no decoder")
-    shapes, depth, nets = model.shapes, len(model.dims) - 1, model.nets
+    shapes, depth, nets, normal, running = model.shapes, len(model.dims) - 1, model.nets, model.normal, model.running
 
     def work(batches):
         for batch in batches:
             for s, rows in batch.groupby("site"):
-                yield pd.DataFrame({"site": s, "key": rows["key"], "x": list(forward(np.stack(rows["z"]), layers_of(nets[s], shapes)[depth:])[-1])})
+                up, z = layers_of(nets[s], shapes, normal)[depth:], np.stack(rows["z"])
+                made = normal_forward(z, up, running[s], lambda k, n: 1.0)[2] if normal else forward(z, up)[-1]
+                yield pd.DataFrame({"site": s, "key": rows["key"], "x": list(made)})
 
     return codes.mapInPandas(work, "site int, key long, x array<double>")
 
@@ -320,7 +458,9 @@ def train(samples: DataFrame, shared: DataFrame | None, pairs: DataFrame, spec:
         private, pair = [], []
         for b in range(spec.batches):
             batch = rows if spec.batches == 1 else rows.where(F.pmod(F.xxhash64("key", F.lit(e)), F.lit(spec.batches)) == b)
-            sums = gradient_sums(batch, model, spec, alpha if spec.decoder else 1.0)
+            share = alpha if spec.decoder else 1.0
+            normals = batch_normals(batch, model, spec, share, e * spec.batches + b) if model.normal else None
+            sums = gradient_sums(batch, model, spec, share, normals)
             nets = {s: np.zeros_like(v) for s, v in model.nets.items()}
             for (site, other), g in sums.items():
                 g, loss, n = g[:-2], g[-2], g[-1]
@@ -358,4 +498,5 @@ def load_checkpoint(spark: SparkSession, path: str, model: Model) -> Model:
     rows = spark.read.parquet(path).groupBy("agent", "key").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("x")).select("agent", "key", "x.v").collect()
     parts = {(r.agent, r.key): r.v for r in rows}
     nets = {s: np.concatenate([parts[s, k] for k, _ in model.named(flat)]) for s, flat in model.nets.items()}
-    return Model(model.dims, model.decoder, nets, dict(model.maps), list(model.history))
+    running = {s: [tuple(np.array(parts[s, f"running{n}.{name}"]) for name in ("mean", "var")) for n in range(len(own))] for s, own in model.running.items()}
+    return Model(model.dims, model.decoder, nets, dict(model.maps), list(model.history), running, model.norm)

@@ -87,6 +87,12 @@ def decoded_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.decode(L.encode(features, model), model)
 
 
+def train_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """epoch, private, pair of autoencoders with normalised layers and dropout."""
+    model, _, _ = trained(spark, sf_dir, "vanilla", epochs=2, decoder=True, norm=True, dropout=0.1)
+    return spark.createDataFrame(model.history, "epoch int, private double, pair double")
+
+
 def trained_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """i, j, n, foscttm of charts trained with orthogonal maps, b mapped into a's chart."""
     model, _, shared = trained(spark, sf_dir, "bundle")
@@ -97,6 +103,7 @@ def trained_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f"train_{m}": _history(m) for m in L.METHODS} | {
     "train_autoencoder": _history("cover", decoder=True, epochs=3),
+    "train_normalised": train_normalised,
     "train_single_site": train_single_site,
     "encoded_charts": encoded_charts,
     "decoded_charts": decoded_charts,

@@ -71,7 +71,7 @@ def test_query_without_oracle(spark, name):
         for s in sites:
             own = sorted((r for r in rows if r.get("site", 0) == s), key=lambda r: r["epoch"])
             assert [r["epoch"] for r in own] == list(range(len(own)))
-            changing = ("train_autoencoder", "train_federated", "train_personalized")  # by the share of reconstruction, or by averages between epochs
+            changing = ("train_autoencoder", "train_normalised", "train_federated", "train_personalized")  # by the share of reconstruction, or by averages between epochs
             assert own[-1]["private"] < own[0]["private"] or name in changing and own[-1]["private"] > 0
         assert sites == (set(range(4)) if name == "train_single_site" else {0})
     elif name in ("encoded_charts", "decoded_charts"):
@@ -160,6 +160,46 @@ def test_gradients(width, layers, decoder, seed):
     agree(lambda v: pair(v)[1], both, pair(both)[0], rng, rng.normal(size=both.shape))
 
 
+@pytest.mark.parametrize("dropout", [0.0, 0.3])
+def test_gradients_of_normalised_decoders(spark, dropout):
+    """Sums over several tasks against differences of the loss of the whole batch, whose means and variances move along."""
+    rng = np.random.default_rng(5)
+    spec = L.Training(method="vanilla", layers=3, decoder=True, norm=True, dropout=dropout)
+    model = L.initial(spec, 8, [0, 1], [])
+    model.nets = {s: flat + rng.normal(0, 0.1, flat.shape) for s, flat in model.nets.items()}
+    x = {s: rng.normal(size=(3, 30, 8)) for s in (0, 1)}
+    rows = [(s, -1, k, *(x[s][c, k].tolist() for c in range(3))) for s in (0, 1) for k in range(30)]
+    df = spark.createDataFrame(rows, "site int, other int, key long, xa array<double>, xp array<double>, xn array<double>").repartition(4)
+    normals = L.batch_normals(df, model, spec, 0.6, 2)
+    sums = L.gradient_sums(df, model, spec, 0.6, normals)
+    keys, depth = np.arange(30), len(model.dims) - 1
+    for s in (0, 1):
+
+        def loss(flat, s=s):
+            own = L.layers_of(flat, model.shapes, model.normal)
+            mask = lambda k, n: normals.masks(keys, k, n)
+            z, stats = L.forward(x[s][0], own[:depth])[-1], []
+            for _ in model.normal:
+                y = L.normal_forward(z, own[depth:], stats, mask)[2]
+                stats.append((y.mean(0), y.var(0)))
+            gap = L.normal_forward(z, own[depth:], stats, mask)[2] - x[s][0]
+            plain = L.private_gradient(flat[: sum(a * b + b for a, b in model.shapes[:depth])], model.shapes[:depth], depth, *x[s], spec.margin, 0.6)[1]
+            return plain + 0.4 * (gap * gap).sum() / 8
+
+        g = sums[s, -1]
+        assert g[-1] == 30 and g[-2] == pytest.approx(loss(model.nets[s]))
+        for _ in range(3):
+            agree(loss, model.nets[s], g[:-2], rng, rng.normal(size=model.nets[s].shape))
+        mean, var = model.running[s][0]
+        assert np.allclose(mean, 0.1 * normals.stats[s][0][0]) and np.allclose(var, 0.9 + 0.1 * normals.stats[s][0][1] * 30 / 29)
+    if dropout:
+        mask = normals.masks(np.arange(4000), 0, 8)
+        assert abs((mask == 0).mean() - dropout) < 0.02 and np.unique(mask).tolist() == pytest.approx([0, 1 / (1 - dropout)])
+        assert not np.array_equal(mask, L.Normals(3, dropout, spec.seed, {}, {}).masks(np.arange(4000), 0, 8))
+    with pytest.raises(ValueError):
+        L.Training(norm=True)
+
+
 @pytest.mark.parametrize("method", ["bundle", "transport"])
 def test_training_lowers_the_losses(spark, method):
     model, _, _ = learning.trained(spark, SMALL, method, epochs=6)
@@ -174,6 +214,10 @@ def test_checkpoints_come_back(spark, tmp_path):
     other = L.initial(L.Training(seed=1), 16, [0, 1], [(0, 1)])
     back = L.load_checkpoint(spark, path, other)
     assert all(np.array_equal(back.nets[s], model.nets[s]) for s in (0, 1))
+    normal = L.initial(L.Training(decoder=True, norm=True), 16, [0], [])
+    normal.running[0][0] = (np.full(4, 0.5), np.full(4, 2.0))
+    kept = L.load_checkpoint(spark, L.save_checkpoint(normal, spark, str(tmp_path), "normal"), L.initial(L.Training(decoder=True, norm=True, seed=3), 16, [0], []))
+    assert np.array_equal(kept.nets[0], normal.nets[0]) and np.array_equal(kept.running[0][0], normal.running[0][0]) and kept.normal == normal.normal
     files = spark.createDataFrame([(path,), ("x_loss9.0_",), ("no loss",)], "path string")
     assert E.best_checkpoint(files).first().loss == 0.75
 
