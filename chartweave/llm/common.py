@@ -167,3 +167,29 @@ def key_map(keys: DataFrame) -> np.ndarray:
     for row, data in zip(rows.column("row").to_pylist(), rows.column("map").to_pylist()):
         out[row] = np.frombuffer(data, np.uint8)
     return out.ravel()
+
+
+def frequent(counts: DataFrame, word: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, counts) of the most frequent words, in descending order, equal counts by the word; ``most`` at most.
+
+    ``counts`` is a written table (word long, n long). All of it is listed if it has no more rows; else every word that occurs at least t times, for the smallest t
+    that so many words reach - of words that tie below it none. Histograms of 64 rows find t, so no task sorts the table.
+    """
+    low, high = 1, 1 + (counts.agg(F.max("n")).first()[0] or 0)  # fewer than ``most`` words reach high
+    if counts.count() > most:
+        while low + 1 < high:
+            width = -(-(high - low) // 64)
+            part = counts.where((F.col("n") >= low) & (F.col("n") < high)).groupBy(F.floor((F.col("n") - low) / width).alias("part")).count().collect()
+            above = counts.where(F.col("n") >= high).count()
+            for row in sorted(part, reverse=True):
+                above += row["count"]
+                if above > most:
+                    low, high = low + row["part"] * width, min(high, low + (row["part"] + 1) * width)
+                    break
+            else:
+                high = low + 1
+        low = high
+    found = counts.where(F.col("n") >= low).select(word, "n").toArrow()
+    words, n = found.column(word).to_numpy(), found.column("n").to_numpy()
+    order = np.lexsort((words, -n))
+    return words[order], n[order]

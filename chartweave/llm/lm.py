@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import documents, map_batches
+from .common import documents, frequent, map_batches
 from .gru import GatedModel
 from .shingles import word_hashes
 
@@ -28,6 +28,8 @@ LISTED = 1 << 18
 ROUNDS = 2
 #: Training tokens that one copy of the network learns from in a round, about.
 GROUP_TOKENS = 1_000_000
+#: Groups of a round at most, on any cluster; beyond some 60 GB of text a group reads more.
+MOST_GROUPS = 1 << 15
 #: Text that is hashed at once when counting, and that the network scores at once: with many texts a step the few longest cost little.
 COUNT_BYTES, SCORE_BYTES = 2 << 20, 12 << 20
 #: Models that one task averages.
@@ -84,8 +86,7 @@ class Lexicon:
 
 def lexicon(counts: DataFrame, texts: int) -> Lexicon:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    listed = counts.orderBy(F.desc("n"), "word").limit(LISTED).toArrow()
-    return Lexicon(listed.column("word").to_numpy(), listed.column("n").to_numpy(), int(total["n"]), total["v"], texts)
+    return Lexicon(*frequent(counts, "word", LISTED), int(total["n"]), total["v"], texts)
 
 
 def _average(models: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, group_tokens: int
     spark = docs.sparkSession
     model, seen_before = GatedModel(lex.start_counts), 0
     shared_lexicon = spark.sparkContext.broadcast(lex)
-    groups = -(-lex.tokens // (rounds * group_tokens)) or 1
+    groups = min(MOST_GROUPS, -(-lex.tokens // (rounds * group_tokens)) or 1)
 
     def encode():
         def apply(batch):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import documents, drop_rows, map_batches, numbered
+from .common import documents, drop_rows, frequent, map_batches, numbered
 from .components import connected_components
 from .shingles import minima, mix, shingle_sets
 
@@ -138,9 +138,8 @@ def _frequent(sets: DataFrame) -> np.ndarray:
         return apply
 
     sample = sets.where(F.pmod(F.xxhash64("rep"), F.lit(ORDER_SAMPLE)) == 0).select("shingles")
-    counted = map_batches(sample, make, "shingle long").groupBy("shingle").count().where("count > 1")
-    listed = counted.orderBy(F.desc("count"), "shingle").limit(ORDER_LISTED).select("shingle").toArrow()
-    return listed.column("shingle").to_numpy()[::-1]
+    counted = map_batches(sample, make, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    return frequent(materialize(counted, "shingle-counts"), "shingle", ORDER_LISTED)[0][::-1]
 
 
 def _prefixes(sets: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:

@@ -47,3 +47,21 @@ def test_lines_of_repeated_and_null_ids_against_the_rule(spark):
         assert kept(r.text for r in got if r.doc_id == doc_id) == kept(t for k, t in want if k == doc_id)
     everything = sorted({tuple(line.split()) for _, t in rows for line in (t or "").split("\n") if line.split()})
     assert kept(r.text for r in got) == everything
+
+
+def test_frequent_words_by_threshold(spark):
+    from collections import Counter
+
+    from chartweave.llm.common import frequent
+
+    rng = random.Random(3)
+    for trial in range(4):
+        n = {k * 7 - 50: rng.choice([1, 1, 1, 2, 3, rng.randrange(1, 10 ** rng.randrange(1, 7))]) for k in range(200)}
+        counts = spark.createDataFrame(list(n.items()), "word long, n long").repartition(5).cache()
+        sizes = Counter(n.values())
+        for most in (1, 7, 60, 199, 200, 500):
+            words, found = frequent(counts, "word", most)
+            t = min((t for t in range(1, max(n.values()) + 2) if t in sizes or t - 1 in sizes if sum(v >= t for v in n.values()) <= most), default=1)
+            want = sorted(((-v, k) for k, v in n.items() if v >= t))
+            assert [(-b, a) for a, b in zip(words.tolist(), found.tolist())] == want
+    assert [len(x) for x in frequent(counts.limit(0), "word", 3)] == [0, 0]
