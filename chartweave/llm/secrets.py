@@ -22,13 +22,13 @@ from .common import documents, map_batches
 
 #: What proposes candidates; the group ``value`` is the candidate, of any length. Fixed formats of well-known credentials first.
 PATTERNS = {
-    "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?P<value>[A-Za-z0-9+/=\s]{16,}?)(?:-----END|\Z)",
+    "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:\s*+[A-Za-z-]++:[^\n]*+\n)*+(?P<value>[A-Za-z0-9+/=\s]{16,}?)(?:-----END|\Z)",
     "cloud_key": r"\b(?P<value>(?:AKIA|ASIA)[0-9A-Z]{16})\b",
     "host_token": r"\b(?P<value>gh[pousr]_[A-Za-z0-9]{36,}+)\b",
     "chat_token": r"\b(?P<value>xox[abprs]-[A-Za-z0-9-]{10,})\b",
     "web_token": r"\b(?P<value>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
     "url_password": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:(?P<value>[^\s/:@]{4,}+)@",
-    "assignment": r"(?i:\b(?:[a-z0-9.-]{0,30}_)?(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?|private[_-]?key)\b[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3})[\"']?(?P<value>[^\s\"'<>;,]{6,}+)",
+    "assignment": r"(?i:(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?|private[_-]?key)\b[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3})[\"']?(?P<value>[^\s\"'<>;,]{6,}+)",
     "hex": r"\b(?P<value>[0-9a-f]{32,}+|[0-9A-F]{32,}+)\b",
     "opaque": r"(?<![A-Za-z0-9+/_=-])(?P<value>[A-Za-z0-9+/_-]{20,}+={0,2}+)(?![A-Za-z0-9+/_=-])",
 }
@@ -270,8 +270,8 @@ def fit_forest(findings: DataFrame, language: Language) -> RandomForestClassific
 def scan_secrets(df: DataFrame, forest: RandomForestClassificationModel, language: Language, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """doc_id, start, length (code points), kind, value, score, secret: one row a candidate of every whole text.
 
-    Overlapping candidates are one, of the kind that comes first in PATTERNS. Null and empty texts
-    have none; a null path is an empty one. Repeated rows repeat their findings.
+    Overlapping candidates are one, of the kind that comes first in PATTERNS; so equal spans are one finding. Null and empty texts
+    have none; a null path is an empty one. Rows are judged one by one whatever their id: a null id stays null, and repeated rows repeat their findings.
     """
 
     def make():
