@@ -22,6 +22,8 @@ from .common import documents, map_batches
 FREE = 1 << 60
 #: Pieces kept with their ids in each Python worker, before the memory starts anew.
 KEPT_PIECES = 200_000
+#: And so many of their characters; longer memories go after the batch that made them.
+KEPT_CHARS = 8 << 20
 #: Text that is cut into pieces at once; as strings these take some 20 times its bytes.
 ENCODED_BYTES = 2 << 20
 #: From so many bytes on, or in groups smaller than LOCKSTEP, a piece gets a tree of its own.
@@ -175,6 +177,7 @@ class Tokenizer:
         self.findall = regex.compile(pattern).findall
         self.narrow = narrow_pattern(pattern)
         self.memory: dict[str, bytes] = {}
+        self.held = 0
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text. Where a text has Latin-1 only, the standard library finds the same ones sooner."""
@@ -185,6 +188,8 @@ class Tokenizer:
     def _learn(self, pieces: set[str]) -> None:
         if len(self.memory) + len(pieces) > KEPT_PIECES:
             self.memory.clear()
+            self.held = 0
+        self.held += sum(map(len, pieces))
         ranks, memory, groups = self.table.ranks, self.memory, {}
         for piece in pieces:
             data = piece.encode("utf-8", "surrogatepass")
@@ -214,7 +219,11 @@ class Tokenizer:
                 new = set().union(*pieces)
             self._learn(new)
         get = self.memory.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        out = [b"".join(map(get, p)) for p in pieces]
+        if self.held > KEPT_CHARS:
+            self.memory.clear()
+            self.held = 0
+        return out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()

@@ -29,6 +29,8 @@ STRETCH, CHAIN = 64, 128
 EPOCHS, BATCH, RATE, DECAY = 3, 128, 0.25, 1e-6
 #: Words whose scores each Python worker keeps.
 KEPT_WORDS = 200_000
+#: And so many of their characters; longer memories go after the batch that made them.
+KEPT_CHARS = 8 << 20
 #: Text that is labelled at once, and words whose features are taken at once; both bound a worker's memory.
 LABELLED_BYTES, FEATURE_WORDS = 4 << 20, 1 << 14
 UNDETERMINED = "und"
@@ -210,18 +212,23 @@ class Labeller:
         self.field = field
         self.start, self.move = np.exp(field.start - field.start.max()), np.exp(field.move - field.move.max())
         self.index: dict[str, int] = {}
+        self.held = 0
         self.table = np.empty((0, len(field.labels)), np.float32)
 
     def _scores(self, words: list[list[str]]) -> np.ndarray:
         flat = [w for own in words for w in own]
         new = list(set(flat).difference(self.index))
         if new and len(self.index) + len(new) > KEPT_WORDS:
-            self.index, self.table, new = {}, self.table[:0], list(set(flat))
+            self.index, self.table, self.held, new = {}, self.table[:0], 0, list(set(flat))
         if new:
             score = self.field.emissions(new)
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             self.table = np.concatenate([self.table, np.exp(score - score.max(1, keepdims=True)).astype(np.float32)])
-        return self.table[np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))]
+            self.held += sum(map(len, new))
+        found = self.table[np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))]
+        if self.held > KEPT_CHARS:
+            self.index, self.table, self.held = {}, self.table[:0], 0
+        return found
 
     def posteriors(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Distributions of all words of the batch one after the other, and the number of words of each text."""

@@ -31,7 +31,8 @@ PAIR_START, PAIR_SPARSE = 0.05, 4e-3
 #: Texts of more terms have their pairs weighed down in proportion.
 PAIR_TERMS = 64
 THRESHOLD = 0.3
-KEPT_WORDS = 400_000
+#: Words whose rows a worker keeps, and so many of their characters; longer memories go after the batch that made them.
+KEPT_WORDS, KEPT_CHARS = 400_000, 8 << 20
 
 words_of = re.compile(r"\w+").findall
 
@@ -147,19 +148,23 @@ class Scorer:
     """Scores batches of texts; remembers which rows a word has."""
 
     def __init__(self, machine: FactorizationMachine):
-        self.machine, self.memory = machine, {}
+        self.machine, self.memory, self.held = machine, {}, 0
 
     def scores(self, texts: list[str]) -> np.ndarray:
         words = [words_in(t) for t in texts]
         new = set().union(*words).difference(self.memory)
         if len(self.memory) + len(new) > KEPT_WORDS:
             self.memory.clear()
-            new = set().union(*words)
+            new, self.held = set().union(*words), 0
+        self.held += sum(map(len, new))
         place = self.machine.place
         for word in new:
             self.memory[word] = tuple(place[b] for t in word_terms(word) if (b := bucket(t)) in place)
         get = self.memory.__getitem__
         rows = [set().union(*map(get, own)) for own in words]  # a bucket counts once
+        if self.held > KEPT_CHARS:
+            self.memory.clear()
+            self.held = 0
         size = np.fromiter(map(len, rows), np.int64, len(rows))
         col = np.fromiter((r for own in rows for r in own), np.int64, int(size.sum()))
         own = np.repeat(np.arange(len(rows)), size)

@@ -81,3 +81,24 @@ def test_names_of_any_length_and_encrypted_keys_give_candidates():
         assert text[a:b].split() == [body, body]
     for text in ("-----BEGIN PRIVATE KEY-----" + "a:b\n" * 100_000, "token" * 100_000, "token=" * 80_000):
         secrets.find_candidates(text)
+
+
+def test_worker_memories_are_bounded_by_bytes(monkeypatch):
+    from chartweave.llm import bpe, crf, queries, toxicity
+
+    coder = bpe.Tokenizer(*queries.tokenizer_files())
+    texts = ["plain words " * 50, "".join(random.Random(2).choice("abcdefgh0123") for _ in range(60_000)), "", "more words"]
+    whole = coder.encode_batch(texts)
+    monkeypatch.setattr(bpe, "KEPT_CHARS", 1000)
+    assert [coder.encode_batch([t])[0] for t in texts] == whole and sum(map(len, coder.memory)) < 1000
+    field = crf.WordField(["en", "fr"]).fit([("en", "the and with other"), ("fr", "le avec autre des")] * 5)
+    labeller = crf.Labeller(field)
+    said = labeller.languages(["the other " + "x" * 5000, "avec des"])
+    monkeypatch.setattr(crf, "KEPT_CHARS", 100)
+    assert labeller.languages(["the other " + "x" * 5000, "avec des"]) == said and not labeller.index
+    machine = toxicity.FactorizationMachine().fit([(k % 2, toxicity.buckets_of("bad word" if k % 2 else "good word"), 1.0) for k in range(40)])
+    scorer = toxicity.Scorer(machine)
+    scores = scorer.scores(["bad word", "y" * 9000])
+    monkeypatch.setattr(toxicity, "KEPT_CHARS", 100)
+    scorer.memory.clear()
+    assert (scorer.scores(["bad word", "y" * 9000]) == scores).all() and not scorer.memory
