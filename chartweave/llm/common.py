@@ -23,6 +23,9 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+#: Rows of a histogram that comes to the driver.
+HISTOGRAM = 4_096
+
 #: Rows to take away whose ids are broadcast (some 64 MB as a hash table); more of them meet the table in a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -173,22 +176,25 @@ def frequent(counts: DataFrame, word: str, most: int) -> tuple[np.ndarray, np.nd
     """(words, counts) of the most frequent words, in descending order, equal counts by the word; ``most`` at most.
 
     ``counts`` is a written table (word long, n long). All of it is listed if it has no more rows; else every word that occurs at least t times, for the smallest t
-    that so many words reach - of words that tie below it none. Histograms of 64 rows find t, so no task sorts the table.
+    that so many words reach - of words that tie below it none. Histograms of HISTOGRAM rows at most find t, so no task sorts the table; one
+    is enough unless more than ``most`` words occur as often as that.
     """
-    low, high = 1, 1 + (counts.agg(F.max("n")).first()[0] or 0)  # fewer than ``most`` words reach high
-    if counts.count() > most:
-        while low + 1 < high:
-            width = -(-(high - low) // 64)
-            part = counts.where((F.col("n") >= low) & (F.col("n") < high)).groupBy(F.floor((F.col("n") - low) / width).alias("part")).count().collect()
-            above = counts.where(F.col("n") >= high).count()
-            for row in sorted(part, reverse=True):
-                above += row["count"]
-                if above > most:
-                    low, high = low + row["part"] * width, min(high, low + (row["part"] + 1) * width)
-                    break
-            else:
-                high = low + 1
-        low = high
+    low, above, high = 1, 0, None  # ``above`` words, not too many, reach high; too many reach low
+    while high is None or low + 1 < high:
+        width = 1 if high is None else -(-(high - low) // HISTOGRAM)
+        place = F.least(F.floor((F.col("n") - low) / width), F.lit(HISTOGRAM - 1))
+        rows = (counts if high is None else counts.where((F.col("n") >= low) & (F.col("n") < high))).groupBy(place.alias("place")).agg(F.count("*").alias("words"), F.max("n").alias("n")).collect()
+        top = high or max((r["n"] for r in rows), default=0) + 1
+        for row in sorted(rows, reverse=True):
+            if above + row["words"] > most:
+                last = row["place"] == HISTOGRAM - 1
+                low, high = low + row["place"] * width, top if last else min(top, low + (row["place"] + 1) * width)
+                break
+            above += row["words"]
+        else:  # all that are left fit
+            high = low
+            break
+    low = high
     found = counts.where(F.col("n") >= low).select(word, "n").toArrow()
     words, n = found.column(word).to_numpy(), found.column("n").to_numpy()
     order = np.lexsort((words, -n))

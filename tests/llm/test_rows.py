@@ -49,13 +49,15 @@ def test_lines_of_repeated_and_null_ids_against_the_rule(spark):
     assert kept(r.text for r in got) == everything
 
 
-def test_frequent_words_by_threshold(spark):
+def test_frequent_words_by_threshold(spark, monkeypatch):
     from collections import Counter
 
+    from chartweave.llm import common
     from chartweave.llm.common import frequent
 
     rng = random.Random(3)
     for trial in range(4):
+        monkeypatch.setattr(common, "HISTOGRAM", [4096, 3, 64, 2][trial])
         n = {k * 7 - 50: rng.choice([1, 1, 1, 2, 3, rng.randrange(1, 10 ** rng.randrange(1, 7))]) for k in range(200)}
         counts = spark.createDataFrame(list(n.items()), "word long, n long").repartition(5).cache()
         sizes = Counter(n.values())
