@@ -32,9 +32,12 @@ def coverage(points: DataFrame, sites: DataFrame, key: str, r_min: float = 0.0)
     r = F.abs("radius") * (1 + MARGIN)
     box = {"low_x": F.col("cx") - r, "low_y": F.col("cy") - r, "high_x": F.col("cx") + r, "high_y": F.col("cy") + r}
     circles, sizes = area_cells(sites.where("cx is not null and cy is not null and radius is not null").withColumns(box))
-    found = points.sparkSession.createDataFrame([], f"bs_id {dict(sites.dtypes)['bs_id']}, {key} {dict(points.dtypes)[key]}")
+    found = None
     for size in sizes:
-        found = found.unionByName(meeting(points.select(key, "x", "y"), circles, size, inside, "inner").select("bs_id", key))
+        part = meeting(points.select(key, "x", "y"), circles, size, inside, "inner").select("bs_id", key)
+        found = part if found is None else found.unionByName(part)
+    if found is None:  # no site
+        return points.where(F.lit(False)).select(F.lit(None).cast(dict(sites.dtypes)["bs_id"]).alias("bs_id"), key)
     return found
 
 
