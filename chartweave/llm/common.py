@@ -81,11 +81,11 @@ def release() -> None:
         trim(0)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """``make()`` runs once in each task and gives a function from a batch to columns.
+def stream_batches(df: DataFrame, make: Callable[[], Callable], schema: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``make()`` runs once in each task and gives a function from the task's RecordBatches, as an iterator, to an iterator of
+    {column: array-like}; so rows can wait for others of their task.
 
-    The function gets a RecordBatch and returns {column: array-like}; batches that hold
-    much text come in pieces, so memory follows the longest text and not the batch.
+    Batches that hold much text come in pieces, so memory follows the longest text and not the batch.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -94,18 +94,25 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, batch_
     sized = next((c for c in LARGE if c in df.columns), None)
 
     def run(batches):
-        apply = make()
-        for whole in batches:
-            for batch in slices(whole, sized, batch_bytes) if sized else [whole]:
-                if batch.num_rows:
-                    out = apply(batch)
-                    yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in kinds], schema=kinds)
-        apply = whole = batch = out = None
+        pieces = (batch for whole in batches for batch in (slices(whole, sized, batch_bytes) if sized else [whole]) if batch.num_rows)
+        for out in make()(pieces):
+            yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in kinds], schema=kinds)
+        pieces = out = None
         release()
 
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``make()`` runs once in each task and gives a function from a RecordBatch to {column: array-like}; batches as in stream_batches."""
+
+    def each():
+        apply = make()
+        return lambda pieces: map(apply, pieces)
+
+    return stream_batches(df, each, schema, batch_bytes)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores after it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -9,28 +9,10 @@ HIDDEN, CLASS_WORDS = 16, 48
 WINDOW, STREAMS, RATE = 16, 256, 0.1
 #: A longer text is trained on in pieces of so many ids, each after the id before it, so that no stream outlasts the others by far.
 PIECE = 512
-#: Steps whose hidden states are held before their outputs are scored.
-SCORE_WINDOW = 32
+#: Hidden states that are held before their outputs are scored.
+SCORE_ROWS = 1 << 15
 #: Rows whose outputs are scored together; their logits stay in a core's cache.
-BLOCK = 512
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-x)); spoils x. numpy's exp is twice as fast as its tanh."""
-    np.negative(x, out=x)
-    with np.errstate(over="ignore"):
-        np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
-def _tanh(x: np.ndarray) -> np.ndarray:
-    """2 * sigmoid(2x) - 1; spoils x."""
-    x += x
-    x = _sigmoid(x)
-    x += x
-    x -= 1
-    return x
+BLOCK = 1024
 
 
 def _sums(rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -44,12 +26,16 @@ def _sums(rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
+def _runs(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.append(0, np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1)
+
+
 def _softmax(x: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """log p of each row's ``spot``; exp of the rows and its sums, whose quotient is p. Spoils x."""
-    picked = x[np.arange(len(x)), spot]
+    picked = x.take(np.arange(0, x.size, x.shape[1]) + spot)
     ones = np.ones(x.shape[1], x.dtype)
-    with np.errstate(over="ignore"):
-        e = np.exp(x)
+    e = np.exp(x)
     total = e @ ones
     if len(x) and not (total.min() > 1e-30 and total.max() < 1e30):  # too far from 1 to go without the maximum
         top = x.max(1, keepdims=True)
@@ -70,7 +56,7 @@ def _slope(e: np.ndarray, total: np.ndarray, spot: np.ndarray) -> np.ndarray:
 class GatedModel:
     """Ids 0 .. n-1; an id's class is id // CLASS_WORDS, so ids ordered by frequency share classes.
 
-    log p(id | h) = log p(class | h) + log p(id | class, h). Biases start at the given counts, so that
+    log p(id | h) = log p(class | h) + log p(id | class, h). Biases, the last rows of "class" and "word", start at the given counts, so that
     the untrained model is the unigram model of all that was counted.
     """
 
@@ -84,10 +70,8 @@ class GatedModel:
         self.weights = {
             "input": rng.normal(0, 0.1, (n, 3 * h)),
             "state": rng.normal(0, 0.3, (h, 3 * h)),
-            "class": rng.normal(0, 0.05, (h, classes)),
-            "class_bias": np.log(share.sum(1) / share.sum()),
-            "word": rng.normal(0, 0.05, (classes, h, CLASS_WORDS)),
-            "word_bias": np.log(np.maximum(share, 1e-30) / share.sum(1, keepdims=True)),
+            "class": np.vstack([rng.normal(0, 0.05, (h, classes)), np.log(share.sum(1) / share.sum())]),
+            "word": np.concatenate([rng.normal(0, 0.05, (classes, h, CLASS_WORDS)), np.log(np.maximum(share, 1e-30) / share.sum(1, keepdims=True))[:, None]], 1),
         }
         self.weights = {k: v.astype(np.float32) for k, v in self.weights.items()}
         self.start = 1  # the end of a text is also what comes before its first word
@@ -103,49 +87,42 @@ class GatedModel:
             at += old.nbytes
         return self
 
-    def step(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
-        n = HIDDEN
-        g, q = self.weights["input"].take(ids, axis=0), h @ self.weights["state"]
-        gates = _sigmoid(g[:, : 2 * n] + q[:, : 2 * n])
-        new = np.tanh(g[:, 2 * n :] + gates[:, n:] * q[:, 2 * n :])
-        return new + gates[:, :n] * (h - new)
-
     def output(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """log p of each id after its state; with ``grads`` also the loss gradient by the states."""
+        """log p of each id after its state, to which a one is joined; with ``grads`` also the loss gradient by the states."""
         w, kind = self.weights, ids // CLASS_WORDS
-        out, inner = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
-        back = None if grads is None else np.empty_like(h)
-        if grads is not None:
-            grads |= {name: np.zeros_like(w[name]) for name in ("class", "class_bias", "word", "word_bias")}
-        for at in range(0, len(ids), BLOCK):
-            own = slice(at, at + BLOCK)
-            out[own], d, total = _softmax(h[own] @ w["class"] + w["class_bias"], kind[own])
-            if grads is not None:
-                d = _slope(d, total, kind[own])
-                np.matmul(d, w["class"].T, out=back[own])
-                grads["class"] += h[own].T @ d
-                grads["class_bias"] += d.sum(0)
         order = np.argsort(kind.astype(np.int16), kind="stable")
-        sorted_kind, sorted_h, sorted_spot = kind[order], h.take(order, axis=0), (ids - kind * CLASS_WORDS)[order]
-        slope = None if grads is None else np.empty_like(sorted_h)
+        kind, h = kind.take(order), h.take(order, axis=0)
+        spot = ids.take(order) - kind * CLASS_WORDS
+        found = np.empty(len(ids), np.float32)
+        slope = None if grads is None else np.empty((len(ids), HIDDEN), np.float32)
+        if grads is not None:
+            grads |= {name: np.zeros_like(w[name]) for name in ("class", "word")}
         for at in range(0, len(ids), BLOCK):  # rows of many classes: one softmax over all, only the products by class
             own = slice(at, at + BLOCK)
-            part, rows = sorted_kind[own], sorted_h[own]
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-            runs = list(zip(part[cuts[:-1]].tolist(), cuts, cuts[1:]))
-            logits = w["word_bias"].take(part, axis=0)
+            part, rows = kind[own], h[own]
+            outer, d, total = _softmax(rows @ w["class"], part)
+            if grads is not None:
+                d = _slope(d, total, part)
+                back = np.matmul(d, w["class"][:-1].T, out=slope[own])
+                grads["class"] += rows.T @ d
+            cuts = _runs(part).tolist()
+            runs = list(zip(part[cuts].tolist(), cuts, [*cuts[1:], len(part)]))
+            logits = np.empty((len(part), CLASS_WORDS), np.float32)
             for c, a, b in runs:
-                logits[a:b] += rows[a:b] @ w["word"][c]
-            inner[own], d, total = _softmax(logits, sorted_spot[own])
+                np.matmul(rows[a:b], w["word"][c], out=logits[a:b])
+            inner, d, total = _softmax(logits, spot[own])
+            np.add(outer, inner, out=found[own])
             if grads is not None:
-                d = _slope(d, total, sorted_spot[own])
+                d = _slope(d, total, spot[own])
                 for c, a, b in runs:
-                    np.matmul(d[a:b], w["word"][c].T, out=slope[at + a : at + b])
+                    back[a:b] += d[a:b] @ w["word"][c, :-1].T
                     grads["word"][c] += rows[a:b].T @ d[a:b]
-                grads["word_bias"][[c for c, _, _ in runs]] += np.add.reduceat(d, cuts[:-1], axis=0)
-        if grads is not None:
-            back[order] += slope
-        out[order] += inner
+        out = np.empty_like(found)
+        out[order] = found
+        if grads is None:
+            return out, None
+        back = np.empty_like(slope)
+        back[order] = slope
         return out, back
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -160,23 +137,43 @@ class GatedModel:
         flat = np.concatenate(texts) if texts else np.empty(0, np.int64)
         rank = np.empty(len(texts), np.int64)
         rank[order] = np.arange(len(texts))
-        time = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        ids = np.empty(len(flat), np.int32)
-        ids[offset[time] + np.repeat(rank, lengths)] = flat
-        h = np.zeros((len(texts), HIDDEN), np.float32)
-        last = np.full(len(texts), self.start, np.int32)
-        bounds, held, begun = offset.tolist(), [], 0
-        for t in range(steps):
-            a, b = bounds[t], bounds[t + 1]
-            n = b - a
-            h = self.step(last[:n], h[:n])
-            held.append(h)
-            last = ids[a:b]
-            if len(held) == SCORE_WINDOW or t + 1 == steps:
-                found, _ = self.output(np.concatenate(held), ids[begun:b])
-                who = np.concatenate([np.arange(len(x)) for x in held])
-                total[: len(held[0])] += np.bincount(who, found, len(held[0]))
-                held, begun = [], b
+        begins = np.cumsum(lengths) - lengths
+        at = offset[np.arange(len(flat)) - np.repeat(begins, lengths)]
+        at += np.repeat(rank, lengths)
+        ids, source = np.empty((2, len(flat)), np.int32)  # in the order of steps: what comes, and what came before it
+        ids[at] = flat
+        source[at[1:]] = flat[:-1]
+        source[at[begins[lengths > 0]]] = self.start
+        del at
+        n, bounds = HIDDEN, offset.tolist()
+        gate_input, gate_state = (-self.weights[k][:, : 2 * n] for k in ("input", "state"))
+        new_input, new_state = (np.ascontiguousarray(self.weights[k][:, 2 * n :]) for k in ("input", "state"))
+        h, t = np.zeros((len(texts), n), np.float32), 0
+        with np.errstate(over="ignore"):
+            while t < steps:
+                first, until = t, max(t + 1, int(np.searchsorted(offset, bounds[t] + SCORE_ROWS, side="right")) - 1)
+                begun, done = bounds[t], bounds[until]
+                gates, cand = (part.take(source[begun:done], axis=0) for part in (gate_input, new_input))
+                states = np.ones((done - begun, n + 1), np.float32)
+                for t in range(first, until):
+                    a, b = bounds[t] - begun, bounds[t + 1] - begun
+                    h, x, y = h[: b - a], gates[a:b], cand[a:b]
+                    x += h @ gate_state
+                    np.exp(x, out=x)
+                    x += 1
+                    np.reciprocal(x, out=x)
+                    q = h @ new_state
+                    q *= x[:, n:]
+                    y += q
+                    np.tanh(y, out=y)
+                    h = h - y
+                    h *= x[:, :n]
+                    h += y
+                    states[a:b, :n] = h
+                t = until
+                found, _ = self.output(states, ids[begun:done])
+                who = np.arange(begun, done) - np.repeat(offset[first:until], live[first:until])
+                total[: live[first]] += np.bincount(who, found, live[first])
         return total[rank]
 
     def train(self, texts: list[np.ndarray]) -> int:
@@ -195,65 +192,93 @@ class GatedModel:
             if own:
                 ids[: load[k], k] = np.concatenate([p for p, _ in own])
                 fresh[np.cumsum([0, *(len(p) for p, _ in own[:-1])]), k] = [before for _, before in own]
+        new = fresh >= 0
+        source = np.where(new, fresh, np.vstack([np.full((1, STREAMS), self.start), ids[:-1]]))
+        source = np.maximum(source, 0)  # beyond the end of a stream, where nothing is learnt
         sums = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.weights.items()}
-        h = np.zeros((STREAMS, HIDDEN), np.float32)
-        last = np.full(STREAMS, self.start)
-        for t in range(0, steps, WINDOW):
-            h, last = self._window(ids[t : t + WINDOW], fresh[t : t + WINDOW], h, last, sums)
+        h = np.zeros((HIDDEN, STREAMS), np.float32)
+        with np.errstate(over="ignore"):
+            for t in range(0, steps, WINDOW):
+                own = slice(t, t + WINDOW)
+                h = self._window(ids[own], source[own], new[own], h, sums)
         return sum(load)
 
-    def _window(self, ids, fresh, h, last, sums):
+    def _window(self, ids, source, new, h, sums):
         n, w = HIDDEN, self.weights  # here states and gates have a row a unit and a column a stream, so that gates are whole blocks
-        tape, states, h, turned = [], [], h.T, np.ascontiguousarray(w["state"].T)
-        for target, before in zip(ids, fresh):
-            new = before >= 0
-            if new.any():
-                h = np.where(new, np.float32(0), h)
-            source = np.where(new, before, last)
-            g, q = np.ascontiguousarray(w["input"].take(source, axis=0).T), turned @ h
-            gates = _sigmoid(g[: 2 * n] + q[: 2 * n])
-            cand = _tanh(g[2 * n :] + gates[n:] * q[2 * n :])
-            tape.append((source, h, q, gates, cand, new))
-            h = cand + gates[:n] * (h - cand)
-            states.append(h)
-            last = np.where(target >= 0, target, last)
-        live = ids.ravel() >= 0
-        grads: dict = {}
-        _, back = self.output(np.stack(states).transpose(0, 2, 1).reshape(-1, n)[live], ids.ravel()[live], grads)
-        whole = np.zeros((ids.size, n), np.float32)
-        whole[live] = back
-        whole = np.ascontiguousarray(whole.reshape(*ids.shape, n).transpose(0, 2, 1))
-        d_h = np.zeros_like(h)
-        slopes, inner = [], []
-        for t in range(len(tape) - 1, -1, -1):
-            source, before, q, gates, cand, new = tape[t]
-            d = whole[t] + d_h
-            z, r = gates[:n], gates[n:]
-            left = 1 - gates
-            slope = np.empty_like(q)
-            slope[:n] = d * (before - cand) * z * left[:n]
-            d_cand = slope[2 * n :] = d * left[:n] * (1 - cand * cand)
-            d_q = slope.copy()
-            d_q[2 * n :] *= r
-            d_q[n : 2 * n] = slope[n : 2 * n] = d_cand * q[2 * n :] * r * left[n:]
-            d_h = d * z + w["state"] @ d_q
-            if new.any():
-                d_h = np.where(new, np.float32(0), d_h)
-            inner.append(d_q)
-            slopes.append(slope)
-        grads["state"] = np.concatenate([before for _, before, *_ in reversed(tape)], 1) @ np.concatenate(inner, 1).T
-        source = np.concatenate([source for source, *_ in reversed(tape)])
-        order = np.argsort(source.astype(np.int32), kind="stable")
-        used, begins = np.unique(source[order], return_index=True)
-        slope = _sums(np.ascontiguousarray(np.concatenate(slopes, 1).T).take(order, axis=0), begins)
-        count = max(1, int(live.sum())) / STREAMS
+        steps, streams = ids.shape
+        resets, zero = new.any(1).tolist(), np.float32(0)
+        turned = w["state"].T.copy()
+        turned[: 2 * n] *= -1
+        held = np.ascontiguousarray(w["input"].take(source.ravel(), axis=0).reshape(steps, streams, 3 * n).transpose(0, 2, 1))
+        gates, cand = held[:, : 2 * n], held[:, 2 * n :]
+        np.negative(gates, out=gates)
+        q, before, states = np.empty_like(held), np.empty_like(cand), np.empty((steps, n, streams), np.float32)
+        for t in range(steps):
+            if resets[t]:
+                h = np.where(new[t], zero, h)
+            before[t] = h
+            np.matmul(turned, h, out=q[t])
+            x, y = gates[t], cand[t]
+            x += q[t, : 2 * n]
+            np.exp(x, out=x)
+            x += 1
+            np.reciprocal(x, out=x)
+            y += x[n:] * q[t, 2 * n :]
+            np.tanh(y, out=y)
+            h = h - y
+            h *= x[:n]
+            h += y
+            states[t] = h
+        target = ids.ravel()
+        live = np.flatnonzero(target >= 0)
+        rows = np.ones((steps, streams, n + 1), np.float32)
+        rows[:, :, :n] = states.transpose(0, 2, 1)
+        rows, grads = rows.reshape(-1, n + 1), {}
+        if len(live) == len(target):
+            _, back = self.output(rows, target, grads)
+        else:
+            back = np.zeros((len(target), n), np.float32)
+            back[live] = self.output(rows[live], target[live], grads)[1]
+        d = np.ascontiguousarray(back.reshape(steps, streams, n).transpose(0, 2, 1))
+        # what a state's gradient is multiplied with on its way to the three inputs; all but the sums over time is done for the whole window
+        z, r, left = gates[:, :n], gates[:, n:], 1 - gates
+        slope = np.empty((steps, 3, n, streams), np.float32)
+        np.multiply(before - cand, z, out=slope[:, 0])
+        slope[:, 0] *= left[:, :n]
+        np.multiply(cand, cand, out=slope[:, 2])
+        np.subtract(1, slope[:, 2], out=slope[:, 2])
+        slope[:, 2] *= left[:, :n]
+        np.multiply(slope[:, 2], q[:, 2 * n :], out=slope[:, 1])
+        slope[:, 1] *= r
+        slope[:, 1] *= left[:, n:]
+        inner = slope.copy()
+        inner[:, 2] *= r
+        d_h = None
+        for t in range(steps - 1, -1, -1):
+            if d_h is not None:
+                d[t] += d_h
+            inner[t] *= d[t]
+            d_h = w["state"] @ inner[t].reshape(3 * n, streams)
+            d_h += d[t] * z[t]
+            if resets[t]:
+                d_h = np.where(new[t], zero, d_h)
+        slope *= d[:, None]
+        grads["state"] = np.matmul(before, inner.reshape(steps, 3 * n, streams).transpose(0, 2, 1)).sum(0)
+        source = source.ravel()
+        order = np.argsort(source.astype(np.uint16), kind="stable")
+        source = source.take(order)
+        begins = _runs(source)
+        by_source = _sums(np.ascontiguousarray(slope.reshape(steps, 3 * n, streams).transpose(0, 2, 1)).reshape(-1, 3 * n).take(order, axis=0), begins)
+        count = max(1, len(live)) / streams
 
         def move(name, at, grad):
             grad = np.clip(grad / count, -1, 1)
-            sums[name][at] += grad * grad
-            w[name][at] -= RATE * grad / np.sqrt(sums[name][at])
+            total = sums[name][at] + grad * grad
+            sums[name][at] = total
+            grad *= RATE
+            w[name][at] -= grad / np.sqrt(total)
 
-        move("input", used, slope)
-        for name in ("state", "class", "class_bias", "word", "word_bias"):
+        move("input", source[begins], by_source)
+        for name in ("state", "class", "word"):
             move(name, slice(None), grads[name])
-        return h.T, last
+        return h

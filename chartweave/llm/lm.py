@@ -8,6 +8,8 @@ proper probability. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import documents, frequent, map_batches
+from .common import documents, frequent, map_batches, stream_batches
 from .gru import GatedModel
 from .shingles import word_hashes
 
@@ -30,8 +32,11 @@ ROUNDS = 2
 GROUP_TOKENS = 1_000_000
 #: Groups of a round at most, on any cluster; beyond some 60 GB of text a group reads more.
 MOST_GROUPS = 1 << 15
-#: Text that is hashed at once when counting, and that the network scores at once: with many texts a step the few longest cost little.
-COUNT_BYTES, SCORE_BYTES = 2 << 20, 12 << 20
+#: Text that is hashed at once when counting or learning, and when scoring.
+COUNT_BYTES, SCORE_BYTES = 6 << 20, 8 << 20
+#: A text of more ids waits until its task holds WAITING ids of such texts: a step of the network costs a call however few texts
+#: are that long, so the few longest of each piece would cost more than all others.
+LONG, WAITING = 1_024, 3_000_000
 #: Models that one task averages.
 FAN_IN = 8
 #: Tokens that wait for one pass of local training.
@@ -52,16 +57,40 @@ def count_words(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     return map_batches(docs, make, "word long, n long", COUNT_BYTES).groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Places:
+    """Finds hashes among distinct ones in ascending order. They are spread evenly, so buckets by their first bits hold about one each."""
+
+    def __init__(self, words: np.ndarray):
+        bits = len(words).bit_length() + 1
+        self.shift, self.size = np.uint64(64 - bits), len(words)
+        self.first = np.searchsorted(words, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.words = np.append(words, ~np.uint64(0))
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 for those that are not there."""
+        at = self.first.take((words >> self.shift).view(np.int64))
+        met = self.words.take(at)
+        below = np.flatnonzero(met < words)
+        while len(below):
+            at[below] += 1
+            met[below] = self.words.take(at[below])
+            below = below[met[below] < words[below]]
+        return np.where((met == words) & (at < self.size), at, np.int32(-1))
+
+
 class Lexicon:
     """Counts of the listed words by hash, the ids of those in the vocabulary, and the corpus totals."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, texts: int):
         """words: hashes in descending order of ``counts``; tokens and distinct words without the ends of ``texts`` texts."""
+        words, named = words.view(np.uint64), min(len(words), VOCABULARY - 2)
         ids = np.zeros(len(words), np.int32)
-        named = min(len(words), VOCABULARY - 2)
         ids[:named] = np.arange(2, 2 + named)
         order = np.argsort(words)
-        self.words, self.counts, self.ids = words[order], counts[order], ids[order]
+        self.listed, self.counts = Places(words[order]), counts[order]
+        self.ids = np.append(ids[order], np.int32(OTHER))  # place -1: not listed
+        own = np.argsort(words[:named])
+        self.named, self.named_ids = Places(words[:named][own]), np.append(ids[:named][own], np.int32(OTHER))
         self.ends = texts
         self.tokens = tokens + texts
         self.distinct = distinct + (texts > 0)
@@ -69,19 +98,18 @@ class Lexicon:
         self.other_distinct = distinct - named
         self.start_counts = np.concatenate([[self.other_tokens, texts], counts[:named]]).astype(float)
 
-    def find(self, words: np.ndarray) -> np.ndarray:
-        """Place of each word among the listed ones, -1 for others."""
-        if not len(self.words):
-            return np.full(len(words), -1)
-        words = words.view(np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, -1)
+    def id_lists(self, words: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+        """Each text's ids with its end."""
+        return _with_ends(self.named_ids.take(self.named.find(words)), count)
+
+    def id_lists_and_places(self, words: np.ndarray, count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Each text's ids with its end, and the places of all words among the listed ones, -1 for others."""
+        place = self.listed.find(words)
+        return _with_ends(self.ids.take(place), count), place
 
-    def id_lists(self, words: np.ndarray, count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Each text's ids with its end, and the places of all words."""
-        place = self.find(words)
-        ids = np.where(place >= 0, self.ids[place] if len(self.ids) else 0, OTHER).astype(np.int32)
-        return [np.append(part, np.int32(END)) for part in np.split(ids, np.cumsum(count)[:-1])], place
+
+def _with_ends(ids: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    return [np.append(part, np.int32(END)) for part in np.split(ids, np.cumsum(count)[:-1])]
 
 
 def lexicon(counts: DataFrame, texts: int) -> Lexicon:
@@ -119,7 +147,7 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, group_tokens: int
 
     def encode():
         def apply(batch):
-            ids = shared_lexicon.value.id_lists(*word_hashes(batch.column("data").to_pylist()))[0]
+            ids = shared_lexicon.value.id_lists(*word_hashes(batch.column("data").to_pylist()))
             return {"place": batch.column("place"), "doc_id": batch.column("doc_id"), "ids": [x.astype(np.uint16).tobytes() for x in ids]}
 
         return apply
@@ -167,6 +195,29 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, group_tokens: int
     return model
 
 
+def score_parts(parts: Iterator[tuple[pa.RecordBatch, list[np.ndarray]]], model: GatedModel) -> Iterator[dict]:
+    """{column: array} of all rows of ``parts`` (columns, ids of each row), with the log10 probability as "network"; long texts wait for each other."""
+
+    def scored(group):
+        found = model.score([x for _, ids in group for x in ids]) / np.log(10)
+        for (columns, _), network in zip(group, np.split(found, np.cumsum([len(ids) for _, ids in group])[:-1])):
+            yield {**dict(zip(columns.schema.names, columns.columns)), "network": network}
+
+    waiting, held = [], 0
+    for columns, ids in parts:
+        long = np.fromiter((len(x) > LONG for x in ids), bool, len(ids))
+        if not long.all():
+            yield from scored([(columns.filter(pa.array(~long)), [x for x in ids if len(x) <= LONG])])
+        if long.any():
+            waiting.append((columns.filter(pa.array(long)), [x for x in ids if len(x) > LONG]))
+            held += sum(map(len, waiting[-1][1]))
+        if held >= WAITING:
+            yield from scored(waiting)
+            waiting, held = [], 0
+    if waiting:
+        yield from scored(waiting)
+
+
 def score_documents(df: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, training, n_tokens, n_known, train_tokens, base_score, score for every row.
 
@@ -189,13 +240,14 @@ def score_documents(df: DataFrame, training, id_col: str = "doc_id", text_col: s
     def make():
         lex, model = shared_lexicon.value, shared_model.value
         known = np.append(np.log10(lex.counts + 1.0), 0.0)  # place -1: not listed
-        named = np.append(lex.ids > 0, True)
+        named = lex.ids > 0
         row = TaskContext.get().partitionId() << 40
 
-        def apply(batch):
+        def counted(batch):
+            """All columns but "network", and the ids of each text."""
             nonlocal row
             words, count = word_hashes(batch.column("data").to_pylist())
-            ids, place = lex.id_lists(words, count)
+            ids, place = lex.id_lists_and_places(words, count)
             n = len(count)
             owner = np.repeat(np.arange(n), count)
             rare = place < 0
@@ -216,17 +268,16 @@ def score_documents(df: DataFrame, training, id_col: str = "doc_id", text_col: s
                 "listed": np.bincount(owner, known[place], n) + np.log10(lex.ends + 1),
                 "outside": np.bincount(owner, np.where(named[place], 0, known[place]), n),
                 "n_outside": np.bincount(owner, rare | ~named[place], n).astype(np.int64),
-                "network": model.score(ids) / np.log(10),
                 "words": pa.ListArray.from_arrays(offsets, pa.array(pair[begins, 1])),
                 "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
             }
             row += n
-            return out
+            return pa.RecordBatch.from_pydict(out), ids
 
-        return apply
+        return lambda batches: score_parts(map(counted, batches), model)
 
     schema = "row long, doc_id long, training boolean, n_tokens long, known long, listed double, outside double, n_outside long, network double, words array<long>, times array<long>"
-    scored = materialize(map_batches(data, make, schema, SCORE_BYTES), "scored")
+    scored = materialize(stream_batches(data, make, schema, SCORE_BYTES), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_sum"))
     joined = scored.drop("words", "times").join(met, "row", "left").fillna(0, ["rare_known", "rare_sum"])

@@ -369,6 +369,71 @@ def test_network_learns_and_its_classes_sum_to_one():
     assert whole[1] == pytest.approx(parts[0])
 
 
+def test_long_texts_share_the_steps_of_the_network():
+    import numpy as np
+    import pyarrow as pa
+
+    from chartweave.llm.gru import GatedModel
+
+    model, rng = GatedModel(np.arange(130, 0, -1.0)), np.random.default_rng(4)
+    calls = {"output": 0, "score": 0}
+
+    def counted(name, function):
+        def call(*args):
+            calls[name] += 1
+            return function(*args)
+
+        return call
+
+    model.output, model.score = counted("output", model.output), counted("score", model.score)
+    one = GatedModel(np.arange(130, 0, -1.0))
+    long = rng.integers(0, 130, 5000)
+    assert model.score([long])[0] == pytest.approx(one.score([long])[0], rel=1e-5)
+    assert calls["output"] == 1  # 157 when every 32 steps had their outputs by themselves
+    sizes = [[1, 40, 2000 + k, 7] for k in range(6)] + [[1500], [3, 3]]
+    texts = [[rng.integers(0, 130, n) for n in own] for own in sizes]
+    rows, at = [], 0
+    for own in texts:
+        rows.append((pa.RecordBatch.from_pydict({"row": list(range(at, at + len(own))), "words": [[k] * (k % 3) for k in range(len(own))]}), own))
+        at += len(own)
+    calls["score"] = 0
+    got = [(r, w, s) for out in lm.score_parts(iter(rows), model) for r, w, s in zip(out["row"].to_pylist(), out["words"].to_pylist(), out["network"])]
+    assert calls["score"] == 7 + 1  # the long texts of all eight parts at once
+    assert sorted(r for r, _, _ in got) == list(range(at))
+    flat = [(x, k) for own in texts for k, x in enumerate(own)]
+    for r, words, score in got:
+        assert words == [flat[r][1]] * (flat[r][1] % 3)
+        assert score == pytest.approx(one.score([flat[r][0]])[0] / math.log(10), rel=1e-5)
+
+
+def test_long_texts_wait_for_a_bounded_number_of_ids(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from chartweave.llm.gru import GatedModel
+
+    monkeypatch.setattr(lm, "WAITING", 5_000)
+    model, sizes = GatedModel(np.arange(130, 0, -1.0)), []
+    score = model.score
+    model.score = lambda texts: sizes.append(sum(map(len, texts))) or score(texts)
+    parts = [(pa.RecordBatch.from_pydict({"row": [k]}), [np.full(2000, 5)]) for k in range(7)]
+    got = [out["row"].to_pylist() for out in lm.score_parts(iter(parts), model)]
+    assert sorted(sum(got, [])) == list(range(7)) and sizes == [6000, 6000, 2000]
+
+
+def test_places_of_hashes():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    top = ~np.uint64(0)
+    crowd = np.arange(500, dtype=np.uint64) + np.uint64(1 << 63)
+    for words in (np.empty(0, np.uint64), np.array([0], np.uint64), np.array([0, top], np.uint64), crowd, rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)):
+        words = np.unique(words)
+        place = {int(w): k for k, w in enumerate(words)}
+        asked = np.concatenate([words, words + np.uint64(1), rng.integers(0, 1 << 63, 500).astype(np.uint64), np.array([0, top], np.uint64)])
+        assert lm.Places(words).find(asked).tolist() == [place.get(int(w), -1) for w in asked]
+
+
 def test_language_of_secrets_is_counted_over_all_documents(spark):
     rows = [(k, f"Common words, document {k}") for k in range(600)] + [(600 + k, "x" * 9000 + " seltenes\u0130 Wort") for k in range(3)] + [(None, None), (7, "twice"), (7, "twice")]
     language = secrets.learn_language(spark.createDataFrame(rows, "doc_id long, text string"))
