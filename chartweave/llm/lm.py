@@ -251,14 +251,15 @@ def score_documents(df: DataFrame, training, id_col: str = "doc_id", text_col: s
             n = len(count)
             owner = np.repeat(np.arange(n), count)
             rare = place < 0
-            pair = np.stack([owner[rare], words[rare].view(np.int64)], 1)
-            order = np.lexsort((pair[:, 1], pair[:, 0]))
-            pair = pair[order]
-            fresh = np.ones(len(pair), bool)
-            fresh[1:] = (pair[1:] != pair[:-1]).any(1)
+            whose, which = owner[rare], words[rare]
+            bits = n.bit_length()
+            order = np.argsort(whose.view(np.uint64) << np.uint64(64 - bits) | which >> np.uint64(bits))  # words that agree in these bits may part a word's places; their times are summed all the same
+            whose, which = whose[order], which[order]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (whose[1:] != whose[:-1]) | (which[1:] != which[:-1])
             begins = np.flatnonzero(fresh)
-            times = np.diff(np.append(begins, len(pair)))
-            offsets = pa.array(np.searchsorted(pair[begins, 0], np.arange(n + 1)).astype(np.int32))
+            times = np.diff(np.append(begins, len(order)))
+            offsets = pa.array(np.searchsorted(whose[begins], np.arange(n + 1)).astype(np.int32))
             out = {
                 "row": row + np.arange(n),
                 "doc_id": batch.column("doc_id"),
@@ -268,7 +269,7 @@ def score_documents(df: DataFrame, training, id_col: str = "doc_id", text_col: s
                 "listed": np.bincount(owner, known[place], n) + np.log10(lex.ends + 1),
                 "outside": np.bincount(owner, np.where(named[place], 0, known[place]), n),
                 "n_outside": np.bincount(owner, rare | ~named[place], n).astype(np.int64),
-                "words": pa.ListArray.from_arrays(offsets, pa.array(pair[begins, 1])),
+                "words": pa.ListArray.from_arrays(offsets, pa.array(which[begins].view(np.int64))),
                 "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
             }
             row += n

@@ -332,6 +332,19 @@ def test_language_model(spark, docs, rows):
     assert lm.score_documents(empty(spark), F.lit(True)).count() == 0
 
 
+def test_words_that_are_not_listed_are_counted_too(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LISTED", 3)
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice("abcdefghijklmnopq") for _ in range(k % 40)) + " x" * (k % 3)) for k in range(120)] + [(500, "new words new new"), (501, "")]
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 500).collect()}
+    count = Counter(w for k, t in rows if k < 500 for w in [*t.split(), None])
+    total, distinct = sum(count.values()), len(count)
+    for k, t in rows:
+        own = [*t.split(), None]
+        assert got[k].n_known == sum(count[w] > 0 for w in own)
+        assert got[k].base_score == pytest.approx(sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in own))
+
+
 def test_every_training_document_is_learnt_from_once(spark):
     rng = random.Random(9)
     rows = [(k, prose(rng, 1 + k % 50)) for k in range(200)] + [(None, "no id here"), (7, prose(rng, 7)), (-1, ""), (-2, "ab " * 20000)]
