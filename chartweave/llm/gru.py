@@ -135,16 +135,18 @@ class GatedModel:
         live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(steps), side="right")
         offset = np.concatenate([[0], np.cumsum(live)]).astype(np.int64)
         flat = np.concatenate(texts) if texts else np.empty(0, np.int64)
-        rank = np.empty(len(texts), np.int64)
+        rank = np.empty(len(texts), np.int32)
         rank[order] = np.arange(len(texts))
         begins = np.cumsum(lengths) - lengths
-        at = offset[np.arange(len(flat)) - np.repeat(begins, lengths)]
+        at = np.arange(len(flat), dtype=np.int32)
+        at -= np.repeat(begins.astype(np.int32), lengths)
+        at = offset.astype(np.int32).take(at)
         at += np.repeat(rank, lengths)
         ids, source = np.empty((2, len(flat)), np.int32)  # in the order of steps: what comes, and what came before it
         ids[at] = flat
         source[at[1:]] = flat[:-1]
         source[at[begins[lengths > 0]]] = self.start
-        del at
+        del at, flat
         n, bounds = HIDDEN, offset.tolist()
         gate_input, gate_state = (-self.weights[k][:, : 2 * n] for k in ("input", "state"))
         new_input, new_state = (np.ascontiguousarray(self.weights[k][:, 2 * n :]) for k in ("input", "state"))

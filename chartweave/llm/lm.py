@@ -36,7 +36,7 @@ MOST_GROUPS = 1 << 15
 COUNT_BYTES, SCORE_BYTES = 6 << 20, 8 << 20
 #: A text of more ids waits until its task holds WAITING ids of such texts: a step of the network costs a call however few texts
 #: are that long, so the few longest of each piece would cost more than all others.
-LONG, WAITING = 1_024, 3_000_000
+LONG, WAITING = 1_024, 1_500_000
 #: Models that one task averages.
 FAN_IN = 8
 #: Tokens that wait for one pass of local training.
