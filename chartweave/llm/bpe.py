@@ -16,7 +16,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import documents, map_batches
+from .common import documents, kept, map_batches
 
 #: No pair here.
 FREE = 1 << 60
@@ -25,7 +25,7 @@ KEPT_PIECES = 200_000
 #: And so many of their characters; longer memories go after the batch that made them.
 KEPT_CHARS = 8 << 20
 #: Text that is cut into pieces at once; as strings these take some 20 times its bytes.
-ENCODED_BYTES = 2 << 20
+ENCODED_BYTES = 512 << 10
 #: From so many bytes on, or in groups smaller than LOCKSTEP, a piece gets a tree of its own.
 LONG = 256
 LOCKSTEP = 24
@@ -233,14 +233,9 @@ class Tokenizer:
         return b"".join(map(self.table.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_tokenizers: dict[tuple[str, str], Tokenizer] = {}
-
-
 def tokenizer(path: str, pattern: str) -> Tokenizer:
-    """One tokenizer a Python process and vocabulary: tables and memory outlive a task."""
-    if (path, pattern) not in _tokenizers:
-        _tokenizers[path, pattern] = Tokenizer(path, pattern)
-    return _tokenizers[path, pattern]
+    """One tokenizer a Python process and vocabulary: tables and memory outlive a task, but not the stage."""
+    return kept((path, pattern), lambda: Tokenizer(path, pattern))
 
 
 def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -81,6 +81,31 @@ def release() -> None:
         trim(0)
 
 
+#: What this worker process keeps between tasks, by name, and the names that its present task asked for.
+_kept: dict = {}
+_asked: set = set()
+
+
+def kept(name, build: Callable):
+    """``build()``, made once in this worker process. To be asked for in a ``make()``: a task that does not ask drops it."""
+    _asked.add(name)
+    if name not in _kept:
+        _kept[name] = build()
+    return _kept[name]
+
+
+def begin(make: Callable[[], Callable]) -> Callable:
+    """``make()`` of a task. What the worker kept for stages that are over goes, else tables of all stages add up."""
+    _asked.clear()
+    made = make()
+    over = _kept.keys() - _asked
+    for name in over:
+        del _kept[name]
+    if over:
+        release()
+    return made
+
+
 def stream_batches(df: DataFrame, make: Callable[[], Callable], schema: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``make()`` runs once in each task and gives a function from the task's RecordBatches, as an iterator, to an iterator of
     {column: array-like}; so rows can wait for others of their task.
@@ -95,7 +120,7 @@ def stream_batches(df: DataFrame, make: Callable[[], Callable], schema: str, bat
 
     def run(batches):
         pieces = (batch for whole in batches for batch in (slices(whole, sized, batch_bytes) if sized else [whole]) if batch.num_rows)
-        for out in make()(pieces):
+        for out in begin(make)(pieces):
             yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in kinds], schema=kinds)
         pieces = out = None
         release()
@@ -129,7 +154,7 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable], text_col: str, batch_
     """
 
     def run(batches):
-        apply = make()
+        apply = begin(make)
         for whole in batches:
             for batch in slices(whole, text_col, batch_bytes):
                 texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()]

@@ -9,7 +9,9 @@ largest share of the words' probability.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,12 +29,12 @@ LEXICON_LEAST = 3
 #: Words of one language in a row in the training chains, and words of a chain.
 STRETCH, CHAIN = 64, 128
 EPOCHS, BATCH, RATE, DECAY = 3, 128, 0.25, 1e-6
-#: Words whose scores each Python worker keeps.
+#: Words whose scores each Python worker keeps; a longer memory goes after the batch that made it.
 KEPT_WORDS = 200_000
-#: And so many of their characters; longer memories go after the batch that made them.
+#: And so many of their characters.
 KEPT_CHARS = 8 << 20
 #: Text that is labelled at once, and words whose features are taken at once; both bound a worker's memory.
-LABELLED_BYTES, FEATURE_WORDS = 4 << 20, 1 << 14
+LABELLED_BYTES, FEATURE_WORDS = 2 << 20, 1 << 14
 UNDETERMINED = "und"
 
 _runs = re.compile(r"[^\W\d_]+").findall
@@ -112,9 +114,9 @@ def forward_backward(score: np.ndarray, lengths: np.ndarray, start: np.ndarray,
         back[a : a + n] = then / scale
         mass = (ahead[a : a + n] * then).sum(1, keepdims=True)
         expected += (ahead[a : a + n] / mass).T @ right
-    post = ahead * back
-    post /= post.sum(1, keepdims=True)
-    return post[place], expected * move
+    ahead *= back
+    ahead /= ahead.sum(1, keepdims=True)
+    return ahead[place], expected * move
 
 
 class WordField:
@@ -211,37 +213,41 @@ class Labeller:
     def __init__(self, field: WordField):
         self.field = field
         self.start, self.move = np.exp(field.start - field.start.max()), np.exp(field.move - field.move.max())
-        self.index: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: defaultdict[str, int] = defaultdict()
+        self.index.default_factory = self.index.__len__  # a new word gets the next row of the table
         self.held = 0
-        self.table = np.empty((0, len(field.labels)), np.float32)
+        self.table = np.empty((0, len(self.field.labels)), np.float32)
 
-    def _scores(self, words: list[list[str]]) -> np.ndarray:
-        flat = [w for own in words for w in own]
-        new = list(set(flat).difference(self.index))
-        if new and len(self.index) + len(new) > KEPT_WORDS:
-            self.index, self.table, self.held, new = {}, self.table[:0], 0, list(set(flat))
+    def _scores(self, ids: list[np.ndarray]) -> np.ndarray:
+        new = list(islice(self.index, len(self.table), None))
         if new:
             score = self.field.emissions(new)
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             self.table = np.concatenate([self.table, np.exp(score - score.max(1, keepdims=True)).astype(np.float32)])
             self.held += sum(map(len, new))
-        found = self.table[np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))]
-        if self.held > KEPT_CHARS:
-            self.index, self.table, self.held = {}, self.table[:0], 0
+        found = self.table[np.concatenate(ids)]
+        if self.held > KEPT_CHARS or len(self.index) > KEPT_WORDS:
+            self._forget()
         return found
 
-    def posteriors(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Distributions of all words of the batch one after the other, and the number of words of each text."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+    def posteriors(self, words: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Distributions of all words of the batch one after the other, and the number of words of each text.
+
+        Words become numbers text by text, so a batch's words need not be held as strings.
+        """
+        ids = [np.fromiter(map(self.index.__getitem__, own), np.int32, len(own)) for own in words]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         has = lengths > 0
         if not has.any():
             return np.empty((0, len(self.field.labels))), lengths
-        post, _ = forward_backward(self._scores(words), lengths[has], self.start, self.move)
+        post, _ = forward_backward(self._scores(ids), lengths[has], self.start, self.move)
         return post, lengths
 
     def languages(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Each text's language and its share of the words' probability; ``und`` and 0 without a letter."""
-        post, lengths = self.posteriors([words_of(t.lower()) for t in texts])
+        post, lengths = self.posteriors(words_of(t.lower()) for t in texts)
         owner = np.repeat(np.arange(len(texts)), lengths)
         share = np.stack([np.bincount(owner, post[:, k], len(texts)) for k in range(len(self.field.labels))], 1)
         best = share.argmax(1)

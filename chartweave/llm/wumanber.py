@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import documents, drop_rows, keep_rows, map_batches, numbered
+from .common import documents, drop_rows, keep_rows, kept, map_batches, numbered
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW_WORDS = 10
@@ -121,17 +121,6 @@ class Contamination:
         return sorted(set(zip(first, last))), set().union(*(self.owners[self.begins[n] : self.begins[n + 1]].tolist() for n in names))
 
 
-_built: dict[str, Contamination] = {}
-
-
-def built(key: str, items: list[tuple[int, bytes]]) -> Contamination:
-    """The tables of ``items``, built once in each worker process; those of an earlier pass make room."""
-    if key not in _built:
-        _built.clear()
-        _built[key] = Contamination(items)
-    return _built[key]
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union of sorted ranges."""
     out: list[tuple[int, int]] = []
@@ -147,7 +136,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
     shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def make():
-        search = built(key, shared.value)
+        search = kept(key, lambda: Contamination(shared.value))
 
         def apply(batch):
             n_words, spans, ids = [], [], []
@@ -236,7 +225,7 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     shared, name = df.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()]), uuid.uuid4().hex
 
     def make():
-        search = built(name, shared.value)
+        search = kept(name, lambda: Contamination(shared.value))
 
         def apply(texts):
             spans = (merged(search.search(words(text.encode("utf-8", "surrogatepass")))[0]) for text in texts)

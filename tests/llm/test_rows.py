@@ -104,3 +104,60 @@ def test_worker_memories_are_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(toxicity, "KEPT_CHARS", 100)
     scorer.memory.clear()
     assert (scorer.scores(["bad word", "y" * 9000]) == scores).all() and not scorer.memory
+
+
+def traced_peak(call, *args):
+    import gc
+    import tracemalloc
+
+    gc.collect()
+    tracemalloc.start()
+    try:
+        call(*args)
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_batch_takes_little_memory_in_a_worker():
+    from chartweave.llm import bpe, crf, queries
+    from chartweave.llm.common import slices
+    import pyarrow as pa
+
+    from .util import prose
+
+    rng = random.Random(4)
+    some = [prose(rng, 400) for _ in range(40)]
+    batch = pa.RecordBatch.from_pydict({"text": [rng.choice(some) for _ in range(3000)]})
+    field = crf.WordField(["de", "en", "fr", "xx"]).fit([("en", "the and with other"), ("fr", "le avec autre des")] * 5)
+    labeller, coder = crf.Labeller(field), bpe.Tokenizer(*queries.tokenizer_files())
+    labeller.languages(some)
+    coder.encode_batch(some)
+    for call, most, least in ((labeller.languages, crf.LABELLED_BYTES, 45), (coder.encode_batch, bpe.ENCODED_BYTES, 25)):
+        texts = next(slices(batch, "text", most)).column("text").to_pylist()
+        assert traced_peak(call, texts) < least
+
+
+def test_a_worker_drops_what_it_kept_for_stages_that_are_over(spark):
+    from chartweave.llm import bpe, crf, queries, wumanber
+    from chartweave.llm.common import keep_rows, map_batches
+
+    def in_stage(df, mapped):
+        def seen():
+            import gc
+
+            gc.collect()
+            kinds = (bpe.RankTable, wumanber.Contamination)
+            return sum(isinstance(x, kinds) for x in gc.get_objects())
+
+        if mapped:
+            return map_batches(df.select("doc_id"), lambda: lambda batch: {"n": [seen()] * batch.num_rows}, "n long").collect()
+        return keep_rows(df, lambda: lambda texts: [seen() == 0] * len(texts), "text").collect()
+
+    df = spark.createDataFrame([(k, f"text of {k} words and some more", "en", "x", 1) for k in range(8)], SCHEMA).coalesce(1)
+    items = spark.createDataFrame([(1, "words and some")], "item_id long, text string")
+    assert bpe.round_trip(df, *queries.tokenizer_files()).where("lossless").count() == 8
+    assert {r.n for r in in_stage(df, True)} == {0}
+    assert wumanber.drop_contaminated(df, items).count() == 0
+    assert len(in_stage(df, False)) == 8
+    assert bpe.round_trip(df, *queries.tokenizer_files()).where("lossless").count() == 8
