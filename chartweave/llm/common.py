@@ -193,10 +193,13 @@ def drop_rows(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col(key).cast("long") == F.col(name), "left_anti")
 
 
-def key_map(keys: DataFrame) -> np.ndarray:
-    """Bytes of a map with a bit for each of ``keys``, which folds them by their low bits; MAP_MOST bits at most. A full map finds too much and misses nothing."""
+def key_map(keys: DataFrame, probes: int = 1) -> np.ndarray:
+    """Bytes of a map with ``probes`` bits for each of ``keys``, which folds them by their low bits; MAP_MOST bits at most. A full map finds too much and misses nothing."""
     bits = min(MAP_MOST, max(MAP_ROW, 1 << (MAP_BITS * keys.count()).bit_length()))
-    place = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("place"))
+    last = F.lit(bits - 1)
+    place, step = F.col("key").bitwiseAND(last), F.shiftright("key", 32).bitwiseAND(last)
+    more = [(place + k * step).bitwiseAND(last) for k in range(1, probes)]
+    place = keys.select((F.explode(F.array(place, *more)) if more else place).alias("place"))
     rows = place.groupBy(F.floor(F.col("place") / MAP_ROW).alias("row")).agg(F.bitmap_construct_agg(F.col("place") % MAP_ROW).alias("map")).toArrow()
     out = np.zeros((bits // MAP_ROW, MAP_ROW // 8), np.uint8)
     for row, data in zip(rows.column("row").to_pylist(), rows.column("map").to_pylist()):
@@ -204,6 +207,16 @@ def key_map(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def on_map(bits: np.ndarray, keys: np.ndarray, probes: int = 1) -> np.ndarray:
+    """Which of ``keys`` (signed 64-bit hashes) have all their bits on a key_map of as many ``probes``."""
+    last = np.int64(8 * len(bits) - 1)
+    place, step, found = keys & last, keys >> np.int64(32) & last, np.ones(keys.shape, bool)
+    for _ in range(probes):
+        found &= (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+        place = place + step & last
+    return found
+
+
 def frequent(counts: DataFrame, word: str, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(words, counts) of the most frequent words, in descending order, equal counts by the word; ``most`` at most.
 

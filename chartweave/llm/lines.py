@@ -8,7 +8,7 @@ and loser is verified on their words.
 Variants of all lines would be as many as the corpus has words. A filter that loses nothing goes
 first: a line of n words has as keys its first and its last k words for k = n // 2 and (n - 1) // 2. Of
 two lines within one edit, the shorter of n words, either the first or the last n // 2 words
-are the same, and both lines have them as a key. Keys that different lines share set bits of a map of bounded size;
+are the same, and both lines have them as a key. Keys that different lines share set bits of a map of bounded size, PROBES each;
 only lines with a key on it emit their variants.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import documents, key_map, map_batches, numbered
+from .common import documents, key_map, map_batches, numbered, on_map
 from .shingles import constants, hashed_words, mix
 
 #: Equal lines of at least so many words go, so only blank ones stay; one edit counts from NEAR_WORDS words on.
@@ -33,6 +33,8 @@ UNSPACED = re.compile("[฀-໿ༀ-࿿က-႟ក-៿぀-ヿㇰ-ㇿ㐀-䶿一-鿿
 OTHERS = bytes(b for b in range(256) if b not in (0xE0, 0xE1, 0xEF, 0xF0) and not 0xE3 <= b <= 0xE9)
 #: The contract's white space as a space.
 SPACED = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+#: Bits of the map for a key. With one, a line of keys that nothing shares has one of them on it by chance in some 15 of 100 cases, with four in less than one.
+PROBES = 4
 #: Text that is hashed at once; the arrays take some 25 times its bytes.
 HASHED_BYTES = 2 << 20
 AHEAD, BEHIND, SIDE, LENGTH, STEP = constants(21, 5)
@@ -138,8 +140,7 @@ def _close_lines(docs: DataFrame, key_map: np.ndarray) -> DataFrame:
         def apply(batch):
             lines = Lines(batch.column("data").to_pylist())
             ids, (keys, counts) = lines.ids(), lines.keys()
-            place = keys & np.int64(8 * len(bits) - 1)
-            found = np.flatnonzero((counts & (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)).any(1))
+            found = np.flatnonzero((counts & on_map(bits, keys, PROBES)).any(1))
             data = [lines.raw[a + 1 : b] for a, b in zip(lines.breaks[found].tolist(), lines.breaks[found + 1].tolist())]
             return {"line": ids[found], "doc_id": batch.column("doc_id").take(pa.array(lines.text[found])), "line_no": lines.number[found], "data": data}
 
@@ -172,7 +173,8 @@ def _place(prefix: str = ""):
 def _near_lines(texts: DataFrame) -> DataFrame:
     """line: those of ``texts`` that an earlier one is one edit away from."""
     variants = _variants(texts)
-    met = variants.groupBy("variant").agg(F.min(_place()).alias("low"), F.max(_place()).alias("high")).where("low < high").select("variant")
+    spans = (f(c).alias(f.__name__ + c) for c in ("doc_id", "line_no") for f in (F.min, F.max))
+    met = variants.groupBy("variant").agg(*spans).where("mindoc_id < maxdoc_id or minline_no < maxline_no").select("variant")
     live = materialize(variants.join(met, "variant"), "variants")
     replaced = live.where("gone >= 0").groupBy("variant", "gone").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first < last")
     whole = F.when(F.col("gone") < 0, _place())
@@ -208,7 +210,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = materialize(_lines(docs), "lines")
     keys = lines.select(F.explode("keys").alias("key"), "line")
     met = keys.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("key")
-    texts = materialize(_close_lines(docs, key_map(materialize(met, "keys"))), "close-lines")
+    texts = materialize(_close_lines(docs, key_map(materialize(met, "keys"), PROBES)), "close-lines")
     near = _near_lines(texts).withColumn("near", F.lit(True))
     firsts = lines.groupBy("line").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
     verdict = firsts.join(near, "line", "left").where("n > 1 or near").select("line", "first", "near")

@@ -548,3 +548,26 @@ def test_shift_tables_in_several_passes(spark, monkeypatch):
     parts = {r.doc_id: r for r in wumanber.find_contamination(df, bench).collect()}
     assert {k: (r.n_words, r.spans, r.item_ids) for k, r in whole.items()} == {k: (r.n_words, r.spans, r.item_ids) for k, r in parts.items()}
     assert kept == {r.doc_id for r in wumanber.drop_contaminated(df, bench, least_span=5).select("doc_id").collect()} and 0 < len(kept) < 80
+
+
+def test_lines_that_share_no_key_seldom_emit_variants(spark, monkeypatch):
+    import numpy as np
+
+    from chartweave.llm.common import key_map, on_map
+
+    rng, kept = random.Random(15), {}
+    words = lambda: ["".join(rng.choice("aeioulnrst") for _ in range(9)) for _ in range(12)]
+    alone = [(k, " ".join(words())) for k in range(6000)]
+    near = []
+    for k in range(10_000, 13_000):
+        line = words()
+        near += [(k, " ".join(line)), (k + 10_000, " ".join(line[:5] + ["changed"] + line[6:]))]
+    write = lines.materialize
+    monkeypatch.setattr(lines, "materialize", lambda df, name: kept.setdefault(name, write(df, name)))
+    df = spark.createDataFrame(alone + near, "doc_id long, text string")
+    assert set(map(tuple, lines.duplicate_lines(df).collect())) == {(k, 0) for k in range(20_000, 23_000)}
+    assert 6000 <= kept["close-lines"].count() < 6000 + 120
+    keys = np.random.default_rng(15).integers(-(1 << 63), 1 << 63, 20_000)
+    bits = key_map(spark.createDataFrame([(int(k),) for k in keys[:5000]], "key long"), lines.PROBES)
+    found = on_map(bits, keys, lines.PROBES)
+    assert found[:5000].all() and found[5000:].mean() < 0.01
