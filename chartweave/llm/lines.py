@@ -150,16 +150,23 @@ def _close_lines(docs: DataFrame, key_map: np.ndarray) -> DataFrame:
     return found.groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "data")).alias("first")).select("line", "first.*")
 
 
-def _variants(texts: DataFrame) -> DataFrame:
-    """variant, gone (the word left out, -1 for the whole line), doc_id, line_no."""
+def _variants(texts: DataFrame, key_map: np.ndarray | None = None) -> DataFrame:
+    """variant, gone (the word left out, -1 for the whole line), doc_id, line_no; with a map only the variants on it."""
+    shared = None if key_map is None else texts.sparkSession.sparkContext.broadcast(key_map)
 
     def make():
+        bits = shared and shared.value
+
         def apply(batch):
             lines = Lines(batch.column("data").to_pylist())
             whole, less = lines.variants()
-            own = pa.array(np.concatenate([np.arange(len(whole)), np.repeat(np.arange(len(whole)), lines.n)]))
+            variant = np.concatenate([whole, less])
+            own = np.concatenate([np.arange(len(whole)), np.repeat(np.arange(len(whole)), lines.n)])
             gone = np.concatenate([np.full(len(whole), -1), lines.place])
-            return {"variant": np.concatenate([whole, less]), "gone": gone, "doc_id": batch.column("doc_id").take(own), "line_no": batch.column("line_no").take(own)}
+            if bits is not None:
+                found = on_map(bits, variant, PROBES)
+                variant, own, gone = variant[found], own[found], gone[found]
+            return {"variant": variant, "gone": gone, "doc_id": batch.column("doc_id").take(pa.array(own)), "line_no": batch.column("line_no").take(pa.array(own))}
 
         return apply
 
@@ -172,10 +179,10 @@ def _place(prefix: str = ""):
 
 def _near_lines(texts: DataFrame) -> DataFrame:
     """line: those of ``texts`` that an earlier one is one edit away from."""
-    variants = _variants(texts)
     spans = (f(c).alias(f.__name__ + c) for c in ("doc_id", "line_no") for f in (F.min, F.max))
-    met = variants.groupBy("variant").agg(*spans).where("mindoc_id < maxdoc_id or minline_no < maxline_no").select("variant")
-    live = materialize(variants.join(met, "variant"), "variants")
+    met = _variants(texts).groupBy("variant").agg(*spans).where("mindoc_id < maxdoc_id or minline_no < maxline_no").select("variant")
+    met = materialize(met, "met")
+    live = materialize(_variants(texts, key_map(met.withColumnRenamed("variant", "key"), PROBES)).join(met, "variant"), "variants")
     replaced = live.where("gone >= 0").groupBy("variant", "gone").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first < last")
     whole = F.when(F.col("gone") < 0, _place())
     part = F.when(F.col("gone") >= 0, _place())
@@ -204,7 +211,8 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     [\\x20\\x09-\\x0D] only separates words, and of scripts without spaces each code point is a word. Blank lines, null and
     empty texts lose nothing. The result names a line by its document's id, so rows without one are left out and rows that repeat one are the
     same lines; dedup_lines tells such rows apart. A group of equal lines or of lines with a common variant meets only in combined
-    aggregates and in joins, whatever its size.
+    aggregates and in joins, whatever its size. Lines meet the verdicts as a written table, so a join of two plain shuffles, which adaptive
+    execution cuts where a line is very frequent.
     """
     docs = _data(df, id_col, text_col)
     lines = materialize(_lines(docs), "lines")
@@ -213,7 +221,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = materialize(_close_lines(docs, key_map(materialize(met, "keys"), PROBES)), "close-lines")
     near = _near_lines(texts).withColumn("near", F.lit(True))
     firsts = lines.groupBy("line").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
-    verdict = firsts.join(near, "line", "left").where("n > 1 or near").select("line", "first", "near")
+    verdict = materialize(firsts.join(near, "line", "left").where("n > 1 or near").select("line", "first", "near"), "verdicts")
     return lines.select("doc_id", "line_no", "line").join(verdict, "line").where(F.col("near") | (_place() != F.col("first"))).select("doc_id", "line_no").distinct()
 
 

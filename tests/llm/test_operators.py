@@ -571,3 +571,19 @@ def test_lines_that_share_no_key_seldom_emit_variants(spark, monkeypatch):
     bits = key_map(spark.createDataFrame([(int(k),) for k in keys[:5000]], "key long"), lines.PROBES)
     found = on_map(bits, keys, lines.PROBES)
     assert found[:5000].all() and found[5000:].mean() < 0.01
+
+
+def test_a_very_frequent_line_is_cut_over_tasks(spark):
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    small |= {f"spark.sql.adaptive.{k}": v for k, v in (("skewJoin.skewedPartitionThresholdInBytes", "4k"), ("skewJoin.skewedPartitionFactor", "1.5"), ("advisoryPartitionSizeInBytes", "4k"))}
+    before = {k: spark.conf.get(k) for k in small}
+    rows = [(k, f"the same line\nline {k // 2}") for k in range(12_000)]
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        gone = lines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+        assert set(map(tuple, gone.collect())) == {(k, 0) for k in range(1, 12_000)} | {(k, 1) for k in range(1, 12_000, 2)}
+        assert "skew=true" in gone._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
