@@ -6,9 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import graph as N
 from ..operators import trajectories as W
-from ..session import materialize, table
+from ..operators.near import Near
+from ..session import table
 from .fixtures import SQL_VIEWS, charts, hulls
 from .samples import _GRAPH, REACH
 
@@ -21,15 +21,14 @@ def _users(spark, sf_dir, points, kinds):
 
 
 def walked(spark, sf_dir, kind: str):
-    """The neighbour graph, and the walks of all users on it."""
-    points = charts(spark, sf_dir).select("vec_id", "x", "y")
-    edges = materialize(N.neighbour_graph(points, "vec_id", REACH, hulls(spark)), "edges")
-    return edges, W.graph_trajectories(edges, points, _users(spark, sf_dir, points, (kind,)), "vec_id", SEED, INTERVAL, LEAST, CIRCLE)
+    """The places, their neighbour graph, and the walks of all users on it."""
+    points, graph = charts(spark, sf_dir).select("vec_id", "x", "y"), Near(REACH, hulls(spark))
+    return points, graph, W.graph_trajectories(graph, points, _users(spark, sf_dir, points, (kind,)), "vec_id", SEED, INTERVAL, LEAST, CIRCLE)
 
 
 def _walks(kind: str):
     def query(spark, sf_dir):
-        found = walked(spark, sf_dir, kind)[1]
+        found = walked(spark, sf_dir, kind)[2]
         return found.select("walker", F.col("t").cast("long").alias("t"), "node", F.col("redraws").cast("long").alias("redraws"))
 
     query.__name__ = f"trajectory_{kind}"
