@@ -1,6 +1,7 @@
 """The library's own operators: every oracle at the smallest tables, and properties that no SQL states."""
 
 import glob
+import hashlib
 import math
 import os
 import struct
@@ -12,6 +13,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from chartweave import session
 from chartweave.functions import vectors as V
 from chartweave.operators import alignment as A
 from chartweave.operators import clusters as K
@@ -19,6 +21,7 @@ from chartweave.operators import composition as C
 from chartweave.operators import geometry as G
 from chartweave.operators import graph as N
 from chartweave.operators import metrics as M
+from chartweave.operators import near
 from chartweave.operators import report as E
 from chartweave.operators import sampling as R
 from chartweave.operators import sites as S
@@ -629,3 +632,50 @@ def test_folds_keep_anchors_and_draw_samples_anew(spark):
     assert folds == [wanted] * 3 and wanted
     samples = [sorted((r.walker, r.node, r.kind, r.k, r.other) for r in rows if r.fold == f) for f in range(3)]
     assert samples[0] != samples[1] != samples[2]
+
+
+def crowd(spark, n=300, seed=4):
+    """Places of which most are neighbours of each other, about a building, some at one place, some alone or without a place."""
+    rng = np.random.default_rng(seed)
+    at = np.concatenate([rng.normal(0, 0.05, (n, 2)), [[0.01, 0.01], [0.01, 0.01], [5.0, 5.0], [-7.0, 2.0]]])
+    return spark.createDataFrame([(3 * k, *map(float, p)) for k, p in enumerate(at)] + [(9_999, None, 0.0)], "id long, x double, y double"), spark.createDataFrame([(0, 1.0, 0.0, -0.02), (0, -1.0, 0.0, -0.01), (0, 0.0, 1.0, -0.02), (0, 0.0, -1.0, -0.02)], "hull_id int, a double, b double, c double")
+
+
+def rows_written(spark, work):
+    """What ``work`` gives, and the rows of the largest table that it writes to the shared folder."""
+    top = session.shared_dir(spark).removeprefix("file:").replace("//", "/")
+    before = set(glob.glob(f"{top}/tables/*"))
+    out = sorted(map(tuple, work().collect()))
+    return out, max((spark.read.parquet(p).count() for p in set(glob.glob(f"{top}/tables/*")) - before if glob.glob(f"{p}/*.parquet")), default=0)
+
+
+def test_hashes_of_many_messages():
+    rng = np.random.default_rng(2)
+    prefixes = [b"27:move:%d:%d:" % (w, t) for w, t in zip(rng.integers(0, 10**9, 40).tolist(), range(40))] + [b"", b"long" * 20]
+    numbers = np.concatenate([rng.integers(0, 10**5, 60), [0, 7, 2**62, -3]])
+    who, what = rng.integers(0, len(prefixes), 3000), rng.integers(0, len(numbers), 3000)
+    want = [int(hashlib.md5(prefixes[a] + str(numbers[b]).encode()).hexdigest()[:16], 16) for a, b in zip(who, what)]
+    assert near.md5_keys(prefixes, numbers, who, what).tolist() == want
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_walks_by_reach_are_those_over_edges_and_write_none(spark, monkeypatch, parts):
+    points, hulls = crowd(spark)
+    monkeypatch.setattr(near, "PART_PLACES", near.PART_PLACES if parts == 1 else 1000)
+    edges = N.neighbour_graph(points, "id", 0.08, hulls)
+    n = edges.count()
+    assert n > 20_000
+    users = points.select(F.col("id").alias("walker"), F.element_at(F.array(*map(F.lit, W.WALKS)), (F.col("id") % 5 + 1).cast("int")).alias("kind"), F.lit(5).alias("length"), F.col("id").alias("node"))
+    got, most = rows_written(spark, lambda: W.graph_trajectories(near.Near(0.08, hulls), points, users, "id", 5, 3, 0.02, (0.05, 0.2)))
+    assert got == sorted(map(tuple, W.graph_trajectories(edges, points, users, "id", 5, 3, 0.02, (0.05, 0.2)).collect()))
+    assert most < 1_000 < n
+    walkers = points.select(F.col("id").alias("walker"), F.col("id").alias("node"))
+    got, most = rows_written(spark, lambda: N.graph_walks(near.Near(0.08, hulls), points, walkers, "id", 3, 11))
+    assert got == sorted(map(tuple, N.graph_walks(edges, points, walkers, "id", 3, 11).collect()))
+    assert most < 1_000
+
+
+def test_walk_queries_write_no_edges(spark):
+    for name in ("trajectory_full", "trajectory_walks"):
+        n = registry.QUERIES["neighbor_graph"](spark, SMALL).count()
+        assert rows_written(spark, lambda: registry.QUERIES[name](spark, SMALL))[1] <= 500 < n  # noqa: B023
