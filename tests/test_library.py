@@ -20,6 +20,7 @@ from chartweave.operators import clusters as K
 from chartweave.operators import composition as C
 from chartweave.operators import geometry as G
 from chartweave.operators import graph as N
+from chartweave.operators import layers
 from chartweave.operators import metrics as M
 from chartweave.operators import near
 from chartweave.operators import report as E
@@ -679,3 +680,42 @@ def test_walk_queries_write_no_edges(spark):
     for name in ("trajectory_full", "trajectory_walks"):
         n = registry.QUERIES["neighbor_graph"](spark, SMALL).count()
         assert rows_written(spark, lambda: registry.QUERIES[name](spark, SMALL))[1] <= 500 < n  # noqa: B023
+
+
+def test_layers_by_reach_are_those_over_edges_and_write_none(spark, monkeypatch):
+    points, hulls = crowd(spark)
+    edges, starts = N.neighbour_graph(points, "id", 0.04, hulls), points.select(F.col("id").alias("start"))
+    want = sorted(map(tuple, N.bfs_layers(edges, starts, 3).collect()))
+    assert len(want) > 20_000 and max(r[2] for r in want) == 3
+    for kept, layer in ((near.KEPT_BYTES, near.LAYER_BYTES), (0, 20_000)):
+        monkeypatch.setattr(layers, "KEPT_BYTES", kept), monkeypatch.setattr(layers, "LAYER_BYTES", layer)
+        got, most = rows_written(spark, lambda: layers.near_layers(points, "id", near.Near(0.04, hulls), starts, 3))
+        assert got == want and most < 1_000
+    some = starts.where("start % 7 = 0")
+    got, most = rows_written(spark, lambda: N.coherent_samples(near.Near(0.04, hulls), some, 1, 2, points, "id"))
+    assert got == sorted(map(tuple, N.coherent_samples(edges, some, 1, 2).collect())) and got and most < 1_000
+
+
+def test_layer_queries_write_no_layers(spark):
+    for name in ("bfs_layers", "coherent_pos_neg"):
+        got, most = rows_written(spark, lambda: registry.QUERIES[name](spark, SMALL))  # noqa: B023
+        assert len(got) > 10_000 and most <= 500
+
+
+def test_coherent_folds_by_reach_are_those_over_edges_and_write_none(spark):
+    points, hulls = crowd(spark)
+    rng = np.random.default_rng(8)
+    ids = [r.id for r in points.collect()]
+    steps = spark.createDataFrame([(w, t, ids[int(rng.integers(len(ids)))]) for w in range(30) for t in range(8)], "walker long, t int, node long")
+    want = sorted(map(tuple, C.coherent_triplets(steps, N.neighbour_graph(points, "id", 0.04, hulls), 1, 2, 2, 2, 3, 2, 9).collect()))
+    got, most = rows_written(spark, lambda: C.coherent_triplets(steps, near.Near(0.04, hulls), 1, 2, 2, 2, 3, 2, 9, points, "id"))
+    assert got == want and len(want) > 200 and most < 1_000
+
+
+def test_deepest_layer_by_reach_is_that_over_edges_and_writes_none(spark):
+    points, hulls = crowd(spark)
+    for reach, parting in ((0.03, None), (0.03, hulls)):
+        edges = N.neighbour_graph(points, "id", reach, parting)
+        got, most = rows_written(spark, lambda: spark.createDataFrame([(N.diameter_estimate(near.Near(reach, parting), points, "id", 90),)], "d int"))  # noqa: B023
+        assert got == [(N.diameter_estimate(edges, points, "id", 90),)] and got[0][0] > 3
+        assert most < 1_000
