@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import coherent_samples
+from .layers import near_samples
+from .near import Near
 from .sampling import draw, integer
 
 
@@ -51,9 +53,14 @@ def walk_triplets(steps: DataFrame, near: int, far: int, n_pos: int, n_neg: int,
     return both.join(places, ["walker", "at"]).select("fold", "walker", "node", "kind", "k", "other")
 
 
-def coherent_triplets(steps: DataFrame, edges: DataFrame, pos_hops: int, neg_hops: int, margin: int, n_pos: int, n_neg: int, folds: int, seed: int) -> DataFrame:
-    """fold, walker, node, kind, k, other: positives 1 to ``pos_hops`` hops from the anchor, negatives exactly ``neg_hops``."""
+def coherent_triplets(steps: DataFrame, edges: DataFrame | Near, pos_hops: int, neg_hops: int, margin: int, n_pos: int, n_neg: int, folds: int, seed: int, points: DataFrame | None = None, key: str = "") -> DataFrame:
+    """fold, walker, node, kind, k, other: positives 1 to ``pos_hops`` hops from the anchor, negatives exactly ``neg_hops``.
+
+    On a graph by reach, of ``points``, an anchor's samples are drawn where its layers are found, so neither is a table.
+    """
     anchors = anchors_of(steps, margin).select("walker", "node")
+    if isinstance(edges, Near):
+        return near_samples(points, key, edges, anchors, pos_hops, neg_hops, n_pos, n_neg, folds, seed)
     found = coherent_samples(edges, anchors.select(F.col("node").alias("start")).distinct(), pos_hops, neg_hops)
     sizes = found.groupBy("start").pivot("kind", ["pos", "neg"]).count().where((F.col("pos") >= n_pos) & (F.col("neg") >= n_neg)).select("start")
     reached = found.join(sizes, "start").select("start", F.col("node").alias("other"), "kind")
