@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .cells import MARGIN, area_cells, crosses, extent_of, hull_boxes, meeting, segment_cells, within
+from .near import close_side, nearest_within, placed
 
 
 def squared(*pairs: tuple[Column, Column]) -> Column:
@@ -212,22 +213,25 @@ def snap(queries: DataFrame, points: DataFrame, query_key: str, key: str, reach:
     """query_key, key, d2: the nearest point of each query (ties: the smaller key); queries without a place have none.
 
     The nearest of the points in a query's cell and the eight around it is the nearest of all if it is within one cell's
-    size. Queries for which none is so near go on to cells of twice the size; each round is written down, and points
-    are laid into one cell only. A query far from all points meets those of the first cells that hold any.
+    size. Cells begin as small as the points are close, ``reach`` at most; a task looks through its cells by itself, so no pair is a row. Queries for
+    which no point is so near go on to larger cells, of twice the size or, if they are few, up to eight times; each round is written down. A query far from all points meets those of the first cells that hold any.
     """
-    open_queries = materialize(queries.select(query_key, "x", "y").where("x is not null and y is not null"), "snap")
-    places = materialize(points.select(key, "x", "y").where("x is not null and y is not null"), "snap")
+    kind, known = dict(points.dtypes)[key], "x is not null and y is not null and not isnan(x) and not isnan(y)"
+    open_queries = materialize(queries.select(query_key, "x", "y").where(known), "snap")
+    # of points at one place only the smallest key can be anyone's nearest
+    places = materialize(placed(points, key).groupBy("x", "y").agg(F.min("id").alias("id")), "snap")
     extent = extent_of(places, ["x"], ["y"])
-    found = None
-    while extent is not None:
-        met = radius_join(places, open_queries, reach, key, query_key)
-        best = met.groupBy(query_key).agg(F.min(F.struct("d2", F.col(key))).alias("m")).select(query_key, F.col(f"m.{key}").alias(key), F.col("m.d2").alias("d2"))
-        best = materialize(best, "snapped")
-        found = best if found is None else found.unionByName(best)
-        open_queries = materialize(open_queries.join(best.select(query_key), query_key, "left_anti"), "snap")
-        if open_queries.isEmpty():
-            return found
-        reach *= 2
+    if extent is not None:
+        n, asked, reach, found = places.count(), open_queries.count(), close_side(places, reach), None
+        left = asked
+        while True:
+            best = materialize(nearest_within(open_queries, query_key, places, reach, left > n, left + n), "snapped")
+            found = best if found is None else found.unionByName(best)
+            open_queries = materialize(open_queries.join(best.select(query_key), query_key, "left_anti"), "snap")
+            left = open_queries.count()
+            reach *= 2 if 64 * left > max(asked, 10_000) else 8
+            if not left:
+                return found.select(query_key, F.col("id").cast(kind).alias(key), "d2")
     return queries.join(points.select(key), F.lit(False)).select(query_key, key, F.lit(0.0).alias("d2"))
 
 

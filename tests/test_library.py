@@ -719,3 +719,22 @@ def test_deepest_layer_by_reach_is_that_over_edges_and_writes_none(spark):
         got, most = rows_written(spark, lambda: spark.createDataFrame([(N.diameter_estimate(near.Near(reach, parting), points, "id", 90),)], "d int"))  # noqa: B023
         assert got == [(N.diameter_estimate(edges, points, "id", 90),)] and got[0][0] > 3
         assert most < 1_000
+
+
+def test_snapping_makes_no_row_a_pair(spark):
+    """Places so close that each query has hundreds within reach, copies of a place, ties, a place and a query that are not a number."""
+    rng = np.random.default_rng(3)
+    at = np.concatenate([rng.normal(0, 0.01, (900, 2)), np.repeat([[0.5, 0.5]], 300, 0), np.round(rng.uniform(0, 3, (60, 2)))])
+    places = spark.createDataFrame([(5_000 - k, *map(float, p)) for k, p in enumerate(at)] + [(1, float("nan"), 0.0)], "id long, x double, y double")
+    asked = np.concatenate([rng.normal(0, 0.02, (1500, 2)), [[0.5, 0.501], [1.5, 1.0], [-2.0, 4.0]]])
+    queries = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(asked)] + [(9_999, 0.0, float("nan"))], "q long, x double, y double").select(F.struct("q", F.lit("a").alias("kind")).alias("q"), "x", "y")
+    want = {}
+    for k, p in enumerate(asked):
+        d2 = ((p - at) ** 2).sum(1)
+        want[k] = min(5_000 - j for j in np.flatnonzero(d2 == d2.min()))
+    for some in (queries, queries.where("q.q % 20 = 0 or q.q >= 1500")):
+        known = {r.q.q for r in some.collect()} - {9_999}
+        rows = G.snap(some, places, "q", "id", 0.1).collect()
+        assert {r.q.q: r.id for r in rows} == {k: want[k] for k in known} and len(rows) == len(known)
+    sides = near.close_side(near.placed(places.where("id > 3900"), "id"), 0.1)
+    assert sides < 0.01
